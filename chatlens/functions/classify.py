@@ -39,6 +39,26 @@ def rule_sentiment(text, category: Column | None = None,
             .otherwise(D.SENTIMENT_NEUTRAL))
 
 
+def category_from_hits(text, lowered, food_hits, aggressive_hits) -> Column:
+    """rule_category with the keyword tests already counted (see matcher)."""
+    t, low = _col(text), _col(lowered)
+    return (F.when(t.isNull() | (t == ''), D.CATEGORY_OTHER)
+            .when(_col(aggressive_hits) > 0, D.CATEGORY_AGGRESSIVE)
+            .when(_col(food_hits) > 0, D.CATEGORY_FOOD)
+            .when((F.char_length(strip_ws(low)) < 5) | is_all_digits(low), D.CATEGORY_OTHER)
+            .otherwise(D.CATEGORY_NEUTRAL))
+
+
+def sentiment_from_hits(text, positive_hits, negative_hits, category) -> Column:
+    """rule_sentiment with the keyword tests already counted."""
+    t, pos, neg = _col(text), _col(positive_hits), _col(negative_hits)
+    return (F.when(t.isNull() | (t == ''), D.SENTIMENT_NEUTRAL)
+            .when(pos > neg, D.SENTIMENT_POSITIVE)
+            .when(neg > pos, D.SENTIMENT_NEGATIVE)
+            .when(_col(category) == D.CATEGORY_AGGRESSIVE, D.SENTIMENT_NEGATIVE)
+            .otherwise(D.SENTIMENT_NEUTRAL))
+
+
 def sentiment_score(label) -> Column:
     lab = _col(label)
     return (F.when(lab == D.SENTIMENT_POSITIVE, 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
+from .matcher import list_hits
 from .text import _col, contains_any
 
 
@@ -20,3 +21,12 @@ def topic_array(text, topics=D.TOPIC_KEYWORDS, other: str = D.OTHER_TOPIC, lower
 def topic_label(arr) -> Column:
     """The ', '-joined form shown to users."""
     return F.array_join(_col(arr), ', ')
+
+
+def topic_array_matched(lowered, topics=D.TOPIC_KEYWORDS, other: str = D.OTHER_TOPIC,
+                        matcher: str = 'auto') -> Column:
+    """topic_array over an already lower-cased column, all topic lists counted
+    in one pass (for long texts; see chatlens.functions.matcher)."""
+    h = list_hits(lowered, [words for _, words in topics], matcher)
+    labels = F.array_compact(F.array(*[F.when(h[i] > 0, F.lit(label)) for i, (label, _) in enumerate(topics)]))
+    return F.when(F.size(labels) == 0, F.array(F.lit(other))).otherwise(labels)

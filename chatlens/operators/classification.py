@@ -6,25 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
-from ..functions import fmt_datetime, rule_category, rule_sentiment, sentiment_score, truncate
+from ..functions import fmt_datetime, sentiment_score, truncate
+from ..functions.classify import category_from_hits, sentiment_from_hits
+from ..functions.matcher import list_hits
 
 
 def classify_rule_based(df: DataFrame, text_col: str = 'text', role_col: str = 'role',
-                        keep: tuple[str, ...] = (), dicts: D.Dictionaries = D.DEFAULT) -> DataFrame:
+                        keep: tuple[str, ...] = (), dicts: D.Dictionaries = D.DEFAULT,
+                        matcher: str = 'auto') -> DataFrame:
     """(*keep, frage, rolle, kategorie, sentiment) per row.
 
-    Pure column expressions (substring tests compiled into generated code),
-    so this is a row-local projection at any scale. NULL text -> ''.
+    A row-local projection at any scale: lower(text) is projected once, the
+    four keyword lists are counted in one pass (`matcher`, see
+    chatlens.functions.matcher), and the rules are Spark `when` chains over
+    those counts. NULL text -> ''.
     """
-    # lower(text) is projected once; the ~170 substring tests then read a plain
-    # column, which keeps the generated code small and the work linear.
     staged = df.select(*keep, F.col(text_col).alias('_t'), F.col(role_col).alias('rolle'),
                        F.lower(F.col(text_col)).alias('_low'))
-    kat = staged.select(*keep, '_t', '_low', 'rolle',
-                        rule_category('_t', dicts, lowered='_low').alias('kategorie'))
+    lists = (dicts.food, dicts.aggressive, dicts.positive, dicts.negative)
+    hits = staged.select(*keep, '_t', '_low', 'rolle', list_hits('_low', lists, matcher).alias('_h'))
+    kat = hits.select(*keep, '_t', 'rolle', '_h', category_from_hits(
+        '_t', '_low', F.col('_h')[0], F.col('_h')[1]).alias('kategorie'))
     return kat.select(
         *keep, F.coalesce(F.col('_t'), F.lit('')).alias('frage'), 'rolle', 'kategorie',
-        rule_sentiment('_t', F.col('kategorie'), dicts, lowered='_low').alias('sentiment'))
+        sentiment_from_hits('_t', F.col('_h')[2], F.col('_h')[3], 'kategorie').alias('sentiment'))
 
 
 def classification_summary(classified: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Two inputs, one result shape `(id, Datetime, Frage, Antwort)`:
 
 * `extract_qa_flat` - a flat message table `(id, turn, role, text[, created])`.
-  Built from key-only hash aggregates and joins on the unique key
-  `(id, turn)`, so no conversation, however large, lands in one task.
+  Map-side-combined aggregates and a salted join, so no conversation, however
+  large, lands in one task.
 * `extract_qa_json` - the export shape: one row per conversation holding the
   chat as JSON text. Entirely row-local (no shuffle): `from_json` plus
   higher-order array functions, with the regex fallback for rows whose JSON
@@ -52,36 +52,34 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
     answer   = lowest-turn assistant message after it (its text, or the
                sentinel when it is empty or missing).
 
-    Plan: (1) `min(turn)` of valid user rows per conversation - a hash
-    aggregate on keys, combined map-side; (2) the answer turn by a key-only
-    inequality join, salted on `turn` so a conversation holding a large share
-    of all rows is spread over `salt_buckets` tasks (the per-conversation side
-    is replicated `salt_buckets` times: one small row each); (3) texts fetched
-    by joins on the unique key `(id, turn)`, which cannot skew.
+    Plan (three exchanges): (1) per conversation `min(turn)` and `min_by` of
+    text/time over valid user rows, combined map-side, so only one partial row
+    per conversation and task is shuffled; (2) the answer candidates by an
+    inequality join of assistant rows to (1), salted on `turn`, so a
+    conversation holding a large share of all rows is spread over
+    `salt_buckets` tasks (the one-row side is replicated `salt_buckets` times),
+    then `min_by(text, turn)` per conversation, again combined map-side;
+    (3) a left join of (1) and (2), both already hash-partitioned by id.
     """
     created = F.col(created_col) if created_col else F.lit(None).cast('timestamp_ntz')
     m = messages.select(F.col(id_col).alias('id'), F.col(turn_col).alias('turn'),
                         F.col(role_col).alias('role'), F.col(text_col).alias('text'),
                         created.alias('Datetime'))
-    users = m.filter((F.col('role') == 'user') & (F.length('text') > 0))
-    q = users.groupBy('id').agg(F.min('turn').alias('q_turn'))
+    q = (m.filter((F.col('role') == 'user') & (F.length('text') > 0))
+         .groupBy('id').agg(F.min('turn').alias('q_turn'),
+                            F.min_by('text', 'turn').alias('Frage'),
+                            F.min_by('Datetime', 'turn').alias('Datetime')))
 
-    asst = m.filter(F.col('role') == 'assistant').select('id', 'turn')
-    qk = q
+    asst = m.filter(F.col('role') == 'assistant').select('id', 'turn', 'text')
+    qk = q.select('id', 'q_turn')
     keys = ['id']
     if salt_buckets > 1:
         asst = asst.withColumn('salt', F.pmod(F.col('turn'), F.lit(salt_buckets)).cast('int'))
-        qk = q.withColumn('salt', F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        qk = qk.withColumn('salt', F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
         keys = ['id', 'salt']
     a = (asst.join(qk, keys).filter(F.col('turn') > F.col('q_turn'))
-         .groupBy('id').agg(F.min('turn').alias('a_turn')))
-
-    qrow = users.join(q.withColumnRenamed('q_turn', 'turn'), ['id', 'turn']) \
-        .select('id', 'Datetime', F.col('text').alias('Frage'))
-    arow = (m.filter(F.col('role') == 'assistant')
-            .join(a.withColumnRenamed('a_turn', 'turn'), ['id', 'turn'])
-            .select('id', F.col('text').alias('a_text')))
-    return (qrow.join(arow, 'id', 'left')
+         .groupBy('id').agg(F.min_by('text', 'turn').alias('a_text')))
+    return (q.join(a, 'id', 'left')
             .select('id', 'Datetime', 'Frage', _answer_or_sentinel(F.col('a_text')).alias('Antwort')))
 
 

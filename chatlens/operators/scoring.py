@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dictionaries as D
-from ..functions import rule_category, rule_sentiment
+from ..functions.classify import category_from_hits, sentiment_from_hits
+from ..functions.matcher import list_hits
 from ..session import materialize
 
 # The first flat {...} in the reply is the verdict.
@@ -77,7 +78,7 @@ def _constant(scorer):
 def score_messages(df: DataFrame, scorer=None, scorer_factory=None, text_col: str = 'text',
                    role_col: str = 'role', keep: tuple[str, ...] = (), max_retries: int = 3,
                    sleep=time.sleep, partitions: int | None = None, checkpoint: bool = True,
-                   dicts: D.Dictionaries = D.DEFAULT) -> DataFrame:
+                   dicts: D.Dictionaries = D.DEFAULT, matcher: str = 'auto') -> DataFrame:
     """(*keep, frage, rolle, kategorie, sentiment, quelle) per message.
 
     `scorer(prompt, text, role) -> reply text` is called per message;
@@ -98,10 +99,11 @@ def score_messages(df: DataFrame, scorer=None, scorer_factory=None, text_col: st
     scored = staged.mapInPandas(lambda it: _score_batches(it, make, max_retries, sleep), schema)
     if checkpoint:
         scored = materialize(scored)
-    return parse_verdicts(scored, keep, dicts)
+    return parse_verdicts(scored, keep, dicts, matcher)
 
 
-def parse_verdicts(scored: DataFrame, keep=(), dicts: D.Dictionaries = D.DEFAULT) -> DataFrame:
+def parse_verdicts(scored: DataFrame, keep=(), dicts: D.Dictionaries = D.DEFAULT,
+                   matcher: str = 'auto') -> DataFrame:
     """Reply -> labels (I5, I6), in Spark columns.
 
     No {...} in the reply -> other/neutral; a {...} that is not strict JSON, a
@@ -119,12 +121,14 @@ def parse_verdicts(scored: DataFrame, keep=(), dicts: D.Dictionaries = D.DEFAULT
         F.coalesce(obj['sentiment'], F.lit(D.SENTIMENT_NEUTRAL)))
     staged = scored.select(*keep, '_text', '_role', F.lower('_text').alias('_low'), model_ok.alias('_ok'),
                            kat_model.alias('_km'), sen_model.alias('_sm'))
-    staged = staged.select('*', rule_category('_text', dicts, lowered='_low').alias('_kr'))
+    lists = (dicts.food, dicts.aggressive, dicts.positive, dicts.negative)
+    staged = staged.select('*', list_hits('_low', lists, matcher).alias('_h'))
+    staged = staged.select('*', category_from_hits('_text', '_low', F.col('_h')[0], F.col('_h')[1]).alias('_kr'))
     return staged.select(
         *keep, F.coalesce(F.col('_text'), F.lit('')).alias('frage'), F.col('_role').alias('rolle'),
         F.when(F.col('_ok'), F.col('_km')).otherwise(F.col('_kr')).alias('kategorie'),
         F.when(F.col('_ok'), F.col('_sm')).otherwise(
-            rule_sentiment('_text', F.col('_kr'), dicts, lowered='_low')).alias('sentiment'),
+            sentiment_from_hits('_text', F.col('_h')[2], F.col('_h')[3], '_kr')).alias('sentiment'),
         F.when(F.col('_ok'), F.lit('modell')).otherwise(F.lit('regel')).alias('quelle'))
 
 

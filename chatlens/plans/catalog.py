@@ -232,8 +232,9 @@ def q_document_classification(spark, d):
 
 
 def q_document_topic_counts(spark, d):
-    from ..functions import topic_array
-    return TP.topic_counts(documents(spark, d).select(topic_array('text').alias('Themen')))
+    from ..functions.topics import topic_array_matched
+    low = documents(spark, d).select(F.lower('text').alias('low'))
+    return TP.topic_counts(low.select(topic_array_matched('low').alias('Themen')))
 
 
 def q_document_length_stats(spark, d):
