@@ -1,0 +1,42 @@
+"""Incremental ingest (J1-J3): a stream over export files gives the batch totals."""
+
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from chatlens.sources.chat_csv import qa_from_export, read_chat_csv
+from chatlens.streaming.ingest import (classified_stream, qa_stream, read_export_stream, start,
+                                       windowed_counts)
+
+
+def export_file(path, rows):
+    with open(path, 'w', encoding='utf-8') as f:
+        f.write('Erstellt,Raw Chat Data\n')
+        for ts, q, a in rows:
+            doc = json.dumps({'messages': [
+                {'role': 'user', 'parts': [{'type': 'text', 'text': q}]},
+                {'role': 'assistant', 'parts': [{'type': 'text', 'text': a}]}]}, ensure_ascii=False)
+            f.write(ts + ',"' + doc.replace('"', '""') + '"\n')
+
+
+def test_stream_matches_batch(spark, tmp_path):
+    src = os.path.join(tmp_path, 'in')
+    os.makedirs(src)
+    export_file(os.path.join(src, 'a.csv'), [('2025-07-21 08:00:00', 'Rezept für Rind?', 'Gerne, super.'),
+                                             ('2025-07-21 19:00:00', 'So ein Mist', 'Entschuldigung')])
+    export_file(os.path.join(src, 'b.csv'), [('2025-07-22 09:30:00', 'Poulet grillieren?', 'Ja'),
+                                             ('2025-07-23 12:00:00', 'Danke!', 'Bitte')])
+    qa = qa_stream(read_export_stream(spark, src))
+    q1 = start(windowed_counts(qa), 'daily_test', sink='memory', output_mode='complete')
+    q1.awaitTermination()
+    q2 = start(classified_stream(qa), 'classified_test', sink='memory', output_mode='append')
+    q2.awaitTermination()
+    daily = {r['window_start'].day: r['Anzahl'] for r in spark.table('daily_test').collect()}
+    batch = qa_from_export(read_chat_csv(spark, src))
+    want = {r['d']: r['n'] for r in batch.groupBy(F.dayofmonth('Datetime').alias('d'))
+            .agg(F.count('*').alias('n')).collect()}
+    assert daily == want == {21: 2, 22: 1, 23: 1}
+    cls = spark.table('classified_test')
+    assert cls.count() == 8
+    assert cls.filter("frage = 'So ein Mist'").first()['kategorie'] == 'aggressiv'
