@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import dictionaries as D
 from ..functions import tokens
@@ -32,8 +33,22 @@ def keyword_counts(df: DataFrame, text_col: str = 'Frage', order_cols=('Datetime
     """
     t = keyword_tokens(df, text_col, order_cols, dicts)
     return t.groupBy(F.col('w').alias('Keyword')).agg(
-        F.count(F.lit(1)).alias('Anzahl'),
-        F.min(F.struct(*order_cols, 'pos')).alias('first'))
+        F.count(F.lit(1)).alias('Anzahl'), F.min(_first_key(df, order_cols)).alias('first'))
+
+
+_INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+
+
+def _first_key(df: DataFrame, order_cols) -> 'F.Column':
+    """Sort key of an occurrence. With a single integral order column the pair
+    (key, position) is packed exactly into one decimal(38,0) - key * 10^18 +
+    position, order-preserving for any bigint key and position < 10^18 - which
+    the hash aggregate updates in place; otherwise a struct, which makes Spark
+    fall back to a sort-based aggregate."""
+    if len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, _INTEGRAL):
+        return (F.col(order_cols[0]).cast('decimal(38,0)') * F.lit(10 ** 18).cast('decimal(38,0)')
+                + F.col('pos')).cast('decimal(38,0)')
+    return F.struct(*order_cols, 'pos')
 
 
 def top_keywords(df: DataFrame, n: int = 20, text_col: str = 'Frage',
