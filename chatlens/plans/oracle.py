@@ -210,15 +210,15 @@ FROM (SELECT unnest(string_split("Kategorie", ', ')) AS k FROM qa) GROUP BY k"""
 FROM (SELECT DISTINCT "Datum" FROM qa) d CROSS JOIN ({dim5}) c("Kategorie")
 LEFT JOIN qa x ON x."Datum" = d."Datum" AND contains(x."Kategorie", c."Kategorie")
 GROUP BY d."Datum", c."Kategorie\""""
-    sql['topic_mean_length'] = BASE + """, c AS (
+    sql['topic_mean_length'] = BASE.rstrip() + """,
+c AS (
   SELECT k AS "Kategorie", count(*) AS "Anzahl"
   FROM (SELECT unnest(string_split("Kategorie", ', ')) AS k FROM qa) GROUP BY k
   ORDER BY "Anzahl" DESC, "Kategorie" LIMIT 10)
 SELECT c."Kategorie", c."Anzahl",
   (SELECT CAST(sum("Fragenlänge_Zeichen") AS DOUBLE) / count("Fragenlänge_Zeichen") FROM qa
    WHERE contains(qa."Kategorie", c."Kategorie")) AS "Durchschnittslänge"
-FROM c""".replace('SELECT\n', 'SELECT ', 0)
-    sql['topic_mean_length'] = sql['topic_mean_length'].replace('\n, c AS (', ',\nc AS (')
+FROM c"""
     page = """SELECT id, "Datum", strftime("Datetime", '%H:%M') AS "Uhrzeit", "Wochentag", "Fragenlänge_Zeichen",
   "Kategorie", left("Frage", 100) || '...' AS "Titel", "Frage",
   CASE WHEN length("Antwort") > 1000 THEN left("Antwort", 1000) || '...' ELSE "Antwort" END AS "Antwort"
