@@ -254,6 +254,33 @@ def q_event_hour_counts(spark, d):
     return T.hour_counts(event_times(spark, d))
 
 
+def _message_stream(spark, d):
+    from ..sources.fixture import chat_fixture
+    from ..sources.tables import table_path
+    from ..streaming.ingest import read_message_stream
+    # a file source watches a folder or a glob; the given table is one file
+    return chat_fixture(read_message_stream(spark, table_path(d, 'conversations').replace(
+        'conversations.parquet', 'conversation[s].parquet')))
+
+
+def q_stream_daily_counts(spark, d):
+    """J1 + J2: messages arriving as a stream, counted per day with a
+    watermark, run incrementally to the end of the input."""
+    from ..streaming.ingest import run_to_table, windowed_counts
+    msgs = _message_stream(spark, d).withColumn('event_time', F.col('created').cast('timestamp'))
+    counts = run_to_table(windowed_counts(msgs, '1 day', '1 day'), 'daily_counts')
+    return counts.select(F.col('window_start').cast('timestamp_ntz').alias('window_start'),
+                         F.col('window_end').cast('timestamp_ntz').alias('window_end'), 'Anzahl')
+
+
+def q_stream_classification_counts(spark, d):
+    """J1 + J3: rule classification of a message stream, counts per label."""
+    from ..streaming.ingest import run_to_table
+    c = C.classify_rule_based(_message_stream(spark, d), keep=('conv_id',))
+    return run_to_table(c.groupBy('kategorie', 'sentiment').agg(F.count(F.lit(1)).alias('Anzahl')),
+                        'classification_counts')
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'qa_pairs': q_qa_pairs,
     'qa_from_json': q_qa_from_json,
@@ -297,4 +324,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'event_weekday_hour': q_event_weekday_hour,
     'event_daypart_counts': q_event_daypart_counts,
     'event_hour_counts': q_event_hour_counts,
+    'stream_daily_counts': q_stream_daily_counts,
+    'stream_classification_counts': q_stream_classification_counts,
 }

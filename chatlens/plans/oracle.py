@@ -277,6 +277,11 @@ FROM (SELECT unnest(string_split({topics_sql('lower(text)')}, ', ')) AS k FROM d
     sql['event_weekday_hour'] = ev + heat.format(src='ev', counted='id')
     sql['event_daypart_counts'] = ev + dense('ev', '"Tageszeit"', D.DAYPART_ORDER, 'Tageszeit')
     sql['event_hour_counts'] = ev + 'SELECT "Stunde", count(*) AS "Anzahl" FROM ev GROUP BY "Stunde"'
+    sql['stream_daily_counts'] = f"""WITH {FX}
+SELECT date_trunc('day', created) AS window_start, date_trunc('day', created) + INTERVAL 1 DAY AS window_end,
+       count(*) AS "Anzahl" FROM fx GROUP BY 1, 2"""
+    sql['stream_classification_counts'] = BASE_CLS + """SELECT kategorie, sentiment, count(*) AS "Anzahl"
+FROM cls GROUP BY kategorie, sentiment"""
     return sql
 
 

@@ -13,6 +13,7 @@ UTC for these streams.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +87,38 @@ def start(df: DataFrame, name: str, sink: str = 'parquet', path: str | None = No
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def read_message_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming flat messages (conv_id, turn, role, text) from Parquet files
+    under `path` (J1 for message tables)."""
+    schema = 'conv_id bigint, turn bigint, role string, text string'
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option('maxFilesPerTrigger', str(max_files_per_trigger))
+    return r.parquet(path)
+
+
+def run_to_table(df: DataFrame, name: str, output_mode: str = 'complete') -> DataFrame:
+    """Run a stream over what has arrived (availableNow) and return its result
+    table, read back from Parquet in the shared checkpoint folder.
+
+    Each micro-batch is written by the executors (`foreachBatch`); in complete
+    mode every batch overwrites the table, so a retried batch is idempotent.
+    A fresh folder per call keeps runs apart.
+    """
+    spark = df.sparkSession
+    base = stream_location(spark, f'{name}-{uuid.uuid4().hex}')
+    out = os.path.join(base, 'result')
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        mode = 'overwrite' if output_mode == 'complete' else 'append'
+        batch.write.mode(mode).parquet(out)
+
+    q = (df.writeStream.outputMode(output_mode).option('checkpointLocation', os.path.join(base, 'state'))
+         .foreachBatch(write).trigger(availableNow=True).start())
+    q.awaitTermination()
+    try:
+        return spark.read.parquet(out)
+    except Exception:  # no batch ran: nothing arrived
+        return spark.createDataFrame([], df.schema)
