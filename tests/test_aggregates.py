@@ -114,3 +114,13 @@ def test_latest_messages(spark):
     ])
     got = [(r['nr'], r['text'], r['role']) for r in latest_messages(qa, 3).orderBy('nr').collect()]
     assert got == [(1, 'neu', 'user'), (2, 'Antwort neu', 'assistant'), (3, 'mitte', 'user')]
+
+
+def test_weekday_hour_matrix_wide_form(qa01):
+    wide = T.weekday_hour_matrix(qa01).collect()
+    long = T.weekday_hour_heatmap(qa01).collect()
+    assert [r['Wochentag'] for r in wide] == list(D.WEEKDAYS)
+    cells = {(r['Wochentag'], r['Stunde']): r['Anzahl'] for r in long}
+    for r in wide:
+        for h in {k[1] for k in cells}:
+            assert r[str(h)] == cells[(r['Wochentag'], h)]

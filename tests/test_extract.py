@@ -125,3 +125,19 @@ def test_nested_equals_flat_on_fixture(spark):
     assert a.count() == 100
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.filter(F.col('Antwort') == D.NO_ANSWER).count() == 2
+
+
+def test_hot_conversation_salted_equals_unsalted(spark):
+    """One conversation holding about a third of all rows: the salted plan
+    gives the same pairs as the plain one."""
+    msgs = fixture_messages(spark, SF001)
+    in_hot = F.col('conv_id') % 3 == 0
+    hot = msgs.select(F.when(in_hot, F.lit(-1)).otherwise(F.col('conv_id')).alias('conv_id'),
+                      F.when(in_hot, F.col('conv_id') * 1000 + F.col('turn')).otherwise(F.col('turn')).alias('turn'),
+                      'role', 'text', 'created')
+    share = hot.filter('conv_id = -1').count() / hot.count()
+    assert share > 0.3
+    a = extract_qa_flat(hot, salt_buckets=8).collect()
+    b = extract_qa_flat(hot, salt_buckets=1).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert len(a) == 1 + sum(1 for r in a if r['id'] != -1)
