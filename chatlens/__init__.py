@@ -9,9 +9,9 @@ DataFrame plans.
 
 from . import dictionaries
 from .dictionaries import DEFAULT, Dictionaries
-from .operators.extract import extract_qa_flat, extract_qa_json
+from .operators.extract import extract_qa_flat, extract_qa_json, extract_qa_segments
 from .operators.features import add_features, qa_table
 from .session import checkpoint_dir, local_session, materialize
 
 __all__ = ['DEFAULT', 'Dictionaries', 'add_features', 'checkpoint_dir', 'dictionaries',
-           'extract_qa_flat', 'extract_qa_json', 'local_session', 'materialize', 'qa_table']
+           'extract_qa_flat', 'extract_qa_json', 'extract_qa_segments', 'local_session', 'materialize', 'qa_table']

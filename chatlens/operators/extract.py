@@ -9,6 +9,10 @@ Two inputs, one result shape `(id, Datetime, Frage, Antwort)`:
   chat as JSON text. Entirely row-local (no shuffle): `from_json` plus
   higher-order array functions, with the regex fallback for rows whose JSON
   does not decode.
+* `extract_qa_segments` - the same JSON, cut into bounded segments of one
+  conversation (at most a fixed number of messages per row). Each segment is
+  reduced row-locally to at most three candidate messages, which the flat
+  plan then merges; no conversation is ever gathered into one row or task.
 """
 
 from __future__ import annotations
@@ -60,6 +64,11 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
     `salt_buckets` tasks (the one-row side is replicated `salt_buckets` times),
     then `min_by(text, turn)` per conversation, again combined map-side;
     (3) a left join of (1) and (2), both already hash-partitioned by id.
+
+    The salt is a hash of the turn, not the turn modulo the bucket count:
+    in an alternating conversation all assistant turns share one parity,
+    which would leave half of the buckets empty. `turn` may be any orderable
+    numeric type (the segment merge uses a decimal key).
     """
     created = F.col(created_col) if created_col else F.lit(None).cast('timestamp_ntz')
     m = messages.select(F.col(id_col).alias('id'), F.col(turn_col).alias('turn'),
@@ -74,7 +83,7 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
     qk = q.select('id', 'q_turn')
     keys = ['id']
     if salt_buckets > 1:
-        asst = asst.withColumn('salt', F.pmod(F.col('turn'), F.lit(salt_buckets)).cast('int'))
+        asst = asst.withColumn('salt', F.pmod(F.xxhash64('turn'), F.lit(salt_buckets)).cast('int'))
         qk = qk.withColumn('salt', F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
         keys = ['id', 'salt']
     a = (asst.join(qk, keys).filter(F.col('turn') > F.col('q_turn'))
@@ -98,16 +107,40 @@ def _decode(js: Column):
     return F.coalesce(msgs, F.array().cast(CHAT_SCHEMA['messages'].dataType)), ok
 
 
-def _first_pair(msgs: Column):
-    """(question, answer) from decoded messages."""
-    cand = F.transform(msgs, lambda x: F.struct(
+def _decode_mode(raw: Column, mode: str):
+    """(messages, ok) for `mode`: 'compat' decodes the text after the
+    `""` -> `"` rewrite only; 'robust' tries the text as it is first."""
+    if mode not in ('compat', 'robust'):
+        raise ValueError("mode must be 'compat' or 'robust'")
+    msgs_r, ok_r = _decode(F.replace(raw, F.lit('""'), F.lit('"')))
+    if mode == 'compat':
+        return msgs_r, ok_r
+    msgs_p, ok_p = _decode(raw)
+    return F.when(ok_p, msgs_p).otherwise(msgs_r), ok_p | ok_r
+
+
+def _with_positions(df: DataFrame, msgs_col: str = '_msgs') -> DataFrame:
+    """Adds `_cand` (role and first text part of each message), `_qi` (first
+    question: a user message with non-empty text), `_ai` (first assistant
+    message after it) and `_fi` (first assistant message) (B5, B6).
+
+    Separate projections: each value is computed once per row and referenced
+    by name, instead of the array expression being inlined into every use.
+    """
+    cand = F.transform(F.col(msgs_col), lambda x: F.struct(
         x['role'].alias('role'),
         F.get(F.filter(x['parts'], lambda p: p['type'] == 'text'), 0)['text'].alias('text')))
-    qi = F.array_min(F.transform(
-        cand, lambda c, i: F.when((c['role'] == 'user') & (F.length(c['text']) > 0), i)))
-    ai = F.array_min(F.transform(
-        cand, lambda c, i: F.when((c['role'] == 'assistant') & (i > qi), i)))
-    return F.get(cand, qi)['text'], F.get(cand, ai)['text']
+    staged = df.select('*', cand.alias('_cand'))
+    c = F.col('_cand')
+    staged = staged.select('*', F.array_min(F.transform(
+        c, lambda m, i: F.when((m['role'] == 'user') & (F.length(m['text']) > 0), i))).alias('_qi'))
+    ai = F.array_min(F.transform(c, lambda m, i: F.when((m['role'] == 'assistant') & (i > F.col('_qi')), i)))
+    fi = F.array_min(F.transform(c, lambda m, i: F.when(m['role'] == 'assistant', i)))
+    return staged.select('*', ai.alias('_ai'), fi.alias('_fi'))
+
+
+def _text_at(i: str) -> Column:
+    return F.get(F.col('_cand'), F.col(i))['text']
 
 
 def _fallback(raw: Column):
@@ -135,19 +168,11 @@ def extract_qa_json(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col: str
     the regex. With `keep_rejects` the rows without a question are kept with
     NULL `Frage` and a `path` of 'none'.
     """
-    if mode not in ('compat', 'robust'):
-        raise ValueError("mode must be 'compat' or 'robust'")
     raw = F.col(raw_col)
-    msgs_r, ok_r = _decode(F.replace(raw, F.lit('""'), F.lit('"')))
-    if mode == 'robust':
-        msgs_p, ok_p = _decode(raw)
-        msgs = F.when(ok_p, msgs_p).otherwise(msgs_r)
-        ok = ok_p | ok_r
-    else:
-        msgs, ok = msgs_r, ok_r
-    staged = rows.select(F.col(id_col).alias('id'), F.col(datetime_col).alias('Datetime'),
-                         raw.alias('_raw'), msgs.alias('_msgs'), ok.alias('_ok'))
-    jq, ja = _first_pair(F.col('_msgs'))
+    msgs, ok = _decode_mode(raw, mode)
+    staged = _with_positions(rows.select(F.col(id_col).alias('id'), F.col(datetime_col).alias('Datetime'),
+                                         raw.alias('_raw'), msgs.alias('_msgs'), ok.alias('_ok')))
+    jq, ja = _text_at('_qi'), _text_at('_ai')
     rq, ra = _fallback(F.col('_raw'))
     if mode == 'robust':
         # the answer pattern may pick up a later user text; keep it only when
@@ -165,3 +190,60 @@ def extract_qa_json(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col: str
     if keep_rejects:
         return out
     return out.filter(F.col('Frage').isNotNull()).drop('path')
+
+
+# --------------------------------------------------------------------------- segments
+
+# Order key of a message in a segmented conversation: segment * 2^31 + index
+# in the segment (an array index is below 2^31), exact in decimal for any
+# bigint segment number.
+_SEGMENT_SHIFT = 2 ** 31
+
+
+def _segment_candidates(rq: Column, ra: Column) -> Column:
+    """array<struct<pos, role, text>> of the messages that can matter outside
+    the segment: its first question, the first assistant message after it and
+    its first assistant message overall (JSON path, over `_with_positions`),
+    or the regex question and answer at positions 0 and 1 (fallback path)."""
+    def at(i, role):
+        return F.struct(F.col(i).alias('pos'), F.lit(role).alias('role'), _text_at(i).alias('text'))
+
+    def lit_at(pos, role, text):
+        return F.struct(pos.cast('int').alias('pos'), F.lit(role).alias('role'), text.alias('text'))
+
+    from_json = F.array(at('_qi', 'user'), at('_ai', 'assistant'), at('_fi', 'assistant'))
+    from_regex = F.array(lit_at(F.lit(0), 'user', rq),
+                         lit_at(F.when(ra.isNotNull(), F.lit(1)), 'assistant', ra))
+    return F.filter(F.when(F.col('_ok'), from_json).otherwise(from_regex), lambda c: c['pos'].isNotNull())
+
+
+def extract_qa_segments(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col: str = 'id',
+                        segment_col: str = 'segment', datetime_col: str = 'Datetime',
+                        mode: str = 'compat', salt_buckets: int = 8) -> DataFrame:
+    """Question/answer from a conversation cut into JSON segments.
+
+    Each row holds one segment (`segment_col` orders the segments of a
+    conversation) with the same JSON shape as a whole export row. A segment is
+    reduced row-locally to at most three candidate messages; the flat plan
+    (`extract_qa_flat`) then picks the first question over all segments and
+    the first assistant message after it. That is exact: the first assistant
+    after the question is either in the question's own segment, after it, or
+    the first assistant of a later segment, and both are candidates.
+
+    With one segment per conversation the result equals `extract_qa_json`,
+    the regex fallback included. With several, the fallback applies to each
+    segment whose JSON does not decode, its question at the segment's start.
+    `Datetime` comes from the question's segment.
+    """
+    msgs, ok = _decode_mode(F.col(raw_col), mode)
+    staged = _with_positions(rows.select(
+        F.col(id_col).alias('id'), F.col(segment_col).alias('_seg'), F.col(datetime_col).alias('Datetime'),
+        F.col(raw_col).alias('_raw'), msgs.alias('_msgs'), ok.alias('_ok')))
+    rq, ra = _fallback(F.col('_raw'))
+    if mode == 'robust':
+        ra = F.when(ra != rq, ra)
+    cands = staged.select('id', '_seg', 'Datetime', F.inline(_segment_candidates(rq, ra)))
+    key = (F.col('_seg').cast('decimal(20,0)') * F.lit(_SEGMENT_SHIFT).cast('decimal(11,0)')
+           + F.col('pos')).cast('decimal(38,0)')
+    flat = cands.select('id', key.alias('turn'), 'role', 'text', 'Datetime')
+    return extract_qa_flat(flat, id_col='id', created_col='Datetime', salt_buckets=salt_buckets)

@@ -20,7 +20,7 @@ from ..operators import keywords as K
 from ..operators import lengths as L
 from ..operators import temporal as T
 from ..operators import topics as TP
-from ..operators.extract import extract_qa_json
+from ..operators.extract import extract_qa_segments
 from ..operators.features import add_features, qa_table
 from ..operators.messages import latest_messages as _latest
 from ..operators.overview import overview_metrics as _overview
@@ -38,6 +38,10 @@ SEARCH_COUNT_TERM = 'rind|poulet'
 SEARCH_PAGE_TERM = 'grill'
 SEARCH_FROM, SEARCH_TO = '2025-08-01', '2025-08-15'
 FILTER_CATEGORY, FILTER_SENTIMENT = D.CATEGORY_FOOD, D.SENTIMENT_POSITIVE
+# Messages per export segment in the JSON-path queries: small, so that most
+# conversations of the given table span several segments and the segment
+# merge is part of what the oracle checks.
+EXPORT_SEGMENT_MESSAGES = 4
 
 QA_OUT = ('id', 'Datum', 'Datetime', 'Wochentag', 'Stunde', 'Frage', 'Antwort',
           'Fragenlänge_Zeichen', 'Fragenlänge_Wörter', 'Tageszeit', 'Längenkategorie', 'Kategorie')
@@ -77,9 +81,9 @@ def q_qa_pairs(spark, d):
 
 
 def q_qa_from_json(spark, d):
-    rows = export_rows(fixture_messages(spark, d))
+    rows = export_rows(fixture_messages(spark, d), EXPORT_SEGMENT_MESSAGES)
     rows = rows.withColumn('Datetime', parse_created(F.col('Erstellt')))
-    return extract_qa_json(rows, raw_col='Raw Chat Data', id_col='conv_id')
+    return extract_qa_segments(rows, raw_col='Raw Chat Data', id_col='conv_id', segment_col='segment')
 
 
 def q_qa_features(spark, d):

@@ -59,22 +59,28 @@ def fixture_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_fixture(conversations(spark, sf_dir))
 
 
-def export_rows(messages: DataFrame) -> DataFrame:
-    """The CSV-export shape of a flat message table: one row per conversation
-    with `Erstellt` text and the `Raw Chat Data` JSON document.
+def export_rows(messages: DataFrame, segment_messages: int = 256) -> DataFrame:
+    """The CSV-export shape of a flat message table, in bounded segments:
+    `(conv_id, segment, Erstellt, Raw Chat Data)`, one row per conversation
+    and block of `segment_messages` consecutive turn numbers, holding those
+    messages as one export JSON document (used to test the JSON path on the
+    given tables; read it with `extract_qa_segments`).
 
-    This is where a flat table is turned back into the export's one-document-
-    per-conversation form (used to test the JSON path on the given tables); it
-    gathers each conversation into its row, as the export itself does.
+    A group is (conversation, turn block), so it holds at most
+    `segment_messages` rows however large the conversation is, and the blocks
+    of one conversation hash to different tasks. `Erstellt` is the earliest
+    message time of the segment.
     """
+    k = int(segment_messages)
+    segment = F.expr(f'(turn - pmod(turn, {k})) div {k}')  # floor(turn / k), exact
     msg = F.struct(F.col('turn'), F.col('role'), F.col('text'))
     doc = F.to_json(F.struct(F.transform(
         F.array_sort(F.collect_list(msg)),
         lambda m: F.struct(m['role'].alias('role'), F.array(F.struct(
             F.lit('text').alias('type'), m['text'].alias('text'))).alias('parts')),
     ).alias('messages')))
-    return (messages.groupBy('conv_id')
+    return (messages.groupBy('conv_id', segment.alias('segment'))
             .agg(F.min('created').alias('created'), doc.alias('raw'))
-            .select(F.col('conv_id'),
+            .select(F.col('conv_id'), 'segment',
                     F.date_format('created', 'yyyy-MM-dd HH:mm:ss').alias('Erstellt'),
                     F.col('raw').alias('Raw Chat Data')))

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from chatlens import dictionaries as D
-from chatlens.operators.extract import extract_qa_flat, extract_qa_json
+from chatlens.operators.extract import extract_qa_flat, extract_qa_json, extract_qa_segments
 from chatlens.sources.fixture import export_rows, fixture_messages
 
 from conftest import SF001
@@ -141,3 +141,81 @@ def test_hot_conversation_salted_equals_unsalted(spark):
     b = extract_qa_flat(hot, salt_buckets=1).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert len(a) == 1 + sum(1 for r in a if r['id'] != -1)
+
+
+def test_segments_equal_flat_for_any_segment_size(spark):
+    """The export cut into segments of k messages, merged across segments,
+    gives the flat result for every k (k=1 puts every message in its own
+    segment; 256 keeps each conversation whole)."""
+    msgs = fixture_messages(spark, SF001)
+    cols = ['id', 'Datetime', 'Frage', 'Antwort']
+    flat = extract_qa_flat(msgs).select(cols)
+    for k in (1, 2, 3, 256):
+        rows = export_rows(msgs, k).withColumn('Datetime', F.to_timestamp_ntz('Erstellt'))
+        seg = extract_qa_segments(rows, id_col='conv_id').select(cols)
+        assert seg.count() == flat.count() > 0
+        assert flat.exceptAll(seg).count() == 0 and seg.exceptAll(flat).count() == 0, k
+
+
+def test_segment_groups_are_bounded(spark):
+    msgs = fixture_messages(spark, SF001)
+    sizes = (export_rows(msgs, 2)
+             .select(F.size(F.from_json('`Raw Chat Data`', 'messages array<string>')['messages']).alias('n'))
+             .agg(F.max('n')).first()[0])
+    assert sizes <= 2
+
+
+def test_one_segment_equals_row_local_json(spark):
+    """With one segment per conversation the segment merge reproduces the
+    row-local extraction, regex fallback included, in both modes."""
+    raws = [
+        doc(msg('user', 'Frage eins'), msg('assistant', 'Antwort eins')),
+        doc(msg('user', 'x', kind='image'), msg('user', 'Frage zwei'), msg('assistant', 'A2')),
+        doc(msg('user', 'Frage vier'), msg('assistant', 'y', kind='image'), msg('assistant', 'A4')),
+        doc(msg('user', ''), msg('assistant', 'früh'), msg('user', 'Frage sechs'), msg('assistant', 'A6')),
+        '{"messages":[{"parts":[{"type":"text","text":"Frage eins"}],"role":"user"},'
+        '{"parts":[{"type":"text","text":""}],"role":"assistant"},'
+        '{"parts":[{"type":"text","text":"Frage zwei"}],"role":"user"}]}',
+        'not json at all',
+    ]
+    df = spark.createDataFrame([(i, 0, T0, r) for i, r in enumerate(raws)],
+                               'id long, segment long, Datetime timestamp_ntz, raw string')
+    for mode in ('compat', 'robust'):
+        a = extract_qa_json(df, raw_col='raw', mode=mode).select('id', 'Frage', 'Antwort')
+        b = extract_qa_segments(df, raw_col='raw', mode=mode).select('id', 'Frage', 'Antwort')
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())), mode
+
+
+def test_segments_across_boundaries(spark):
+    """Question in one segment, its answer in a later one; an assistant
+    message before the question in the same segment is not the answer."""
+    rows = [
+        (1, 0, doc(msg('assistant', 'Hallo'), msg('user', ''))),
+        (1, 1, doc(msg('assistant', 'zu früh'), msg('user', 'Frage'))),
+        (1, 2, doc(msg('user', 'noch eine'))),
+        (1, 3, doc(msg('assistant', 'Antwort'), msg('assistant', 'später'))),
+        (2, 5, doc(msg('user', 'F2'), msg('assistant', 'y', kind='image'))),
+        (2, 6, doc(msg('assistant', 'nicht diese'))),
+        (3, 0, doc(msg('system', 's'))),
+        (3, 1, doc(msg('user', 'F3'))),
+    ]
+    df = spark.createDataFrame([(i, s, T0, r) for i, s, r in rows],
+                               'id long, segment long, Datetime timestamp_ntz, raw string')
+    got = {r['id']: (r['Frage'], r['Antwort'])
+           for r in extract_qa_segments(df, raw_col='raw').collect()}
+    assert got == {1: ('Frage', 'Antwort'), 2: ('F2', D.NO_ANSWER), 3: ('F3', D.NO_ANSWER)}
+
+
+def test_hot_conversation_segments(spark):
+    """A conversation holding a third of all messages is cut into bounded
+    segments and still gives the flat result."""
+    msgs = fixture_messages(spark, SF001)
+    in_hot = F.col('conv_id') % 3 == 0
+    hot = msgs.select(F.when(in_hot, F.lit(-1)).otherwise(F.col('conv_id')).alias('conv_id'),
+                      F.when(in_hot, F.col('conv_id') * 1000 + F.col('turn')).otherwise(F.col('turn')).alias('turn'),
+                      'role', 'text', 'created')
+    cols = ['id', 'Frage', 'Antwort']
+    flat = extract_qa_flat(hot).select(cols)
+    rows = export_rows(hot, 4).withColumn('Datetime', F.to_timestamp_ntz('Erstellt'))
+    seg = extract_qa_segments(rows, id_col='conv_id').select(cols)
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, seg.collect()))
