@@ -159,19 +159,22 @@ def _fallback(raw: Column):
 
 def extract_qa_json(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col: str = 'id',
                     datetime_col: str = 'Datetime', mode: str = 'compat',
-                    keep_rejects: bool = False) -> DataFrame:
+                    keep_rejects: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Question/answer from chat JSON, one row in, at most one row out.
 
     mode='compat' decodes the text after replacing every `""` by `"`, exactly
     as the original (so valid JSON holding `""` goes to the regex path);
     mode='robust' first tries the text as it is, then the replaced text, then
     the regex. With `keep_rejects` the rows without a question are kept with
-    NULL `Frage` and a `path` of 'none'.
+    NULL `Frage` and a `path` of 'none'. `keep` names input columns to carry
+    through unchanged.
     """
     raw = F.col(raw_col)
+    kept = [F.col(f'`{c}`') for c in keep]
     msgs, ok = _decode_mode(raw, mode)
     staged = _with_positions(rows.select(F.col(id_col).alias('id'), F.col(datetime_col).alias('Datetime'),
-                                         raw.alias('_raw'), msgs.alias('_msgs'), ok.alias('_ok')))
+                                         *kept, raw.alias('_raw'), msgs.alias('_msgs'),
+                                         ok.alias('_ok')))
     jq, ja = _text_at('_qi'), _text_at('_ai')
     rq, ra = _fallback(F.col('_raw'))
     if mode == 'robust':
@@ -179,12 +182,12 @@ def extract_qa_json(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col: str
         # it is not the question's own text
         ra = F.when(ra != rq, ra)
     staged = staged.select(
-        'id', 'Datetime',
+        'id', 'Datetime', *kept,
         F.when(F.col('_ok'), jq).otherwise(rq).alias('Frage'),
         F.when(F.col('_ok'), ja).otherwise(ra).alias('_a'),
         F.when(F.col('_ok'), F.lit('json')).otherwise(F.lit('regex')).alias('path'))
     has_q = F.length('Frage') > 0
-    out = staged.select('id', 'Datetime', F.when(has_q, F.col('Frage')).alias('Frage'),
+    out = staged.select('id', 'Datetime', *kept, F.when(has_q, F.col('Frage')).alias('Frage'),
                         _answer_or_sentinel(F.col('_a')).alias('Antwort'),
                         F.when(has_q, F.col('path')).otherwise(F.lit('none')).alias('path'))
     if keep_rejects:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
@@ -37,16 +37,18 @@ def length_histogram(qa: DataFrame, col: str = 'Fragenlänge_Zeichen', max_bins:
     """Fixed-width histogram (E14): width = smallest of 1/2/5 x 10^k giving at
     most `max_bins` bins over [min, max]; bins start at multiples of the width.
 
-    Rows are first reduced to (value, count) - one row per distinct length -
-    and only that small frame sees the unpartitioned window for min/max.
+    Rows are first reduced to (value, count) - one row per distinct length,
+    combined map-side. The width is a scalar subquery over that frame (its
+    min and max): one value computed once and handed to every task, with no
+    window that would pull all distinct lengths into one partition.
     """
-    vc = qa.groupBy(F.col(col).alias('x')).agg(F.count(F.lit(1)).alias('n')).filter('x IS NOT NULL')
-    whole = Window.partitionBy()
+    vc = qa.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias('x')).agg(
+        F.count(F.lit(1)).alias('n'))
     widths = F.array(*[F.lit(w).cast('bigint') for w in NICE_WIDTHS])
-    ranged = vc.select('x', 'n', F.min('x').over(whole).alias('mn'), F.max('x').over(whole).alias('mx'))
-    width = F.array_min(F.filter(
-        widths, lambda w: F.floor(F.col('mx') / w) - F.floor(F.col('mn') / w) + 1 <= max_bins))
-    binned = ranged.select('n', 'x', width.alias('w')).select(
+    rng = vc.agg(F.min('x').alias('mn'), F.max('x').alias('mx'))
+    width = rng.select(F.array_min(F.filter(
+        widths, lambda w: F.floor(F.col('mx') / w) - F.floor(F.col('mn') / w) + 1 <= max_bins)).alias('w'))
+    binned = vc.select('x', 'n', width.scalar().alias('w')).select(
         'n', 'w', (F.floor(F.col('x') / F.col('w')) * F.col('w')).cast('bigint').alias('bin_start'))
     return binned.groupBy('bin_start', 'w').agg(F.sum('n').alias('Anzahl')).select(
         'bin_start', (F.col('bin_start') + F.col('w')).alias('bin_end'), 'Anzahl')

@@ -64,14 +64,14 @@ def qa_from_export(rows: DataFrame, mode: str = 'compat') -> DataFrame:
 def rejects(rows: DataFrame, mode: str = 'compat') -> DataFrame:
     """The rows the original drops without a word, with the reason:
     (id, Erstellt, Raw Chat Data, reason); 'no_question' when extraction found
-    nothing."""
+    nothing. One row-local pass: the extraction carries the raw columns, so
+    no second read and no join."""
     tagged = with_reject_reason(rows).withColumn('id', row_id())
-    early = tagged.filter(F.col('reason').isNotNull()).select('id', CREATED, RAW, 'reason')
-    passed = tagged.filter(F.col('reason').isNull())
-    none = (extract_qa_json(passed, raw_col=RAW, mode=mode, keep_rejects=True)
-            .filter(F.col('Frage').isNull()).select('id'))
-    late = passed.join(none, 'id', 'left_semi').select('id', CREATED, RAW, F.lit('no_question').alias('reason'))
-    return early.unionByName(late)
+    checked = extract_qa_json(tagged, raw_col=RAW, mode=mode, keep_rejects=True,
+                              keep=(CREATED, RAW, 'reason'))
+    reason = F.coalesce(F.col('reason'), F.when(F.col('Frage').isNull(), F.lit('no_question')))
+    return (checked.select('id', F.col(f'`{CREATED}`'), F.col(f'`{RAW}`'), reason.alias('reason'))
+            .filter(F.col('reason').isNotNull()))
 
 
 def to_bronze(spark: SparkSession, path: str, out: str, mode: str = 'overwrite') -> None:
