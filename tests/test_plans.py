@@ -41,3 +41,34 @@ def test_dense_counts_need_no_join(spark):
     for name in ('weekday_counts', 'weekday_hour_heatmap', 'topic_daily_trend'):
         p = plan(QUERIES[name](spark, SF001))
         assert 'CartesianProduct' not in p and 'NestedLoopJoin' not in p, name
+
+
+def _depth(line):
+    return len(line) - len(line.lstrip(' :+-'))
+
+
+def test_windows_only_over_bounded_frames(spark):
+    """Every Window operator in every registered query runs over the output
+    of a top-k or limit, never over a whole table (an unpartitioned window
+    would pull all rows into one task)."""
+    bounded = ('TakeOrderedAndProject', 'GlobalLimit', 'CollectLimit')
+    for name, build in QUERIES.items():
+        if name.startswith('stream_'):
+            continue
+        lines = plan(build(spark, SF001)).splitlines()
+        for i, line in enumerate(lines):
+            if 'Window [' not in line and not line.lstrip(' :+-').startswith('Window '):
+                continue
+            d = _depth(line)
+            below = []
+            for nxt in lines[i + 1:]:
+                if _depth(nxt) <= d:
+                    break
+                below.append(nxt)
+            assert any(b in x for x in below for b in bounded), name
+
+
+def test_export_segments_group_by_conversation_and_block(spark):
+    p = plan(QUERIES['qa_from_json'](spark, SF001))
+    agg = [x for x in p.splitlines() if 'collect_list' in x]
+    assert agg and all('_groupingexpression' in x or 'segment' in x for x in agg)
