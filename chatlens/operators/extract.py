@@ -3,8 +3,8 @@
 Two inputs, one result shape `(id, Datetime, Frage, Antwort)`:
 
 * `extract_qa_flat` - a flat message table `(id, turn, role, text[, created])`.
-  Map-side-combined aggregates and a salted join, so no conversation, however
-  large, lands in one task.
+  Map-side-combined aggregates and a salted outer join, so no conversation,
+  however large, lands in one task.
 * `extract_qa_json` - the export shape: one row per conversation holding the
   chat as JSON text. Entirely row-local (no shuffle): `from_json` plus
   higher-order array functions, with the regex fallback for rows whose JSON
@@ -56,14 +56,16 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
     answer   = lowest-turn assistant message after it (its text, or the
                sentinel when it is empty or missing).
 
-    Plan (three exchanges): (1) per conversation `min(turn)` and `min_by` of
-    text/time over valid user rows, combined map-side, so only one partial row
-    per conversation and task is shuffled; (2) the answer candidates by an
-    inequality join of assistant rows to (1), salted on `turn`, so a
-    conversation holding a large share of all rows is spread over
-    `salt_buckets` tasks (the one-row side is replicated `salt_buckets` times),
-    then `min_by(text, turn)` per conversation, again combined map-side;
-    (3) a left join of (1) and (2), both already hash-partitioned by id.
+    Plan: (1) per conversation `min(turn)` and `min_by` of text/time over
+    valid user rows, combined map-side, so only one partial row per
+    conversation and task is shuffled; (2) each question row, replicated once
+    per salt, left-joins the assistant rows on (id, salt) with
+    `turn > q_turn` in the join condition - the salt spreads a conversation
+    holding a large share of all rows over `salt_buckets` tasks; (3) one
+    aggregate per conversation takes the question (carried by salt copy 0
+    only, so the replication does not multiply the text) and `min_by(text,
+    turn)` over the matched assistant rows, combined map-side. The input is
+    read twice and there is no final join.
 
     The salt is a hash of the turn, not the turn modulo the bucket count:
     in an alternating conversation all assistant turns share one parity,
@@ -78,18 +80,19 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
          .groupBy('id').agg(F.min('turn').alias('q_turn'),
                             F.min_by('text', 'turn').alias('Frage'),
                             F.min_by('Datetime', 'turn').alias('Datetime')))
-
-    asst = m.filter(F.col('role') == 'assistant').select('id', 'turn', 'text')
-    qk = q.select('id', 'q_turn')
-    keys = ['id']
-    if salt_buckets > 1:
-        asst = asst.withColumn('salt', F.pmod(F.xxhash64('turn'), F.lit(salt_buckets)).cast('int'))
-        qk = qk.withColumn('salt', F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        keys = ['id', 'salt']
-    a = (asst.join(qk, keys).filter(F.col('turn') > F.col('q_turn'))
-         .groupBy('id').agg(F.min_by('text', 'turn').alias('a_text')))
-    return (q.join(a, 'id', 'left')
-            .select('id', 'Datetime', 'Frage', _answer_or_sentinel(F.col('a_text')).alias('Antwort')))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(max(salt_buckets, 1) - 1)))
+    first_copy = F.col('salt') == 0
+    qs = (q.select('id', 'q_turn', 'Frage', 'Datetime', salts.alias('salt'))
+          .select('id', 'q_turn', 'salt', F.when(first_copy, F.col('Frage')).alias('Frage'),
+                  F.when(first_copy, F.col('Datetime')).alias('Datetime')))
+    asst = m.filter(F.col('role') == 'assistant').select(
+        F.col('id').alias('a_id'), F.col('turn').alias('a_turn'), F.col('text').alias('a_text'),
+        F.pmod(F.xxhash64('turn'), F.lit(max(salt_buckets, 1))).cast('int').alias('a_salt'))
+    on = (qs['id'] == asst['a_id']) & (qs['salt'] == asst['a_salt']) & (asst['a_turn'] > qs['q_turn'])
+    pairs = qs.join(asst, on, 'left').groupBy('id').agg(
+        F.any_value('Frage', True).alias('Frage'), F.any_value('Datetime', True).alias('Datetime'),
+        F.min_by('a_text', 'a_turn').alias('a_text'))
+    return pairs.select('id', 'Datetime', 'Frage', _answer_or_sentinel(F.col('a_text')).alias('Antwort'))
 
 
 # --------------------------------------------------------------------------- JSON
