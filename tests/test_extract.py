@@ -219,3 +219,52 @@ def test_hot_conversation_segments(spark):
     rows = export_rows(hot, 4).withColumn('Datetime', F.to_timestamp_ntz('Erstellt'))
     seg = extract_qa_segments(rows, id_col='conv_id').select(cols)
     assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, seg.collect()))
+
+
+def _brute_force_pairs(rows):
+    """The first-question / first-answer rule in plain Python over
+    (conv, turn, role, text) rows, walking each conversation in turn order."""
+    by_conv = {}
+    for conv, turn, role, text in rows:
+        by_conv.setdefault(conv, []).append((turn, role, text))
+    out = {}
+    for conv, msgs in by_conv.items():
+        question, answer = None, None
+        for _, role, text in sorted(msgs):
+            if question is None:
+                if role == 'user' and text:
+                    question = text
+            elif role == 'assistant':
+                answer = text
+                break
+        if question is not None:
+            out[conv] = (question, answer or D.NO_ANSWER)
+    return out
+
+
+def test_flat_and_segments_equal_brute_force_on_random_conversations(spark):
+    """Random conversations (system turns, empty texts, gaps in the turn
+    numbers, no answer, answer before the question): the flat plan and the
+    segment merge for several segment sizes equal the brute force."""
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for conv in range(300):
+        turn = rnd.randint(-5, 5)
+        for _ in range(rnd.randint(0, 14)):
+            turn += rnd.randint(1, 4)
+            role = rnd.choice(['user', 'assistant', 'assistant', 'system'])
+            text = rnd.choice(['', 'a', 'frage', 'antwort', 'x y'])
+            rows.append((conv, turn, role, text + (str(turn) if text else '')))
+    want = _brute_force_pairs(rows)
+    df = spark.createDataFrame(rows, 'conv_id long, turn long, role string, text string')
+    df = df.withColumn('created', F.lit(T0))
+    for salt in (1, 3, 8):
+        got = {r['id']: (r['Frage'], r['Antwort'])
+               for r in extract_qa_flat(df, salt_buckets=salt).collect()}
+        assert got == want, salt
+    for k in (1, 2, 5, 64):
+        rows_k = export_rows(df, k).withColumn('Datetime', F.to_timestamp_ntz('Erstellt'))
+        got = {r['id']: (r['Frage'], r['Antwort'])
+               for r in extract_qa_segments(rows_k, id_col='conv_id', mode='robust').collect()}
+        assert got == want, k
