@@ -33,27 +33,37 @@ def local_session(cores: int | str = '*', shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
-    On a cluster the folder must be set by whoever runs the job (a path every
-    executor can reach). Only a local-mode session without one gets a fresh
-    temporary folder, as in tests.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder named by `spark.checkpoint.dir`, as configured.
+
+    Stream checkpoints go here (under `streams/<name>`), so a stream started
+    again by a later application finds its offsets and state and resumes.
+    On a cluster the setting must name a folder every executor can reach;
+    only a local-mode session without it gets a temporary folder (one per
+    application, as in tests).
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir()
+    d = sc.getConf().get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
     if d:
         return d
-    d = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
-    if not d:
-        if not sc.master.startswith('local'):
-            raise RuntimeError(
-                f'{CHECKPOINT_CONF} is not set; point it at a shared folder (HDFS/S3/ABFS) '
-                'that every executor can reach')
-        d = tempfile.mkdtemp(prefix='chatlens-ckpt-')
-        spark.conf.set(CHECKPOINT_CONF, d)
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    if not sc.master.startswith('local'):
+        raise RuntimeError(
+            f'{CHECKPOINT_CONF} is not set; point it at a shared folder (HDFS/S3/ABFS) '
+            'that every executor can reach')
+    return _LOCAL_ROOTS.setdefault(sc.applicationId, tempfile.mkdtemp(prefix='chatlens-ckpt-'))
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder `DataFrame.checkpoint` writes to: Spark's own per-application
+    subfolder of `checkpoint_root` (set from `spark.checkpoint.dir` at start,
+    or here from the local fallback)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_root(spark))
+    return sc.getCheckpointDir()
 
 
 def materialize(df, eager: bool = True):

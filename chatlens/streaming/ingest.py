@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import dictionaries as D
 from ..operators.classification import classify_rule_based
 from ..operators.messages import qa_messages
-from ..session import checkpoint_dir
+from ..session import checkpoint_root
 from ..sources.chat_csv import CREATED, CSV_OPTIONS, RAW, qa_from_export
 
 EXPORT_SCHEMA = T.StructType([T.StructField(CREATED, T.StringType()), T.StructField(RAW, T.StringType())])
@@ -67,8 +67,10 @@ def classified_stream(qa: DataFrame, dicts: D.Dictionaries = D.DEFAULT, matcher:
 
 
 def stream_location(spark: SparkSession, name: str) -> str:
-    """Checkpoint folder for a named stream under the shared checkpoint dir."""
-    return os.path.join(checkpoint_dir(spark), 'streams', name)
+    """Checkpoint folder for a named stream under the shared checkpoint
+    folder - the same path in every application, so a restarted stream
+    resumes from its offsets and state."""
+    return os.path.join(checkpoint_root(spark), 'streams', name)
 
 
 def start(df: DataFrame, name: str, sink: str = 'parquet', path: str | None = None,
@@ -103,17 +105,22 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = 'complete') -> Dat
     """Run a stream over what has arrived (availableNow) and return its result
     table, read back from Parquet in the shared checkpoint folder.
 
-    Each micro-batch is written by the executors (`foreachBatch`); in complete
-    mode every batch overwrites the table, so a retried batch is idempotent.
-    A fresh folder per call keeps runs apart.
+    Each micro-batch is written by the executors (`foreachBatch`). In
+    complete mode every batch overwrites the table; in append mode each batch
+    overwrites its own `batch=<id>` folder. Either way a retried batch is
+    idempotent. A fresh folder per call keeps runs apart.
     """
     spark = df.sparkSession
     base = stream_location(spark, f'{name}-{uuid.uuid4().hex}')
     out = os.path.join(base, 'result')
 
     def write(batch: DataFrame, epoch: int) -> None:
-        mode = 'overwrite' if output_mode == 'complete' else 'append'
-        batch.write.mode(mode).parquet(out)
+        # complete mode: each batch is the whole result; otherwise each batch
+        # has its own folder. Both overwrite, so a retried batch is idempotent.
+        if output_mode == 'complete':
+            batch.write.mode('overwrite').parquet(out)
+        else:
+            batch.write.mode('overwrite').parquet(os.path.join(out, f'batch={epoch}'))
 
     q = (df.writeStream.outputMode(output_mode).option('checkpointLocation', os.path.join(base, 'state'))
          .foreachBatch(write).trigger(availableNow=True).start())

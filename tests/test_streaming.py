@@ -40,3 +40,32 @@ def test_stream_matches_batch(spark, tmp_path):
     cls = spark.table('classified_test')
     assert cls.count() == 8
     assert cls.filter("frage = 'So ein Mist'").first()['kategorie'] == 'aggressiv'
+
+
+def test_stream_resumes_and_drops_late_data(spark, tmp_path):
+    """Two incremental runs of the same named stream: the second resumes from
+    the checkpoint (only the new file is read), windows are emitted once when
+    the watermark passes them, and an event older than the watermark is
+    dropped."""
+    import uuid
+
+    src, out = os.path.join(tmp_path, 'in'), os.path.join(tmp_path, 'out')
+    os.makedirs(src)
+    name = f'daily-{uuid.uuid4().hex}'
+
+    def run():
+        qa = qa_stream(read_export_stream(spark, src))
+        start(windowed_counts(qa, '1 day', '1 day'), name, sink='parquet', path=out,
+              output_mode='append').awaitTermination()
+        return sorted((r['window_start'].day, r['Anzahl']) for r in spark.read.parquet(out).collect())
+
+    export_file(os.path.join(src, 'a.csv'), [('2025-07-21 08:00:00', 'q1', 'a'),
+                                             ('2025-07-22 09:00:00', 'q2', 'a'),
+                                             ('2025-07-25 10:00:00', 'q3', 'a')])
+    # watermark after run 1: 24th 10:00, so the 21st and 22nd are final
+    assert run() == [(21, 1), (22, 1)]
+    export_file(os.path.join(src, 'b.csv'), [('2025-07-21 12:00:00', 'late', 'a'),
+                                             ('2025-07-25 11:00:00', 'q4', 'a'),
+                                             ('2025-07-28 10:00:00', 'q5', 'a')])
+    # run 2: the late 21st event is dropped, the 25th closes with both events
+    assert run() == [(21, 1), (22, 1), (25, 2)]
