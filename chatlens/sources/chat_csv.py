@@ -33,7 +33,7 @@ def read_chat_csv(spark: SparkSession, path: str, **options) -> DataFrame:
         c = F.col(f'`{name}`') if name in cols else F.lit(None).cast('string')
         return F.translate(c, '�', '').alias(name)
 
-    return raw.select(F.input_file_name().alias('file'), pick(CREATED), pick(RAW))
+    return raw.select(F.col('_metadata.file_path').alias('file'), pick(CREATED), pick(RAW))
 
 
 def with_reject_reason(rows: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def read_export_stream(spark: SparkSession, path: str, schema: T.StructType = EX
     if max_files_per_trigger:
         r = r.option('maxFilesPerTrigger', str(max_files_per_trigger))
     raw = r.csv(path)
-    return raw.select(F.input_file_name().alias('file'),
+    return raw.select(F.col('_metadata.file_path').alias('file'),
                       F.translate(F.col(f'`{CREATED}`'), '�', '').alias(CREATED),
                       F.translate(F.col(f'`{RAW}`'), '�', '').alias(RAW))
 

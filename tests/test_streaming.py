@@ -27,17 +27,19 @@ def test_stream_matches_batch(spark, tmp_path):
                                              ('2025-07-21 19:00:00', 'So ein Mist', 'Entschuldigung')])
     export_file(os.path.join(src, 'b.csv'), [('2025-07-22 09:30:00', 'Poulet grillieren?', 'Ja'),
                                              ('2025-07-23 12:00:00', 'Danke!', 'Bitte')])
+    import uuid
+    tag = uuid.uuid4().hex  # stream checkpoints persist under the shared folder: one name per run
     qa = qa_stream(read_export_stream(spark, src))
-    q1 = start(windowed_counts(qa), 'daily_test', sink='memory', output_mode='complete')
+    q1 = start(windowed_counts(qa), f'daily_{tag}', sink='memory', output_mode='complete')
     q1.awaitTermination()
-    q2 = start(classified_stream(qa), 'classified_test', sink='memory', output_mode='append')
+    q2 = start(classified_stream(qa), f'classified_{tag}', sink='memory', output_mode='append')
     q2.awaitTermination()
-    daily = {r['window_start'].day: r['Anzahl'] for r in spark.table('daily_test').collect()}
+    daily = {r['window_start'].day: r['Anzahl'] for r in spark.table(f'daily_{tag}').collect()}
     batch = qa_from_export(read_chat_csv(spark, src))
     want = {r['d']: r['n'] for r in batch.groupBy(F.dayofmonth('Datetime').alias('d'))
             .agg(F.count('*').alias('n')).collect()}
     assert daily == want == {21: 2, 22: 1, 23: 1}
-    cls = spark.table('classified_test')
+    cls = spark.table(f'classified_{tag}')
     assert cls.count() == 8
     assert cls.filter("frage = 'So ein Mist'").first()['kategorie'] == 'aggressiv'
 
