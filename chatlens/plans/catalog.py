@@ -86,6 +86,21 @@ def q_qa_from_json(spark, d):
     return extract_qa_segments(rows, raw_col='Raw Chat Data', id_col='conv_id', segment_col='segment')
 
 
+def q_qa_from_csv(spark, d):
+    """A1-A2, B1-B3 on files: the segmented export written by Spark as CSV
+    export files under the shared checkpoint folder, read back with the
+    export reader, checked and extracted."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_root
+    from ..sources.chat_csv import qa_from_segmented_export, read_chat_csv, write_export_csv
+    path = os.path.join(checkpoint_root(spark), 'exports', uuid.uuid4().hex)
+    write_export_csv(export_rows(fixture_messages(spark, d), EXPORT_SEGMENT_MESSAGES), path)
+    rows = read_chat_csv(spark, path, keep=('conv_id', 'segment'))
+    return qa_from_segmented_export(rows).select('id', 'Datetime', 'Frage', 'Antwort')
+
+
 def q_qa_features(spark, d):
     return qa(spark, d).select(*QA_OUT)
 
@@ -288,6 +303,7 @@ def q_stream_classification_counts(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'qa_pairs': q_qa_pairs,
     'qa_from_json': q_qa_from_json,
+    'qa_from_csv': q_qa_from_csv,
     'qa_features': q_qa_features,
     'qa_json_features': q_qa_json_features,
     'overview_metrics': q_overview_metrics,

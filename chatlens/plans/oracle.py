@@ -166,6 +166,7 @@ def _sql() -> dict[str, str]:
     sql = {}
     sql['qa_pairs'] = f'WITH {FX},\n{QA0}\nSELECT id, "Datetime", "Frage", "Antwort" FROM qa0'
     sql['qa_from_json'] = sql['qa_pairs']
+    sql['qa_from_csv'] = sql['qa_pairs']
     sql['qa_features'] = BASE + f'SELECT {QA_COLS} FROM qa'
     sql['qa_json_features'] = sql['qa_features']
     sql['overview_metrics'] = BASE + """SELECT count(*) AS gesamt_fragen, min("Datum") AS erster_tag,

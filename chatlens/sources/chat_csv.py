@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse_created
-from ..operators.extract import extract_qa_json
+from ..operators.extract import extract_qa_json, extract_qa_segments
 
 CREATED = 'Erstellt'
 RAW = 'Raw Chat Data'
@@ -19,9 +19,10 @@ CSV_OPTIONS = {'header': 'true', 'multiLine': 'true', 'quote': '"', 'escape': '"
                'encoding': 'UTF-8', 'mode': 'PERMISSIVE', 'inferSchema': 'false'}
 
 
-def read_chat_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Export rows as (file, Erstellt, Raw Chat Data), columns found by header
-    name; a missing column reads as NULL, extra columns are ignored.
+def read_chat_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """Export rows as (file, Erstellt, Raw Chat Data, *keep), columns found by
+    header name; a missing column reads as NULL, other columns are ignored
+    unless named in `keep`.
 
     Undecodable bytes come through as U+FFFD and are removed, as the original
     reads with errors='ignore'.
@@ -33,7 +34,16 @@ def read_chat_csv(spark: SparkSession, path: str, **options) -> DataFrame:
         c = F.col(f'`{name}`') if name in cols else F.lit(None).cast('string')
         return F.translate(c, '�', '').alias(name)
 
-    return raw.select(F.col('_metadata.file_path').alias('file'), pick(CREATED), pick(RAW))
+    return raw.select(F.col('_metadata.file_path').alias('file'), pick(CREATED), pick(RAW),
+                      *[pick(k) for k in keep])
+
+
+def write_export_csv(rows: DataFrame, path: str, mode: str = 'errorifexists') -> None:
+    """Write export rows in the export's CSV form: header, comma, fields with
+    commas, quotes or line breaks quoted, quotes doubled. Written by the
+    executors, one file per partition."""
+    (rows.write.mode(mode).option('header', 'true').option('quote', '"').option('escape', '"')
+     .option('encoding', 'UTF-8').csv(path))
 
 
 def with_reject_reason(rows: DataFrame) -> DataFrame:
@@ -61,6 +71,18 @@ def qa_from_export(rows: DataFrame, mode: str = 'compat') -> DataFrame:
     return extract_qa_json(ok.withColumn('id', row_id()), raw_col=RAW, mode=mode)
 
 
+def qa_from_segmented_export(rows: DataFrame, id_col: str = 'conv_id', segment_col: str = 'segment',
+                             mode: str = 'compat') -> DataFrame:
+    """Export rows that hold bounded segments of a conversation (columns
+    `id_col`, `segment_col` next to the export's two) -> (id, Datetime, Frage,
+    Antwort). The same row checks as `qa_from_export`, then the segment merge
+    (`extract_qa_segments`)."""
+    ok = with_reject_reason(rows).filter(F.col('reason').isNull())
+    ok = ok.select(F.col(id_col).cast('bigint').alias(id_col),
+                   F.col(segment_col).cast('bigint').alias(segment_col), 'Datetime', F.col(f'`{RAW}`'))
+    return extract_qa_segments(ok, raw_col=RAW, id_col=id_col, segment_col=segment_col, mode=mode)
+
+
 def rejects(rows: DataFrame, mode: str = 'compat') -> DataFrame:
     """The rows the original drops without a word, with the reason:
     (id, Erstellt, Raw Chat Data, reason); 'no_question' when extraction found
