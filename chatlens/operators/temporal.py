@@ -81,9 +81,15 @@ def weekday_hour_heatmap(qa: DataFrame, weekday: str = 'Wochentag', hour: str =
                         by=['Stunde'], share_name=None, where=where)
 
 
-def weekday_hour_matrix(qa: DataFrame) -> DataFrame:
-    """Wide form: one row per weekday (all 7), one column per observed hour."""
-    counts = qa.groupBy('Wochentag').pivot('Stunde').agg(F.count('Frage'))
-    days = qa.sparkSession.createDataFrame(
-        [(i + 1, d) for i, d in enumerate(D.WEEKDAYS)], 'pos int, Wochentag string')
-    return F.broadcast(days).join(counts, 'Wochentag', 'left').na.fill(0).orderBy('pos')
+def weekday_hour_matrix(qa: DataFrame, weekday: str = 'Wochentag', hour: str = 'Stunde',
+                        counted: str | None = 'Frage') -> DataFrame:
+    """Wide form (E12): one row per weekday (all 7, `pos` 1..7, in order),
+    one column per observed hour named '0'..'23', zeros kept.
+
+    A pivot of the long form, which already holds every weekday for every
+    observed hour, so no dimension join is needed. Spark looks up the
+    observed hours (at most 24) before it plans the pivot; the final sort
+    sees 7 rows.
+    """
+    long = weekday_hour_heatmap(qa, weekday, hour, counted)
+    return long.groupBy('pos', 'Wochentag').pivot('Stunde').agg(F.sum('Anzahl')).orderBy('pos')

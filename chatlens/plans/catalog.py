@@ -133,6 +133,10 @@ def q_weekday_hour_heatmap(spark, d):
     return T.weekday_hour_heatmap(qa(spark, d))
 
 
+def q_weekday_hour_matrix(spark, d):
+    return T.weekday_hour_matrix(qa(spark, d))
+
+
 def q_length_stats(spark, d):
     return L.length_stats(qa(spark, d))
 
@@ -312,6 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'daypart_counts': q_daypart_counts,
     'hour_counts': q_hour_counts,
     'weekday_hour_heatmap': q_weekday_hour_heatmap,
+    'weekday_hour_matrix': q_weekday_hour_matrix,
     'length_stats': q_length_stats,
     'length_bands': q_length_bands,
     'length_histogram_chars': q_length_histogram_chars,

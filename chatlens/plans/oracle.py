@@ -185,6 +185,8 @@ FROM qa"""
             f'LEFT JOIN {{src}} x ON x."Stunde" = h."Stunde" AND x."Wochentag" = d."Wochentag" '
             f'GROUP BY h."Stunde", d.pos, d."Wochentag"')
     sql['weekday_hour_heatmap'] = BASE + heat.format(src='qa', counted='"Frage"')
+    sql['weekday_hour_matrix'] = (BASE + 'SELECT * FROM (PIVOT (' + heat.format(src='qa', counted='"Frage"')
+                                  + ') ON "Stunde" USING first("Anzahl") GROUP BY pos, "Wochentag")')
     sql['length_stats'] = BASE + """SELECT min("Fragenlänge_Zeichen") AS min_laenge, max("Fragenlänge_Zeichen") AS max_laenge,
   CAST(sum("Fragenlänge_Zeichen") AS DOUBLE) / count("Fragenlänge_Zeichen") AS mittlere_laenge,
   CAST(quantile_cont("Fragenlänge_Zeichen", 0.5) AS DOUBLE) AS median_laenge FROM qa"""
