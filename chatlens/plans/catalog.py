@@ -215,6 +215,19 @@ def q_classify_latest(spark, d):
     return classified_latest(spark, d)
 
 
+def q_classification_export(spark, d):
+    """A3: the classified messages written as JSON lines to the shared
+    checkpoint folder by the executors, and read back."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_root
+    from ..sources.export import read_classification_json, write_classification_json
+    path = os.path.join(checkpoint_root(spark), 'exports', uuid.uuid4().hex)
+    write_classification_json(classified(spark, d), path)
+    return read_classification_json(spark, path)
+
+
 def q_classification_summary(spark, d):
     return C.classification_summary(classified(spark, d))
 
@@ -335,6 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'latest_messages': q_latest_messages,
     'classify_messages': q_classify_messages,
     'classify_latest': q_classify_latest,
+    'classification_export': q_classification_export,
     'classification_summary': q_classification_summary,
     'category_counts': q_category_counts,
     'sentiment_counts': q_sentiment_counts,

@@ -234,6 +234,7 @@ WHERE regexp_matches("Frage", {s(Q.SEARCH_COUNT_TERM)}, 'i')"""
     base_latest = BASE.rstrip() + ',\n' + LATEST + '\n'
     sql['latest_messages'] = base_latest + 'SELECT nr, id, text, role, datetime FROM latest'
     sql['classify_messages'] = BASE_CLS + 'SELECT conv_id, turn, datetime, frage, rolle, kategorie, sentiment FROM cls'
+    sql['classification_export'] = BASE_CLS + 'SELECT frage, rolle, kategorie, sentiment, datetime FROM cls'
     sql['classify_latest'] = base_latest + 'SELECT nr, id, datetime, frage, rolle, kategorie, sentiment FROM lcls'
     sql['classification_summary'] = BASE_CLS + """SELECT count(*) AS analysiert,
   count_if(kategorie = 'essen/fleisch') AS essen_fleisch,

@@ -18,6 +18,14 @@ def write_classification_json(classified: DataFrame, path: str, mode: str = 'err
      .option('timestampNTZFormat', "yyyy-MM-dd HH:mm:ss").json(path))
 
 
+def read_classification_json(spark, path: str) -> DataFrame:
+    """Read an export written by `write_classification_json` back, with its
+    declared schema."""
+    return (spark.read.schema('frage string, rolle string, kategorie string, sentiment string, '
+                              'datetime timestamp_ntz')
+            .option('timestampNTZFormat', "yyyy-MM-dd HH:mm:ss").json(path))
+
+
 def classification_json_column(classified: DataFrame) -> DataFrame:
     """Each message as a JSON text column (`to_json`)."""
     cols = [c for c in EXPORT_COLUMNS if c in classified.columns]
