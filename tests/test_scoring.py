@@ -1,5 +1,7 @@
 """Model scoring with stand-in scorers."""
 
+import os
+
 from chatlens import dictionaries as D
 from chatlens.operators.scoring import RateLimitError, call_with_retry, score_messages
 
@@ -78,3 +80,22 @@ def test_score_messages(spark):
         'error lecker': ('neutral', 'positiv', 'regel'),
         'none reply': ('neutral', 'neutral', 'regel'),
     }
+
+
+def test_model_called_once_per_message(spark, tmp_path):
+    """The scores are checkpointed: building, counting and collecting call
+    the model once per message, not once per action."""
+    log = os.path.join(tmp_path, 'calls.log')
+
+    def scorer(prompt, text, role):
+        with open(log, 'a') as f:
+            f.write('x\n')
+        return '{"kategorie": "neutral", "sentiment": "neutral"}'
+
+    df = spark.createDataFrame([(i, f'text {i}', 'user') for i in range(120)],
+                               'id long, text string, role string').repartition(4)
+    out = score_messages(df, scorer=scorer, keep=('id',), sleep=None)
+    assert out.count() == 120
+    out.collect()
+    with open(log) as f:
+        assert sum(1 for _ in f) == 120
