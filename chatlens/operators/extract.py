@@ -1,6 +1,6 @@
 """First question / first answer of each conversation.
 
-Two inputs, one result shape `(id, Datetime, Frage, Antwort)`:
+Three entry points, one result shape `(id, Datetime, Frage, Antwort)`:
 
 * `extract_qa_flat` - a flat message table `(id, turn, role, text[, created])`.
   Map-side-combined aggregates and a salted outer join, so no conversation,
