@@ -302,11 +302,11 @@ def _message_stream(spark, d):
 def q_stream_daily_counts(spark, d):
     """J1 + J2: messages arriving as a stream, counted per day with a
     watermark, run incrementally to the end of the input."""
-    from ..streaming.ingest import run_to_table, windowed_counts
-    msgs = _message_stream(spark, d).withColumn('event_time', F.col('created').cast('timestamp'))
+    from ..streaming.ingest import event_time, naive_time, run_to_table, windowed_counts
+    msgs = _message_stream(spark, d).withColumn('event_time', event_time('created'))
     counts = run_to_table(windowed_counts(msgs, '1 day', '1 day'), 'daily_counts')
-    return counts.select(F.col('window_start').cast('timestamp_ntz').alias('window_start'),
-                         F.col('window_end').cast('timestamp_ntz').alias('window_end'), 'Anzahl')
+    return counts.select(naive_time('window_start').alias('window_start'),
+                         naive_time('window_end').alias('window_end'), 'Anzahl')
 
 
 def q_stream_classification_counts(spark, d):

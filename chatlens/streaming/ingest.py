@@ -5,9 +5,10 @@ functions run unchanged on a streaming DataFrame. New export files dropped
 into a folder are picked up by the file source; counts per day/hour are
 tumbling-window aggregates with a watermark that bounds late data and state.
 
-Event time: `withWatermark` needs TIMESTAMP (not TIMESTAMP_NTZ); the naive
-export time is read as TIMESTAMP in the session time zone, which should be
-UTC for these streams.
+Event time: `withWatermark` needs TIMESTAMP (not TIMESTAMP_NTZ). The naive
+export time becomes the instant whose UTC wall clock it is (`event_time`), and
+window bounds come back the same way (`naive_time`); neither depends on the
+session time zone, so a one-day window is one naive calendar day everywhere.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +30,25 @@ from ..sources.chat_csv import CREATED, CSV_OPTIONS, RAW, qa_from_export
 EXPORT_SCHEMA = T.StructType([T.StructField(CREATED, T.StringType()), T.StructField(RAW, T.StringType())])
 
 
+_EPOCH_NTZ = '1970-01-01 00:00:00'
+
+
+def event_time(c) -> Column:
+    """Naive time -> TIMESTAMP for watermarks and windows, read as UTC whatever
+    the session time zone. Whole seconds, as in the export format."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.timestamp_seconds(F.unix_timestamp(c))
+
+
+def naive_time(c) -> Column:
+    """TIMESTAMP -> naive time (its UTC wall clock), the inverse of
+    `event_time`, independent of the session time zone."""
+    c = F.col(c) if isinstance(c, str) else c
+    micros = F.unix_micros(c).cast('decimal(20,0)') / F.lit(1000000)
+    return F.lit(_EPOCH_NTZ).cast('timestamp_ntz') + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), micros.cast('decimal(18,6)'))
+
+
 def read_export_stream(spark: SparkSession, path: str, schema: T.StructType = EXPORT_SCHEMA,
                        max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming export rows (file, Erstellt, Raw Chat Data) from CSV files
@@ -47,7 +67,7 @@ def read_export_stream(spark: SparkSession, path: str, schema: T.StructType = EX
 def qa_stream(rows: DataFrame, mode: str = 'compat') -> DataFrame:
     """Streaming QA rows (id, Datetime, Frage, Antwort, event_time)."""
     qa = qa_from_export(rows, mode=mode)
-    return qa.withColumn('event_time', F.col('Datetime').cast('timestamp'))
+    return qa.withColumn('event_time', event_time('Datetime'))
 
 
 def windowed_counts(qa: DataFrame, every: str = '1 day', lateness: str = '1 day',

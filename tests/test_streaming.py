@@ -71,3 +71,25 @@ def test_stream_resumes_and_drops_late_data(spark, tmp_path):
                                              ('2025-07-28 10:00:00', 'q5', 'a')])
     # run 2: the late 21st event is dropped, the 25th closes with both events
     assert run() == [(21, 1), (22, 1), (25, 2)]
+
+
+def test_daily_windows_do_not_depend_on_session_time_zone(spark):
+    """Naive times become instants read as UTC and window bounds come back
+    the same way, so the day windows are the naive calendar days in any
+    session time zone."""
+    from chatlens.plans.catalog import QUERIES
+
+    from conftest import SF0001
+
+    def rows():
+        return sorted(tuple(r) for r in QUERIES['stream_daily_counts'](spark, SF0001).collect())
+
+    utc = rows()
+    old = spark.conf.get('spark.sql.session.timeZone')
+    try:
+        spark.conf.set('spark.sql.session.timeZone', 'America/New_York')
+        other = rows()
+    finally:
+        spark.conf.set('spark.sql.session.timeZone', old)
+    assert utc == other and len(utc) > 0
+    assert all(r[0].hour == 0 and r[0].minute == 0 for r in utc)
