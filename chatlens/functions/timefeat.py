@@ -62,13 +62,31 @@ def length_band(n, bands=D.LENGTH_BANDS, last=D.LONG_BAND) -> Column:
     return out.otherwise(last)
 
 
+# The formats below are built from the fields of the naive time. `date_format`
+# would first turn a TIMESTAMP_NTZ into a TIMESTAMP in the session time zone,
+# which moves wall times that fall into a daylight-saving gap there.
+
 def fmt_date(c) -> Column:
-    return F.date_format(_col(c), 'dd.MM.yyyy')
+    """dd.MM.yyyy (C14)."""
+    c = _col(c)
+    return F.format_string('%02d.%02d.%04d', F.dayofmonth(c), F.month(c), F.year(c))
 
 
 def fmt_time(c) -> Column:
-    return F.date_format(_col(c), 'HH:mm')
+    """HH:mm (C14)."""
+    c = _col(c)
+    return F.format_string('%02d:%02d', F.hour(c), F.minute(c))
 
 
 def fmt_datetime(c) -> Column:
-    return F.date_format(_col(c), 'dd.MM.yyyy HH:mm')
+    """dd.MM.yyyy HH:mm (C14)."""
+    c = _col(c)
+    return F.format_string('%02d.%02d.%04d %02d:%02d', F.dayofmonth(c), F.month(c), F.year(c),
+                           F.hour(c), F.minute(c))
+
+
+def fmt_created(c) -> Column:
+    """yyyy-MM-dd HH:mm:ss, the export's `Erstellt` text."""
+    c = _col(c)
+    return F.format_string('%04d-%02d-%02d %02d:%02d:%02d', F.year(c), F.month(c), F.dayofmonth(c),
+                           F.hour(c), F.minute(c), F.second(c))

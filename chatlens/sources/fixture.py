@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timefeat import fmt_created
 from .tables import conversations
 
 # Test phrases; index 15 is replaced by the all-digit text '42'.
@@ -82,5 +83,5 @@ def export_rows(messages: DataFrame, segment_messages: int = 256) -> DataFrame:
     return (messages.groupBy('conv_id', segment.alias('segment'))
             .agg(F.min('created').alias('created'), doc.alias('raw'))
             .select(F.col('conv_id'), 'segment',
-                    F.date_format('created', 'yyyy-MM-dd HH:mm:ss').alias('Erstellt'),
+                    fmt_created(F.col('created')).alias('Erstellt'),
                     F.col('raw').alias('Raw Chat Data')))

@@ -128,3 +128,19 @@ def test_hit_counts_count_distinct_overlapping_keywords(spark):
     df = spark.createDataFrame([('sehr gut gut gut',)], 'v string')
     for m in ('aho', 'jvm'):
         assert df.select(list_hits('v', [('gut', 'sehr gut', 'top')], m).alias('h')).first()['h'] == [2]
+
+
+def test_time_formats_ignore_session_time_zone(spark):
+    """A naive time inside a daylight-saving gap of the session zone keeps its
+    wall clock in every format (date_format would move it by an hour)."""
+    from chatlens.functions.timefeat import fmt_created, fmt_date, fmt_datetime, fmt_time
+
+    old = spark.conf.get('spark.sql.session.timeZone')
+    try:
+        spark.conf.set('spark.sql.session.timeZone', 'America/New_York')
+        df = spark.createDataFrame([('2025-03-09 02:30:05',)], 'c string').select(
+            F.col('c').cast('timestamp_ntz').alias('n'))
+        r = df.select(fmt_date('n'), fmt_time('n'), fmt_datetime('n'), fmt_created('n')).first()
+    finally:
+        spark.conf.set('spark.sql.session.timeZone', old)
+    assert tuple(r) == ('09.03.2025', '02:30', '09.03.2025 02:30', '2025-03-09 02:30:05')
