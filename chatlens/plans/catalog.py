@@ -8,27 +8,34 @@ The chat queries run on the deterministic fixture over the whole
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..functions import char_len, daypart, german_weekday, parse_created
+from ..functions.topics import topic_array_matched
 from ..operators import classification as C
 from ..operators import keywords as K
 from ..operators import lengths as L
 from ..operators import temporal as T
 from ..operators import topics as TP
-from ..operators.extract import extract_qa_segments
+from ..operators.extract import extract_qa_flat, extract_qa_segments
 from ..operators.features import add_features, qa_table
 from ..operators.messages import latest_messages as _latest
 from ..operators.overview import overview_metrics as _overview
 from ..operators.scoring import fixture_scorer, score_messages
 from ..operators.search import search_count as _search_count
 from ..operators.search import search_questions as _search_questions
-from ..sources.fixture import export_rows, fixture_messages
-from ..sources.tables import documents, events
+from ..session import checkpoint_root
+from ..sources.chat_csv import qa_from_segmented_export, read_chat_csv, write_export_csv
+from ..sources.export import read_classification_json, write_classification_json
+from ..sources.fixture import chat_fixture, export_rows, fixture_messages
+from ..sources.tables import documents, events, table_path
+from ..streaming.ingest import event_time, naive_time, read_message_stream, run_to_table, windowed_counts
 
 # Parameters of the registered queries (the dashboard's own defaults where it
 # has them).
@@ -76,7 +83,6 @@ def event_times(spark: SparkSession, d: str) -> DataFrame:
 # ----------------------------------------------------------------- queries
 
 def q_qa_pairs(spark, d):
-    from ..operators.extract import extract_qa_flat
     return extract_qa_flat(fixture_messages(spark, d))
 
 
@@ -90,11 +96,6 @@ def q_qa_from_csv(spark, d):
     """A1-A2, B1-B3 on files: the segmented export written by Spark as CSV
     export files under the shared checkpoint folder, read back with the
     export reader, checked and extracted."""
-    import os
-    import uuid
-
-    from ..session import checkpoint_root
-    from ..sources.chat_csv import qa_from_segmented_export, read_chat_csv, write_export_csv
     path = os.path.join(checkpoint_root(spark), 'exports', uuid.uuid4().hex)
     write_export_csv(export_rows(fixture_messages(spark, d), EXPORT_SEGMENT_MESSAGES), path)
     rows = read_chat_csv(spark, path, keep=('conv_id', 'segment'))
@@ -162,7 +163,6 @@ def q_longest_questions(spark, d):
 
 
 def _ranked(top: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
     w = Window.orderBy(F.col('Anzahl').desc(), F.col('first').asc())
     return top.select(F.row_number().over(w).alias('Rang'), 'Keyword', 'Anzahl')
 
@@ -218,11 +218,6 @@ def q_classify_latest(spark, d):
 def q_classification_export(spark, d):
     """A3: the classified messages written as JSON lines to the shared
     checkpoint folder by the executors, and read back."""
-    import os
-    import uuid
-
-    from ..session import checkpoint_root
-    from ..sources.export import read_classification_json, write_classification_json
     path = os.path.join(checkpoint_root(spark), 'exports', uuid.uuid4().hex)
     write_classification_json(classified(spark, d), path)
     return read_classification_json(spark, path)
@@ -268,7 +263,6 @@ def q_document_classification(spark, d):
 
 
 def q_document_topic_counts(spark, d):
-    from ..functions.topics import topic_array_matched
     low = documents(spark, d).select(F.lower('text').alias('low'))
     return TP.topic_counts(low.select(topic_array_matched('low').alias('Themen')))
 
@@ -291,9 +285,6 @@ def q_event_hour_counts(spark, d):
 
 
 def _message_stream(spark, d):
-    from ..sources.fixture import chat_fixture
-    from ..sources.tables import table_path
-    from ..streaming.ingest import read_message_stream
     # a file source watches a folder or a glob; the given table is one file
     return chat_fixture(read_message_stream(spark, table_path(d, 'conversations').replace(
         'conversations.parquet', 'conversation[s].parquet')))
@@ -302,7 +293,6 @@ def _message_stream(spark, d):
 def q_stream_daily_counts(spark, d):
     """J1 + J2: messages arriving as a stream, counted per day with a
     watermark, run incrementally to the end of the input."""
-    from ..streaming.ingest import event_time, naive_time, run_to_table, windowed_counts
     msgs = _message_stream(spark, d).withColumn('event_time', event_time('created'))
     counts = run_to_table(windowed_counts(msgs, '1 day', '1 day'), 'daily_counts')
     return counts.select(naive_time('window_start').alias('window_start'),
@@ -311,7 +301,6 @@ def q_stream_daily_counts(spark, d):
 
 def q_stream_classification_counts(spark, d):
     """J1 + J3: rule classification of a message stream, counts per label."""
-    from ..streaming.ingest import run_to_table
     c = C.classify_rule_based(_message_stream(spark, d), keep=('conv_id',))
     return run_to_table(c.groupBy('kategorie', 'sentiment').agg(F.count(F.lit(1)).alias('Anzahl')),
                         'classification_counts')
