@@ -68,7 +68,11 @@ def _aho_udf(lists: tuple[tuple[str, ...], ...]):
                 out.append(counts)
             yield pd.Series(out)
 
-    return list_hits
+    # Marked nondeterministic so that Catalyst never copies the call into a
+    # filter it pushes below the projection that defines it (a filter on the
+    # category, or the non-empty test `explode` adds): that would run every
+    # text through Python twice. The function itself is deterministic.
+    return list_hits.asNondeterministic()
 
 
 def resolve(matcher: str) -> str:

@@ -72,3 +72,13 @@ def test_export_segments_group_by_conversation_and_block(spark):
     p = plan(QUERIES['qa_from_json'](spark, SF001))
     agg = [x for x in p.splitlines() if 'collect_list' in x]
     assert agg and all('_groupingexpression' in x or 'segment' in x for x in agg)
+
+
+def test_python_runs_at_most_once_per_row(spark):
+    """No registered query passes its texts through Python twice (a filter
+    pushed below the keyword matcher would copy the call)."""
+    for name, build in QUERIES.items():
+        if name.startswith('stream_'):
+            continue
+        p = plan(build(spark, SF001))
+        assert p.count('ArrowEvalPython') + p.count('MapInPandas') <= 1, name
