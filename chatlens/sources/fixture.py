@@ -73,6 +73,8 @@ def export_rows(messages: DataFrame, segment_messages: int = 256) -> DataFrame:
     message time of the segment.
     """
     k = int(segment_messages)
+    if k < 1:
+        raise ValueError('segment_messages must be at least 1')
     segment = F.expr(f'(turn - pmod(turn, {k})) div {k}')  # floor(turn / k), exact
     msg = F.struct(F.col('turn'), F.col('role'), F.col('text'))
     doc = F.to_json(F.struct(F.transform(
