@@ -237,11 +237,11 @@ WHERE regexp_matches("Frage", {s(Q.SEARCH_COUNT_TERM)}, 'i')"""
     sql['classification_export'] = BASE_CLS + 'SELECT frage, rolle, kategorie, sentiment, datetime FROM cls'
     sql['classify_latest'] = base_latest + 'SELECT nr, id, datetime, frage, rolle, kategorie, sentiment FROM lcls'
     sql['classification_summary'] = BASE_CLS + """SELECT count(*) AS analysiert,
-  count_if(kategorie = 'essen/fleisch') AS essen_fleisch,
+  CAST(count_if(kategorie = 'essen/fleisch') AS BIGINT) AS essen_fleisch,
   CAST(count_if(kategorie = 'essen/fleisch') AS DOUBLE) * 100 / count(*) AS essen_fleisch_pct,
-  count_if(sentiment = 'positiv') AS positiv,
+  CAST(count_if(sentiment = 'positiv') AS BIGINT) AS positiv,
   CAST(count_if(sentiment = 'positiv') AS DOUBLE) * 100 / count(*) AS positiv_pct,
-  count_if(kategorie = 'aggressiv') AS aggressiv,
+  CAST(count_if(kategorie = 'aggressiv') AS BIGINT) AS aggressiv,
   CAST(count_if(kategorie = 'aggressiv') AS DOUBLE) * 100 / count(*) AS aggressiv_pct
 FROM cls"""
     sql['category_counts'] = BASE_CLS + 'SELECT kategorie, count(*) AS "Anzahl" FROM cls GROUP BY kategorie'
@@ -252,7 +252,7 @@ FROM cls"""
 FROM cls WHERE kategorie = {s(Q.FILTER_CATEGORY)} AND sentiment = {s(Q.FILTER_SENTIMENT)}"""
     sql['filter_choices'] = BASE_CLS + """SELECT DISTINCT 'kategorie' AS feld, kategorie AS wert FROM cls
 UNION SELECT DISTINCT 'sentiment', sentiment FROM cls"""
-    sql['sentiment_timeline'] = base_latest + """SELECT CAST(count(*) OVER () + 1 - row_number() OVER (ORDER BY nr) AS INTEGER) AS "Nachricht",
+    sql['sentiment_timeline'] = base_latest + """SELECT CAST(count(*) OVER () + 1 - row_number() OVER (ORDER BY nr) AS BIGINT) AS "Nachricht",
   CASE sentiment WHEN 'positiv' THEN 1 WHEN 'negativ' THEN -1 ELSE 0 END AS "Sentiment_Score",
   sentiment AS "Sentiment", datetime AS "Zeit" FROM lcls"""
     sql['scored_messages'] = BASE_CLS + """SELECT conv_id, turn, frage, rolle,
