@@ -34,6 +34,7 @@ def dashboard(qa: DataFrame, latest: int = 20, top_keywords: int = 25, search: s
     if checkpoint:
         qa = materialize(qa)
     out = {
+        'qa': qa,
         'overview': overview_metrics(qa),
         'questions_per_day': T.questions_per_day(qa),
         'top_keywords': K.top_keywords(qa, top_keywords, dicts=dicts),
@@ -42,6 +43,7 @@ def dashboard(qa: DataFrame, latest: int = 20, top_keywords: int = 25, search: s
         'daypart_counts': T.daypart_counts(qa),
         'hour_counts': T.hour_counts(qa),
         'weekday_hour_heatmap': T.weekday_hour_heatmap(qa),
+        'weekday_hour_matrix': T.weekday_hour_matrix(qa),
         'length_stats': L.length_stats(qa),
         'length_histogram_chars': L.length_histogram(qa, 'Fragenlänge_Zeichen', 30),
         'length_histogram_words': L.length_histogram(qa, 'Fragenlänge_Wörter', 20),
