@@ -77,6 +77,11 @@ def truncate(c, n: int, always_ellipsis: bool = False) -> Column:
     return F.when(F.char_length(c) > n, F.concat(cut, F.lit('...'))).otherwise(c)
 
 
-def tokens(c) -> Column:
-    """Lower-cased keyword tokens in text order (F1), as array<string>."""
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN), 0)
+def tokens(c, min_len: int = 1) -> Column:
+    """Lower-cased keyword tokens in text order (F1), as array<string>.
+
+    With `min_len` > 1 shorter tokens are skipped by the pattern itself (same
+    tokens, same order as filtering afterwards), so they are never exploded
+    into rows."""
+    pattern = TOKEN if min_len <= 1 else TOKEN.replace(']+(?!', f']{{{int(min_len)},}}(?!')
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(pattern), 0)

@@ -14,13 +14,14 @@ def keyword_tokens(df: DataFrame, text_col: str = 'Frage', order_cols=('Datetime
                    dicts: D.Dictionaries = D.DEFAULT, min_len: int = 3) -> DataFrame:
     """One row per kept token: (*order_cols, pos, w).
 
-    Tokens are a-z/ü/ä/ö words bounded by non-word characters (F1); stop words
-    and words shorter than `min_len` are dropped (F2). The filter runs after
-    `posexplode`, outside any lambda, so it is generated code; the stop-word
-    test is an `IN` over literals, which Spark turns into a hash set.
+    Tokens are a-z/ü/ä/ö words bounded by non-word characters (F1); words
+    shorter than `min_len` are skipped by the token pattern, stop words are
+    dropped after `posexplode` (F2), outside any lambda, so in generated code;
+    the stop-word test is an `IN` over literals, which Spark turns into a hash
+    set. `pos` orders the kept tokens within a row.
     """
-    t = df.select(*order_cols, F.posexplode(tokens(text_col)).alias('pos', 'w'))
-    return t.filter((F.length('w') >= min_len) & ~F.col('w').isin(*dicts.stopwords))
+    t = df.select(*order_cols, F.posexplode(tokens(text_col, min_len)).alias('pos', 'w'))
+    return t.filter(~F.col('w').isin(*dicts.stopwords))
 
 
 def keyword_counts(df: DataFrame, text_col: str = 'Frage', order_cols=('Datetime', 'id'),
