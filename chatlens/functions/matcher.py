@@ -71,7 +71,11 @@ def _aho_udf(lists: tuple[tuple[str, ...], ...]):
     # Marked nondeterministic so that Catalyst never copies the call into a
     # filter it pushes below the projection that defines it (a filter on the
     # category, or the non-empty test `explode` adds): that would run every
-    # text through Python twice. The function itself is deterministic.
+    # text through Python twice. The function itself is deterministic. The
+    # price: a shuffle keyed by a value derived from it (say, counts per
+    # category) is treated as indeterminate, so after a lost executor Spark
+    # reruns that whole map stage instead of only the lost tasks. Results stay
+    # right; only recovery costs more, and only when something fails.
     return list_hits.asNondeterministic()
 
 
