@@ -53,7 +53,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         raise RuntimeError(
             f'{CHECKPOINT_CONF} is not set; point it at a shared folder (HDFS/S3/ABFS) '
             'that every executor can reach')
-    return _LOCAL_ROOTS.setdefault(sc.applicationId, tempfile.mkdtemp(prefix='chatlens-ckpt-'))
+    if sc.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix='chatlens-ckpt-')
+    return _LOCAL_ROOTS[sc.applicationId]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
