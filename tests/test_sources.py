@@ -73,3 +73,16 @@ def test_json_export(spark, tmp_path):
     assert rec['datetime'] == '2025-07-21 08:09:10'
     doc = json.loads(classification_document(df))
     assert doc[0]['kategorie'] == 'essen/fleisch'
+
+
+def test_export_csv_round_trip_keeps_line_breaks_and_quotes(spark, tmp_path):
+    from chatlens.sources.chat_csv import write_export_csv
+
+    docs = [json.dumps({'messages': [{'role': 'user', 'parts': [{'type': 'text', 'text': t}]}]},
+                       ensure_ascii=False) for t in ('a\nb', 'c\r\nd, "zitiert"', 'schlicht ü')]
+    df = spark.createDataFrame([(i, 0, '2025-07-21 08:00:00', d) for i, d in enumerate(docs)],
+                               'conv_id long, segment long, Erstellt string, `Raw Chat Data` string')
+    out = os.path.join(tmp_path, 'csv')
+    write_export_csv(df, out)
+    back = {int(r['conv_id']): r['Raw Chat Data'] for r in read_chat_csv(spark, out, keep=('conv_id',)).collect()}
+    assert back == dict(enumerate(docs))
