@@ -82,13 +82,20 @@ def filter_choices(classified: DataFrame) -> DataFrame:
         .distinct())
 
 
-def sentiment_timeline(classified_latest: DataFrame, order_col: str = 'nr') -> DataFrame:
+def sentiment_timeline(classified_latest: DataFrame, order_col: str = 'nr',
+                       min_messages: int = 0) -> DataFrame:
     """(Nachricht, Sentiment_Score, Sentiment, Zeit) counting down n..1 in
     newest-first order (H5, H6). Meant for the latest-messages frame, whose
-    size is the caller's limit, so the unpartitioned window is bounded."""
+    size is the caller's limit, so the unpartitioned window is bounded.
+
+    With `min_messages` the timeline is empty when there are fewer messages
+    (the original draws it only for more than 5: pass 6)."""
     w = Window.orderBy(F.col(order_col).asc())
     n = F.count(F.lit(1)).over(Window.partitionBy())
-    return classified_latest.select(
-        (n + 1 - F.row_number().over(w)).alias('Nachricht'),
+    out = classified_latest.select(
+        n.alias('_n'), (n + 1 - F.row_number().over(w)).alias('Nachricht'),
         sentiment_score('sentiment').alias('Sentiment_Score'),
         F.col('sentiment').alias('Sentiment'), F.col('datetime').alias('Zeit'))
+    if min_messages > 0:
+        out = out.filter(F.col('_n') >= min_messages)
+    return out.drop('_n')

@@ -22,6 +22,9 @@ from ..operators.overview import overview_metrics
 from ..operators.search import search_count, search_questions
 from ..session import materialize
 
+# The original draws the sentiment timeline only for more than 5 messages.
+TIMELINE_MIN_MESSAGES = 6
+
 
 def dashboard(qa: DataFrame, latest: int = 20, top_keywords: int = 25, search: str = '',
               start=None, end=None, category: str = D.ALL_FILTER, sentiment: str = D.ALL_FILTER,
@@ -68,7 +71,7 @@ def dashboard(qa: DataFrame, latest: int = 20, top_keywords: int = 25, search: s
         'classification_summary': C.classification_summary(classified),
         'category_counts': C.category_counts(classified),
         'sentiment_counts': C.sentiment_counts(classified),
-        'sentiment_timeline': C.sentiment_timeline(classified),
+        'sentiment_timeline': C.sentiment_timeline(classified, min_messages=TIMELINE_MIN_MESSAGES),
         'classification_filtered': C.classification_filtered(classified, category, sentiment),
         'filter_choices': C.filter_choices(classified),
     })

@@ -124,3 +124,15 @@ def test_weekday_hour_matrix_wide_form(qa01):
     for r in wide:
         for h in {k[1] for k in cells}:
             assert r[str(h)] == cells[(r['Wochentag'], h)]
+
+
+def test_sentiment_timeline_needs_six_messages(spark):
+    from chatlens.operators.classification import sentiment_timeline
+
+    def frame(n):
+        return spark.createDataFrame([(i + 1, 'positiv', None) for i in range(n)],
+                                     'nr int, sentiment string, datetime timestamp_ntz')
+    assert sentiment_timeline(frame(5), min_messages=6).count() == 0
+    got = sentiment_timeline(frame(6), min_messages=6).orderBy('Nachricht').collect()
+    assert [r['Nachricht'] for r in got] == [1, 2, 3, 4, 5, 6]
+    assert sentiment_timeline(frame(3)).count() == 3
