@@ -144,3 +144,14 @@ def test_time_formats_ignore_session_time_zone(spark):
     finally:
         spark.conf.set('spark.sql.session.timeZone', old)
     assert tuple(r) == ('09.03.2025', '02:30', '09.03.2025 02:30', '2025-03-09 02:30:05')
+
+
+def test_trim_set_equals_regex_class(spark):
+    """`strip_ws` (trim with a character set) and `word_count` (a regex class)
+    agree on what whitespace is."""
+    from chatlens.functions.text import WS_CHARS, WS_CLASS
+
+    probe = [chr(c) for c in range(0x3100)] + ['᠎', '﻿', '\U0001f600']
+    df = spark.createDataFrame([(ch,) for ch in probe], 'c string')
+    in_class = {r['c'] for r in df.filter(F.col('c').rlike(f'^[{WS_CLASS}]$')).collect()}
+    assert in_class == set(WS_CHARS)
