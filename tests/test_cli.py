@@ -28,3 +28,13 @@ def test_cli_csv_format(spark, tmp_path):
     written = run(spark, parse_args([src, out, '--format', 'csv']))
     rows = spark.read.option('header', 'true').csv(written['search_questions']).collect()
     assert len(rows) == 3 and all(isinstance(r['Kategorie'], str) for r in rows)
+
+
+def test_cli_json_format(spark, tmp_path):
+    src = os.path.join(tmp_path, 'exports')
+    os.makedirs(src)
+    write_export(os.path.join(src, 'export.csv'))
+    out = os.path.join(tmp_path, 'out')
+    written = run(spark, parse_args([src, out, '--format', 'json', '--mode', 'robust']))
+    days = spark.read.json(written['weekday_counts']).collect()
+    assert len(days) == 7 and sum(r['Anzahl'] for r in days) == 3
