@@ -99,7 +99,8 @@ def q_qa_from_csv(spark, d):
     path = os.path.join(checkpoint_root(spark), 'exports', uuid.uuid4().hex)
     write_export_csv(export_rows(fixture_messages(spark, d), EXPORT_SEGMENT_MESSAGES), path)
     rows = read_chat_csv(spark, path, keep=('conv_id', 'segment'))
-    return qa_from_segmented_export(rows).select('id', 'Datetime', 'Frage', 'Antwort')
+    return qa_from_segmented_export(rows).select(F.col('id').cast('bigint').alias('id'), 'Datetime',
+                                                 'Frage', 'Antwort')
 
 
 def q_qa_features(spark, d):

@@ -76,10 +76,11 @@ def qa_from_segmented_export(rows: DataFrame, id_col: str = 'conv_id', segment_c
     """Export rows that hold bounded segments of a conversation (columns
     `id_col`, `segment_col` next to the export's two) -> (id, Datetime, Frage,
     Antwort). The same row checks as `qa_from_export`, then the segment merge
-    (`extract_qa_segments`)."""
+    (`extract_qa_segments`). The id keeps its type (CSV gives text, so any id
+    works); the segment number must be integral, as it orders the segments."""
     ok = with_reject_reason(rows).filter(F.col('reason').isNull())
-    ok = ok.select(F.col(id_col).cast('bigint').alias(id_col),
-                   F.col(segment_col).cast('bigint').alias(segment_col), 'Datetime', F.col(f'`{RAW}`'))
+    ok = ok.select(F.col(id_col), F.col(segment_col).cast('bigint').alias(segment_col), 'Datetime',
+                   F.col(f'`{RAW}`'))
     return extract_qa_segments(ok, raw_col=RAW, id_col=id_col, segment_col=segment_col, mode=mode)
 
 

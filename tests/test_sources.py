@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from chatlens import dictionaries as D
 from chatlens.sources.chat_csv import qa_from_export, read_chat_csv, rejects
 from chatlens.sources.export import classification_document, write_classification_json
 
@@ -86,3 +87,20 @@ def test_export_csv_round_trip_keeps_line_breaks_and_quotes(spark, tmp_path):
     write_export_csv(df, out)
     back = {int(r['conv_id']): r['Raw Chat Data'] for r in read_chat_csv(spark, out, keep=('conv_id',)).collect()}
     assert back == dict(enumerate(docs))
+
+
+def test_segmented_export_with_text_ids(spark, tmp_path):
+    """Conversation ids that are not numbers stay apart."""
+    from chatlens.sources.chat_csv import qa_from_segmented_export, write_export_csv
+
+    def doc(role, text):
+        return json.dumps({'messages': [{'role': role, 'parts': [{'type': 'text', 'text': text}]}]})
+    rows = [('a-1', 0, doc('user', 'Frage A')), ('a-1', 1, doc('assistant', 'Antwort A')),
+            ('b-2', 0, doc('user', 'Frage B'))]
+    df = spark.createDataFrame([(c, s, '2025-07-21 08:00:00', r) for c, s, r in rows],
+                               'conv_id string, segment long, Erstellt string, `Raw Chat Data` string')
+    out = os.path.join(tmp_path, 'csv')
+    write_export_csv(df, out)
+    got = {r['id']: (r['Frage'], r['Antwort'])
+           for r in qa_from_segmented_export(read_chat_csv(spark, out, keep=('conv_id', 'segment'))).collect()}
+    assert got == {'a-1': ('Frage A', 'Antwort A'), 'b-2': ('Frage B', D.NO_ANSWER)}
