@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc32_of_ids, prefix_sums, scratch_table, text_groups
-from .tokens import encoder
+from .tokens import encoder, forget
 
 WINDOW = 1024
 PACKET = 256
@@ -59,7 +59,7 @@ def packets(docs: DataFrame, tokenizer: str, end_id: int, packet: int = PACKET)
         end = int(end_id).to_bytes(w, 'little')
         for b in batches:
             doc, source, texts = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for lo, hi in text_groups(texts, 1 << 21):
+            for lo, hi in text_groups(texts):
                 at, cols = [], [[], [], [], [], [], []]
                 for i, ids in zip(range(lo, hi), enc.encode(texts[lo:hi])):
                     ids += end
@@ -107,6 +107,8 @@ def pack_mixture(docs: DataFrame, tokenizer: str, end_id: int, targets: dict | N
         'source', 'rank', F.coalesce(F.try_divide('weight', 'total') * window, F.lit(0.0)).alias('credit'))
     place = base.alias('b').join(share.alias('q'), F.col('b.source').eqNullSafe(F.col('q.source'))).select(
         'part', F.col('b.source').alias('source'), 'base', 'rank', 'credit')
+    # stored, so that its size is known when the join with the packets is planned
+    place = scratch_table(place, 'packet-places')
     late = F.lit(1 << 40)  # queues without a share send after all others
     end = F.col('base') + F.col('until')
     phase = (F.col('rank') * GOLDEN) % 1.0 * packet
@@ -117,7 +119,7 @@ def pack_mixture(docs: DataFrame, tokenizer: str, end_id: int, targets: dict | N
             .select('t.doc_id', 't.source', 'doc_tokens', 'start', 'length', 'width', 'ids', 'rank',
                     end.alias('until'), turn.cast('long').alias('turn'))
             .withColumn('block', F.floor(F.col('turn') / BLOCK_ROUNDS)))
-    blocks = prefix_sums(sent.select('block', 'length'), 'block', 'length', 'block_base')
+    blocks = scratch_table(prefix_sums(sent.select('block', 'length'), 'block', 'length', 'block_base'), 'packet-blocks')
     order = Window.partitionBy('block').orderBy('turn', 'rank', 'until').rowsBetween(Window.unboundedPreceding, 0)
     stream = (sent.join(blocks, 'block')
               .withColumn('to', F.col('block_base') + F.sum('length').over(order))
@@ -141,6 +143,7 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
     schema = T.StructType([keep.schema[n] if n != 'ids_crc32' else T.StructField(n, T.LongType()) for n in names])
 
     def digest(batches):
+        forget()
         for b in batches:
             crc = pa.array([crc32_of_ids(x, w) for x, w in zip(b.column('ids').to_pylist(),
                                                                b.column('width').to_pylist())], pa.int64())

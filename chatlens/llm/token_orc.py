@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc32_of_ids, prefix_sums, scratch_path, text_groups
-from .tokens import encoder
+from .tokens import encoder, forget
 
 STRIPE_BYTES = 32 << 20
 INDEX_STRIDE = 1000
@@ -47,7 +47,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
         end = int(end_id).to_bytes(enc.width, 'little')
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in text_groups(texts, 1 << 21):
+            for lo, hi in text_groups(texts):
                 raw = [x + end for x in enc.encode(texts[lo:hi])]
                 n = np.array([len(x) // enc.width for x in raw], np.int64)
                 upto = np.cumsum(n)
@@ -88,6 +88,7 @@ def token_digests(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     schema = T.StructType([*indexed.schema.fields[:3], T.StructField('ids_crc32', T.LongType())])
 
     def digest(batches):
+        forget()
         for b in batches:
             lists = b.column(3)
             flat = lists.flatten().to_numpy().astype('<u4').tobytes()

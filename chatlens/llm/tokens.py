@@ -11,7 +11,6 @@ ids are its pieces' ids in a row. Texts with white space in front of a space
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +22,8 @@ LATIN = 'A-Za-zÀ-ÖØ-öø-ÿ'
 PUNCT = r'!-/:-@\[-`{-~'
 _ODD = f'[{WS}] |\x00'
 _BORDERS = ((f'([{LATIN}])([{PUNCT}])', '\\1\x00\\2'), (f'([{LATIN}{PUNCT}])\n([^{WS}])', '\\1\x00\n\x00\\2'))
-_LETTERS = re.compile(f' ?[{LATIN}]+')
 #: Pieces kept per worker; a full table is emptied and refilled.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 350_000
 _ENCODERS: dict[str, 'Encoder'] = {}
 
 
@@ -53,7 +51,7 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces: plain words many at a time in one joined text,
         split again at the separator's id; anything else one by one."""
-        words = [p for p in pieces if _LETTERS.fullmatch(p)]
+        words = [p for p in pieces if p.isalpha() or (p[:1] == ' ' and p[1:].isalpha())]
         for i in range(0, len(words), 2048):
             part = words[i:i + 2048]
             joined = self.tok.encode_batch_fast([self.sep.join(part)], add_special_tokens=False)[0]
@@ -65,7 +63,7 @@ class Encoder:
             raw, w = ids.tobytes(), self.width
             starts, ends = [0, *((cut + 1) * w).tolist()], [*(cut * w).tolist(), len(raw)]
             self.known.update((p, raw[a:b]) for p, a, b in zip(part, starts, ends))
-        rest = [p for p in pieces if not _LETTERS.fullmatch(p)]
+        rest = [p for p in pieces if p not in self.known] if len(words) < len(pieces) else []
         if rest:
             self.known.update(zip(rest, self._ids(rest)))
 
@@ -108,3 +106,9 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Free the worker's encoders; later stages run in the same processes."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
