@@ -23,7 +23,7 @@ PUNCT = r'!-/:-@\[-`{-~'
 _ODD = f'[{WS}] |\x00'
 _BORDERS = ((f'([{LATIN}])([{PUNCT}])', '\\1\x00\\2'), (f'([{LATIN}{PUNCT}])\n([^{WS}])', '\\1\x00\n\x00\\2'))
 #: Pieces kept per worker; a full table is emptied and refilled.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 700_000
 _ENCODERS: dict[str, 'Encoder'] = {}
 
 
