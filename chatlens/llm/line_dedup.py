@@ -143,10 +143,10 @@ def _candidates(docs: DataFrame, first: DataFrame) -> DataFrame:
     texts = docs.select('doc_id', F.xxhash64('text').alias('text_hash'), 'text')
     both = texts.alias('t').join(per_doc.alias('p'), F.col('t.doc_id').eqNullSafe(F.col('p.doc_id'))
                                  & (F.col('t.text_hash') == F.col('p.text_hash')))
-    per_line = both.select('t.doc_id', 't.text_hash', F.split('text', '\n', -1).alias('l'),
-                           F.explode('found').alias('f')).select(
-        'doc_id', 'text_hash', F.col('f.line_no').alias('line_no'), F.col('f.line').alias('line'),
-        F.get('l', F.col('f.line_no')).alias('words'))
+    # the wanted lines are picked before they become rows of their own
+    picked = let(F.split('t.text', '\n', -1), lambda x: F.transform('p.found', lambda f: F.struct(
+        f['line_no'].alias('line_no'), f['line'].alias('line'), F.get(x, f['line_no']).alias('words'))))
+    per_line = both.select('t.doc_id', 't.text_hash', F.explode(picked).alias('f')).select('doc_id', 'text_hash', 'f.*')
     # a document that is listed twice brings its lines twice
     return per_line.groupBy('line').agg(F.min(F.struct('doc_id', 'text_hash', 'line_no')).alias('rank'),
                                         F.min('words').alias('words'))
@@ -189,8 +189,11 @@ def within_one_word(a: str, b: str) -> bool:
 def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     """(line): distinct lines with an earlier line within one word."""
     found = scratch_table(_candidates(docs, first), 'line-candidates')
-    rank = found.select('line', 'rank')
-    variants = scratch_table(_variants(found).join(rank, 'line'), 'line-variants')
+    every = scratch_table(_variants(found), 'line-variants')
+    # most keys belong to one line only; the rest of the work is on the others
+    shared = every.groupBy('key').agg(F.min('line').alias('a'), F.max('line').alias('b')).filter('a <> b')
+    variants = scratch_table(every.join(shared.select('key'), 'key', 'left_semi')
+                             .join(found.select('line', 'rank'), 'line'), 'line-meetings')
     own = F.struct('rank', 'line')
     replaced = variants.filter('place >= 0').groupBy('key', 'place').agg(F.min(own).alias('e'))
     met = variants.groupBy('key').agg(F.min(F.when(F.col('place') < 0, own)).alias('whole'),
