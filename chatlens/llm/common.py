@@ -6,14 +6,19 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_root
 
 #: A word is a run of anything but space and the ASCII controls 9-13.
 WORD = r'[^\x20\x09-\x0D]+'
 SPACE = r'[\x20\x09-\x0D]'
+#: Rows per block of `ordered_block`, and the most blocks (their borders are a
+#: literal of that many numbers).
+BLOCK_ROWS, MAX_BLOCKS = 2000, 16384
 
 
 def scratch_path(spark, name: str) -> str:
@@ -72,3 +77,22 @@ def prefix_sums(rows: DataFrame, key: str, value: str, out: str, fan: int = 4096
 def crc32_of_ids(raw: bytes, width: int) -> int:
     """Unsigned crc32 of ids given with `width` bytes each, as 32-bit ids."""
     return zlib.crc32(raw if width == 4 else np.frombuffer(raw, '<u2').astype('<u4').tobytes())
+
+
+def ordered_block(rows: DataFrame, by: str, descending: bool = False,
+                  block_rows: int = BLOCK_ROWS) -> tuple[Column, int]:
+    """The number of a row's block in the order of an integer column, and the
+    number of blocks. Blocks are of like size; equal values share a block,
+    nulls come first (descending: last). Borders are approximate quantiles of that column alone, so the
+    texts are not read to find them; any borders give the same results."""
+    blocks = max(1, min(MAX_BLOCKS, -(-rows.count() // block_rows)))
+    found = rows.agg(F.percentile_approx(by, [i / blocks for i in range(1, blocks)] or [0.5],
+                                         10 * blocks).alias('b')).first()['b']
+    borders = np.unique(np.array(found, dtype=np.int64)) if blocks > 1 and found else np.array([], np.int64)
+
+    @F.pandas_udf(T.IntegerType())
+    def block(x: pd.Series) -> pd.Series:
+        at = np.where(x.isna(), -1, np.searchsorted(borders, x.fillna(0).to_numpy().astype(np.int64), side='left'))
+        return pd.Series(len(borders) - at if descending else at + 1)
+
+    return block(F.col(by).cast('long')), len(borders) + 2

@@ -23,16 +23,14 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents per task of the ordered pass, and the most tasks (their borders
-#: are a literal of that many numbers).
-BLOCK_DOCS, MAX_BLOCKS = 2000, 16384
+from .common import ordered_block, scratch_table
+
 _PIECES = re.compile(rb'[^\x20\x09-\x0d]+[\x20\x09-\x0d]*|[\x20\x09-\x0d]+')
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -122,23 +120,6 @@ def merkle_nodes(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(nodes, schema)
 
 
-def descending_block(ids: Column, docs: DataFrame) -> Column:
-    """Number of the id's block in descending order, by borders that halve the
-    table evenly; any borders give the same results."""
-    n = docs.count()
-    blocks = max(1, min(MAX_BLOCKS, -(-n // BLOCK_DOCS)))
-    found = docs.agg(F.percentile_approx('doc_id', [i / blocks for i in range(1, blocks)] or [0.5],
-                                         10 * blocks).alias('b')).first()['b']
-    borders = np.unique(np.array(found or [], dtype=np.int64)) if blocks > 1 else np.array([], np.int64)
-
-    @F.pandas_udf(T.IntegerType())
-    def block(x: pd.Series) -> pd.Series:
-        at = np.searchsorted(borders, x.fillna(0).to_numpy().astype(np.int64), side='left')
-        return pd.Series(np.where(x.isna(), len(borders) + 1, len(borders) - at))
-
-    return block(ids.cast('long'))
-
-
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, edit_paragraphs (number of its
@@ -148,13 +129,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     block's first document; the texts are shuffled once.
     """
     src = docs.select('doc_id', F.coalesce('text', F.lit('')).alias('text'))
-    rows = src.withColumn('block', descending_block(F.col('doc_id'), src))
+    rows = src.withColumn('block', ordered_block(src, 'doc_id', descending=True)[0])
     # the first id of each block, and the block in front of it
     heads = rows.groupBy('block').agg(F.max('doc_id').alias('top'))
     in_order = Window.orderBy('block')
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(F.col('block').alias('of'), 'top',
                          F.coalesce(F.lag('block').over(in_order), F.max('block').over(whole)).alias('for'))
+    # stored, so that its size (a row per block) is known to the join
+    heads = scratch_table(heads, 'merkle-heads')
     guests = (rows.join(heads, (F.col('block') == F.col('of')) & F.col('doc_id').eqNullSafe(F.col('top')))
               .select('doc_id', 'text', F.col('for').alias('block'), F.lit(True).alias('guest')))
     every = rows.withColumn('guest', F.lit(False)).unionByName(guests)

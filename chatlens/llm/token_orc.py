@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of_ids, prefix_sums, scratch_path, text_groups
+from .common import crc32_of_ids, ordered_block, prefix_sums, scratch_path, text_groups
 from .tokens import encoder, forget
 
 STRIPE_BYTES = 32 << 20
 INDEX_STRIDE = 1000
+FILE_DOCS = 8000
 BLOOM_FPP = 0.01
 
 
@@ -38,9 +39,12 @@ def _schema(doc_type) -> T.StructType:
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
     """Encode every text, write the ids to `path`, return the files' rows."""
-    ordered = (docs.select('doc_id', F.coalesce('text', F.lit('')).alias('text'))
-               .repartitionByRange('doc_id', F.xxhash64('text')).sortWithinPartitions('doc_id', 'text'))
-    schema = _schema(ordered.schema['doc_id'].dataType)
+    src = docs.select('doc_id', F.coalesce('text', F.lit('')).alias('text'))
+    # a partition and so a file per block of ids, in order
+    block, n = ordered_block(src, 'doc_id', block_rows=FILE_DOCS)
+    ordered = (src.withColumn('block', block).repartitionById(n, 'block').drop('block')
+               .sortWithinPartitions('doc_id', 'text'))
+    schema = _schema(src.schema['doc_id'].dataType)
 
     def encode(batches):
         part, enc, at = TaskContext.get().partitionId(), encoder(tokenizer), 0

@@ -23,7 +23,7 @@ PUNCT = r'!-/:-@\[-`{-~'
 _ODD = f'[{WS}] |\x00'
 _BORDERS = ((f'([{LATIN}])([{PUNCT}])', '\\1\x00\\2'), (f'([{LATIN}{PUNCT}])\n([^{WS}])', '\\1\x00\n\x00\\2'))
 #: Pieces kept per worker; a full table is emptied and refilled.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_200_000
 _ENCODERS: dict[str, 'Encoder'] = {}
 
 
@@ -42,6 +42,8 @@ class Encoder:
         self.keeps_space = self._ids(['\n'])[0] != b''
         self.sep = '\n' if self.keeps_space else ' , '
         self.sep_id = self.tok.encode(self.sep, add_special_tokens=False).ids[-1]
+        # ASCII case may go first where the file's own normalizer lowers all case
+        self.lowers = self._ids(['Ab']) == self._ids(['ab'])
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -72,6 +74,8 @@ class Encoder:
         arr = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(arr, _ODD)
         cut = pc.if_else(odd, '', arr)
+        if self.lowers:
+            cut = pc.ascii_lower(cut)
         for border, to in _BORDERS:
             cut = pc.replace_substring_regex(cut, border, to)
         cut = pc.replace_substring(cut, ' ', '\x00 ' if self.keeps_space else '\x00')
