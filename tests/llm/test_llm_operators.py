@@ -171,7 +171,8 @@ def brute_fingerprint(text):
 
 
 def brute_components(marks):
-    """Smallest id by fingerprint, over links of 2 bits or fewer."""
+    """Smallest id by fingerprint over links of 2 bits or fewer, and that of
+    each component."""
     nodes = sorted({f for _, f in marks})
     label = {f: f for f in nodes}
 
@@ -189,13 +190,13 @@ def brute_components(marks):
         r = root(f)
         if doc_id is not None and (first.get(r) is None or doc_id < first[r]):
             first[r] = doc_id
-    return {f: first.get(root(f)) for f in nodes}
+    return {f: first.get(root(f)) for f in nodes}, [first.get(r) for r in {root(f) for f in nodes}]
 
 
 def test_op3_simhash(spark, case):
     d, docs = case
     marks = [(doc_id, brute_fingerprint(t)) for doc_id, t, _ in docs]
-    comp = brute_components(marks)
+    comp, _ = brute_components(marks)
     want = many((doc_id, f'{f:016x}', comp[f]) for doc_id, f in marks)
     assert many(queries.op3_simhash_anchors(spark, d).collect()) == want
 
