@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc32_of_ids, prefix_sums, scratch_table, text_groups
-from .tokens import encoder, forget
+from .tokens import CACHE_PIECES, encoder, forget
 
 WINDOW = 1024
 PACKET = 256
@@ -38,7 +38,8 @@ BLOCK_ROUNDS = 256
 GOLDEN = 0.6180339887498949
 
 
-def packets(docs: DataFrame, tokenizer: str, end_id: int, packet: int = PACKET) -> DataFrame:
+def packets(docs: DataFrame, tokenizer: str, end_id: int, packet: int = PACKET,
+            cache: int = CACHE_PIECES) -> DataFrame:
     """(part, source, doc_id, doc_tokens, start, length, until, width, ids): the
     documents' packets; `until` counts the source's tokens of this scan task
     up to the packet's end. Stored, since the place in the queue is read
@@ -54,7 +55,7 @@ def packets(docs: DataFrame, tokenizer: str, end_id: int, packet: int = PACKET)
         T.StructField('ids', T.BinaryType())])
 
     def cut(batches):
-        part, enc, queue = TaskContext.get().partitionId(), encoder(tokenizer), {}
+        part, enc, queue = TaskContext.get().partitionId(), encoder(tokenizer, cache), {}
         w = enc.width
         end = int(end_id).to_bytes(w, 'little')
         for b in batches:
@@ -81,7 +82,7 @@ def packets(docs: DataFrame, tokenizer: str, end_id: int, packet: int = PACKET)
 
 
 def pack_mixture(docs: DataFrame, tokenizer: str, end_id: int, targets: dict | None = None,
-                 window: int = WINDOW, packet: int = PACKET) -> DataFrame:
+                 window: int = WINDOW, packet: int = PACKET, cache: int = CACHE_PIECES) -> DataFrame:
     """Pieces (doc_id, source, doc_tokens, start, length, sequence_id, offset,
     width, ids) of all documents in windows of `window` tokens.
 
@@ -90,7 +91,7 @@ def pack_mixture(docs: DataFrame, tokenizer: str, end_id: int, targets: dict | N
     in the last window. A queue that runs dry early leaves its credit to the
     others.
     """
-    t = packets(docs, tokenizer, end_id, packet)
+    t = packets(docs, tokenizer, end_id, packet, cache)
     by_part = t.groupBy('part', 'source').agg(F.sum('length').alias('n'))
     queues = by_part.groupBy('source').agg(F.sum('n').alias('queue'))
     all_sources = Window.orderBy(F.col('source').asc_nulls_last())

@@ -22,8 +22,9 @@ LATIN = 'A-Za-zÀ-ÖØ-öø-ÿ'
 PUNCT = r'!-/:-@\[-`{-~'
 _ODD = f'[{WS}] |\x00'
 _BORDERS = ((f'([{LATIN}])([{PUNCT}])', '\\1\x00\\2'), (f'([{LATIN}{PUNCT}])\n([^{WS}])', '\\1\x00\n\x00\\2'))
-#: Pieces kept per worker; a full table is emptied and refilled.
-CACHE_PIECES = 1_200_000
+#: Pieces kept per worker (about 200 bytes each); a full table is emptied and
+#: refilled, so the number trades memory for time and changes no result.
+CACHE_PIECES = 700_000
 _ENCODERS: dict[str, 'Encoder'] = {}
 
 
@@ -31,7 +32,8 @@ class Encoder:
     """Little-endian ids of whole texts; two bytes each where the vocabulary
     allows (`width`), else four."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = CACHE_PIECES):
+        self.keep = keep
         os.environ.setdefault('TOKENIZERS_PARALLELISM', 'false')
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -84,7 +86,7 @@ class Encoder:
         distinct = coded.dictionary.to_pylist()
         known = self.known
         new = [p for p in distinct if p not in known]
-        if len(known) + len(new) > CACHE_PIECES:
+        if len(known) + len(new) > self.keep:
             known = self.known = {}
             new = distinct
         self._learn(new)
@@ -105,10 +107,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = CACHE_PIECES) -> Encoder:
     """The worker's encoder for a file, loaded once per process."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, keep)
     return _ENCODERS[path]
 
 

@@ -11,6 +11,10 @@ from chatlens.llm.common import scratch_table
 from chatlens.llm.queries import PACK_END, PACK_TOKENIZER
 from chatlens.sources.tables import documents
 
+#: Pieces a worker keeps while packing: fewer than by default, since the
+#: executors' heaps have grown in the stages before.
+CACHE_PIECES = 250_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -34,7 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 1024 tokens."""
-    return packing.piece_digests(packing.pack_mixture(docs, public_tokenizers.path(PACK_TOKENIZER), PACK_END))
+    return packing.piece_digests(packing.pack_mixture(
+        docs, public_tokenizers.path(PACK_TOKENIZER), PACK_END, cache=CACHE_PIECES))
 
 
 STAGES = [('quality_rules', quality_rules), ('line_dedup', near_line_dedup), ('simhash_dedup', simhash_dedup),
