@@ -7,8 +7,14 @@ analysis convert once with `to_bronze` and work from Parquet.
 
 from __future__ import annotations
 
+import csv
+from collections import defaultdict
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import parse_created
 from ..operators.extract import extract_qa_json, extract_qa_segments
@@ -21,21 +27,42 @@ CSV_OPTIONS = {'header': 'true', 'multiLine': 'true', 'quote': '"', 'escape': '"
 
 def read_chat_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """Export rows as (file, Erstellt, Raw Chat Data, *keep), columns found by
-    header name; a missing column reads as NULL, other columns are ignored
-    unless named in `keep`.
+    each file's own header name; a missing column reads as NULL, other columns
+    are ignored unless named in `keep`. Files with the same header are read
+    together, so exports of several versions can lie in one folder.
 
     Undecodable bytes come through as U+FFFD and are removed, as the original
     reads with errors='ignore'.
     """
-    raw = spark.read.options(**{**CSV_OPTIONS, **options}).csv(path)
-    cols = set(raw.columns)
-
-    def pick(name):
-        c = F.col(f'`{name}`') if name in cols else F.lit(None).cast('string')
-        return F.translate(c, '�', '').alias(name)
-
-    return raw.select(F.col('_metadata.file_path').alias('file'), pick(CREATED), pick(RAW),
-                      *[pick(k) for k in keep])
+    wanted = (CREATED, RAW, *keep)
+
+    def read(header: tuple[str, ...], files: list[str]) -> DataFrame:
+        # a name that occurs twice counts where it occurs first
+        names = [n if n not in header[:i] else f'{n}#{i}' for i, n in enumerate(header)]
+        raw = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+               .options(**{**CSV_OPTIONS, **options}).csv(files))
+        return raw.select(F.col('_metadata.file_path').alias('file'), *[
+            (F.translate(F.col(f'`{n}`'), '�', '') if n in names else F.lit(None).cast('string')).alias(n)
+            for n in wanted])
+
+    frames = [read(h, files) for h, files in sorted(file_headers(spark, path).items())]
+    if not frames:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in ('file', *wanted)]))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def file_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The distinct headers below `path` and the files that have them: one
+    line per file reaches the driver, which lists the files in any case."""
+    lines = spark.read.text(path).select(
+        'value', F.col('_metadata.file_path').alias('file'), F.col('_metadata.file_block_start').alias('block'),
+        F.monotonically_increasing_id().alias('at')).filter('block = 0')
+    first = lines.groupBy('file').agg(F.min_by('value', 'at').alias('header'))
+    found = defaultdict(list)
+    for r in first.collect():
+        header = next(csv.reader([r['header'].lstrip('\ufeff')]), [])
+        found[tuple(header)].append(unquote(r['file']))
+    return dict(found)
 
 
 def write_export_csv(rows: DataFrame, path: str, mode: str = 'errorifexists') -> None:

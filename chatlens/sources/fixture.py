@@ -5,7 +5,7 @@ adds both by integer arithmetic that SQL engines share (the oracle SQL in
 `chatlens.plans.oracle` states the same rule):
 
 - i = (conv_id*7 + turn) % 16, P = PHRASES[i]
-- text' = '42' if i = 15; P if (conv_id + turn) % 3 = 0; else text || ' ' || P
+- text' = text || ' ' || P
 - created = 2025-07-21 00:00:00 + (conv_id * 104729) % 3628800 seconds (42 days)
 
 Every row of the input is kept and each text stays whole. The work grows with
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.timefeat import fmt_created
 from .tables import conversations
 
-# Test phrases; index 15 is replaced by the all-digit text '42'.
+# Test phrases, appended to the given texts; index 15 adds none.
 PHRASES = (
     'Rezept für Poulet bitte',
     'Rind vom Grill',
@@ -48,9 +48,7 @@ def chat_fixture(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> same columns with fixture text + created."""
     i = (F.col('conv_id') * 7 + F.col('turn')) % 16
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (i + 1).cast('int'))
-    text = (F.when(i == 15, F.lit('42'))
-            .when((F.col('conv_id') + F.col('turn')) % 3 == 0, phrase)
-            .otherwise(F.concat(F.col('text'), F.lit(' '), phrase)))
+    text = F.concat(F.col('text'), F.lit(' '), phrase)
     secs = ((F.col('conv_id') * STEP) % SPAN_SECONDS).cast('int')
     created = F.lit(START).cast('timestamp_ntz') + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
     return messages.select('conv_id', 'turn', 'role', text.alias('text'), created.alias('created'))

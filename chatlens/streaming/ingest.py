@@ -13,9 +13,13 @@ session time zone, so a one-day window is one naive calendar day everywhere.
 
 from __future__ import annotations
 
+import csv
+import io
 import os
+import sys
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +29,7 @@ from .. import dictionaries as D
 from ..operators.classification import classify_rule_based
 from ..operators.messages import qa_messages
 from ..session import checkpoint_root
-from ..sources.chat_csv import CREATED, CSV_OPTIONS, RAW, qa_from_export
-
-EXPORT_SCHEMA = T.StructType([T.StructField(CREATED, T.StringType()), T.StructField(RAW, T.StringType())])
+from ..sources.chat_csv import CREATED, RAW, qa_from_export
 
 
 _EPOCH_NTZ = '1970-01-01 00:00:00'
@@ -49,19 +51,29 @@ def naive_time(c) -> Column:
         F.lit(0), F.lit(0), F.lit(0), micros.cast('decimal(18,6)'))
 
 
-def read_export_stream(spark: SparkSession, path: str, schema: T.StructType = EXPORT_SCHEMA,
+def read_export_stream(spark: SparkSession, path: str, keep: tuple[str, ...] = (),
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming export rows (file, Erstellt, Raw Chat Data) from CSV files
-    arriving in `path` (J1). `schema` lists the export's columns in file
-    order (a streaming file source needs it up front)."""
-    r = spark.readStream.schema(schema).options(**{k: v for k, v in CSV_OPTIONS.items()
-                                                    if k != 'inferSchema'})
+    """Streaming export rows (file, Erstellt, Raw Chat Data, *keep) from CSV
+    files arriving in `path` (J1), columns found by each file's own header
+    name. A file of multi-line records is one task's work in any case; here
+    it is also one value, so a single export file must fit a task's memory."""
+    r = spark.readStream.format('text').option('wholetext', 'true')
     if max_files_per_trigger:
         r = r.option('maxFilesPerTrigger', str(max_files_per_trigger))
-    raw = r.csv(path)
-    return raw.select(F.col('_metadata.file_path').alias('file'),
-                      F.translate(F.col(f'`{CREATED}`'), '�', '').alias(CREATED),
-                      F.translate(F.col(f'`{RAW}`'), '�', '').alias(RAW))
+    names = (CREATED, RAW, *keep)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ('file', *names)])
+
+    def parse(batches):
+        csv.field_size_limit(sys.maxsize)
+        for b in batches:
+            for text, file in zip(b['value'], b['file']):
+                # read as the batch reader does: empty fields are NULL
+                rows = csv.DictReader(io.StringIO(text.lstrip('\ufeff').replace('\ufffd', ''), newline=''))
+                out = [(file, *(row.get(n) or None for n in names)) for row in rows]
+                yield pd.DataFrame(out, columns=schema.fieldNames(), dtype=object)
+
+    files = r.load(path).select('value', F.col('_metadata.file_path').alias('file'))
+    return files.mapInPandas(parse, schema)
 
 
 def qa_stream(rows: DataFrame, mode: str = 'compat') -> DataFrame:
@@ -80,7 +92,7 @@ def windowed_counts(qa: DataFrame, every: str = '1 day', lateness: str = '1 day'
             .select(F.col('w.start').alias('window_start'), F.col('w.end').alias('window_end'), 'Anzahl'))
 
 
-def classified_stream(qa: DataFrame, dicts: D.Dictionaries = D.DEFAULT, matcher: str = 'auto') -> DataFrame:
+def classified_stream(qa: DataFrame, dicts: D.Dictionaries = D.DEFAULT, matcher: str = 'aho') -> DataFrame:
     """Rule-based classification of every user/assistant message."""
     msgs = qa_messages(qa)
     return classify_rule_based(msgs, keep=('id', 'datetime'), dicts=dicts, matcher=matcher)
@@ -133,8 +145,10 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = 'complete') -> Dat
     spark = df.sparkSession
     base = stream_location(spark, f'{name}-{uuid.uuid4().hex}')
     out = os.path.join(base, 'result')
+    epochs: list[int] = []
 
     def write(batch: DataFrame, epoch: int) -> None:
+        epochs.append(epoch)
         # complete mode: each batch is the whole result; otherwise each batch
         # has its own folder. Both overwrite, so a retried batch is idempotent.
         if output_mode == 'complete':
@@ -145,7 +159,6 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = 'complete') -> Dat
     q = (df.writeStream.outputMode(output_mode).option('checkpointLocation', os.path.join(base, 'state'))
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # no batch ran: nothing arrived
+    if not epochs:  # no batch ran: nothing arrived
         return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(out).select(*df.columns)

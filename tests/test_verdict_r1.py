@@ -1,0 +1,80 @@
+"""Faults found in the first review stay mended."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from chatlens.functions.matcher import list_hits
+from chatlens.operators import temporal
+from chatlens.sources.chat_csv import qa_from_export, read_chat_csv
+from chatlens.sources.fixture import fixture_messages
+from chatlens.sources.tables import conversations
+from chatlens.streaming import ingest
+
+from conftest import SF0001
+
+CHAT = '{""messages"":[{""role"":""user"",""parts"":[{""type"":""text"",""text"":""Frage %s""}]}]}'
+
+
+@pytest.fixture
+def three_headers(tmp_path):
+    """Exports whose headers differ in order and in further columns."""
+    d = tmp_path / 'in'
+    d.mkdir()
+    row = {'Erstellt': '2025-07-21 08:00:00', 'Nr': '7'}
+    for name, cols in (('A', ['Erstellt', 'Raw Chat Data']), ('B', ['Raw Chat Data', 'Erstellt']),
+                       ('C', ['Nr', 'Erstellt', 'Raw Chat Data'])):
+        vals = [row.get(c) or '"' + CHAT % name + '"' for c in cols]
+        (d / f'{name}.csv').write_text(','.join(cols) + '\n' + ','.join(vals) + '\n', encoding='utf-8')
+    return str(d)
+
+
+def test_columns_by_name_per_file(spark, three_headers):
+    got = qa_from_export(read_chat_csv(spark, three_headers, keep=('Nr',)), mode='robust')
+    assert sorted(r['Frage'] for r in got.collect()) == ['Frage A', 'Frage B', 'Frage C']
+    assert sorted(str(r['Nr']) for r in read_chat_csv(spark, three_headers, keep=('Nr',)).collect()) == ['7', 'None', 'None']
+
+
+def test_stream_columns_by_name_per_file(spark, three_headers):
+    qa = ingest.qa_stream(ingest.read_export_stream(spark, three_headers), mode='robust')
+    got = ingest.run_to_table(qa, 'three-headers', output_mode='append')
+    assert got.columns == qa.columns
+    assert sorted(r['Frage'] for r in got.collect()) == ['Frage A', 'Frage B', 'Frage C']
+
+
+def test_stream_without_files_is_empty(spark, tmp_path):
+    os.makedirs(tmp_path / 'none')
+    rows = ingest.read_export_stream(spark, str(tmp_path / 'none'))
+    assert ingest.run_to_table(rows, 'nothing', output_mode='append').collect() == []
+
+
+def test_unreadable_stream_result_raises(spark, three_headers, monkeypatch):
+    """A result that cannot be read is an error, not an empty table."""
+    rows = ingest.read_export_stream(spark, three_headers)
+    monkeypatch.setattr(ingest.os.path, 'join', lambda a, *b: '/'.join((a, *b)) if b != ('result',) else 'file:///dev/null/x')
+    with pytest.raises(Exception):
+        ingest.run_to_table(rows, 'lost', output_mode='append').collect()
+
+
+def test_fixture_keeps_every_text(spark):
+    given = conversations(spark, SF0001).select('conv_id', 'turn', F.col('text').alias('was'))
+    both = fixture_messages(spark, SF0001).join(given, ['conv_id', 'turn'])
+    assert both.count() == given.count() and both.filter("NOT startswith(text, was)").isEmpty()
+
+
+def test_matchers_agree(spark):
+    rng = random.Random(4)
+    words = ['', 'a', 'ab', 'b', 'ba', 'ü', 'aba', 'c']
+    texts = spark.createDataFrame([(''.join(rng.choice('abcü ') for _ in range(rng.randint(0, 12))),)
+                                   for _ in range(60)] + [(None,)], 't string')
+    for lists in [[rng.sample(words, rng.randint(0, 5)) for _ in range(3)] for _ in range(6)] + [[[], []], [[''], ['']]]:
+        got = texts.filter('t IS NOT NULL').select(list_hits('t', lists, 'aho').alias('a'),
+                                                   list_hits('t', lists, 'jvm').alias('j')).collect()
+        assert all(r.a == r.j for r in got)
+
+
+def test_matrix_schema_is_fixed(spark):
+    qa = spark.createDataFrame([('Montag', 9, 'x')], 'Wochentag string, Stunde int, Frage string')
+    assert temporal.weekday_hour_matrix(qa).columns == ['pos', 'Wochentag', *map(str, range(24))]
