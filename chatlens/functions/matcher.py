@@ -11,7 +11,8 @@ Two interchangeable implementations:
 * 'jvm' - one `contains` per keyword, all in generated code; no Python
   worker. Fine for short texts and few keywords.
 
-'auto' picks 'aho' when pyahocorasick is importable.
+'aho' is the default; the workers need pyahocorasick (requirements.txt), and a
+caller without it names 'jvm'.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -32,14 +34,6 @@ from .text import _col, count_hits
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def aho_available() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
 def _aho_udf(lists: tuple[tuple[str, ...], ...]):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def list_hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -50,22 +44,17 @@ def _aho_udf(lists: tuple[tuple[str, ...], ...]):
             for w in words:
                 owners.setdefault(w, []).append(li)
         auto = ahocorasick.Automaton()
-        for w, o in owners.items():
-            auto.add_word(w, (w, o))
+        member = np.zeros((len(owners), len(lists)), np.int32)
+        for k, (w, o) in enumerate(owners.items()):
+            auto.add_word(w, k)
+            member[k, o] = 1
         auto.make_automaton()
-        n = len(lists)
+        none = np.zeros(len(lists), np.int32)
         for texts in batches:
             out = []
             for t in texts:
-                counts = [0] * n
-                if isinstance(t, str) and t:
-                    seen = set()
-                    for _, (w, o) in auto.iter(t):
-                        if w not in seen:
-                            seen.add(w)
-                            for li in o:
-                                counts[li] += 1
-                out.append(counts)
+                seen = {k for _, k in auto.iter(t)} if isinstance(t, str) and t else ()
+                out.append(member[list(seen)].sum(axis=0, dtype=np.int32) if seen else none)
             yield pd.Series(out)
 
     # Marked nondeterministic so that Catalyst never copies the call into a
@@ -79,18 +68,14 @@ def _aho_udf(lists: tuple[tuple[str, ...], ...]):
     return list_hits.asNondeterministic()
 
 
-def resolve(matcher: str) -> str:
-    if matcher not in ('auto', 'aho', 'jvm'):
-        raise ValueError("matcher must be 'auto', 'aho' or 'jvm'")
-    if matcher == 'auto':
-        return 'aho' if aho_available() else 'jvm'
-    return matcher
-
-
-def list_hits(lowered, lists: Sequence[Sequence[str]], matcher: str = 'auto') -> Column:
+def list_hits(lowered, lists: Sequence[Sequence[str]], matcher: str = 'aho') -> Column:
     """array<int>, one count per keyword list, over an already lower-cased
-    text column."""
-    lists = tuple(tuple(dict.fromkeys(words)) for words in lists)
-    if resolve(matcher) == 'aho':
+    text column. Empty keywords count nowhere."""
+    if matcher not in ('aho', 'jvm'):
+        raise ValueError("matcher must be 'aho' or 'jvm'")
+    lists = tuple(tuple(w for w in dict.fromkeys(words) if w) for words in lists)
+    if not any(lists):
+        return F.array(*[F.lit(0) for _ in lists])
+    if matcher == 'aho':
         return _aho_udf(lists)(_col(lowered))
     return F.array(*[count_hits(_col(lowered), words).cast('int') for words in lists])

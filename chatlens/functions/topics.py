@@ -24,7 +24,7 @@ def topic_label(arr) -> Column:
 
 
 def topic_array_matched(lowered, topics=D.TOPIC_KEYWORDS, other: str = D.OTHER_TOPIC,
-                        matcher: str = 'auto') -> Column:
+                        matcher: str = 'aho') -> Column:
     """topic_array over an already lower-cased column, all topic lists counted
     in one pass (for long texts; see chatlens.functions.matcher)."""
     h = list_hits(lowered, [words for _, words in topics], matcher)
