@@ -13,7 +13,7 @@ from ..functions.matcher import list_hits
 
 def classify_rule_based(df: DataFrame, text_col: str = 'text', role_col: str = 'role',
                         keep: tuple[str, ...] = (), dicts: D.Dictionaries = D.DEFAULT,
-                        matcher: str = 'auto') -> DataFrame:
+                        matcher: str = 'aho') -> DataFrame:
     """(*keep, frage, rolle, kategorie, sentiment) per row.
 
     A row-local projection at any scale: lower(text) is projected once, the

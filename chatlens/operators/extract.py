@@ -49,7 +49,8 @@ def _answer_or_sentinel(c: Column) -> Column:
 
 def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str = 'turn',
                     role_col: str = 'role', text_col: str = 'text',
-                    created_col: str | None = 'created', salt_buckets: int = 8) -> DataFrame:
+                    created_col: str | None = 'created', salt_buckets: int = 8,
+                    answers: bool = True) -> DataFrame:
     """Flat form of the extraction.
 
     question = lowest-turn user message with non-empty text;
@@ -71,6 +72,9 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
     in an alternating conversation all assistant turns share one parity,
     which would leave half of the buckets empty. `turn` may be any orderable
     numeric type (the segment merge uses a decimal key).
+
+    Without `answers` only step (1) runs and `Antwort` is NULL: enough for
+    every analysis of the questions, and it never touches assistant text.
     """
     created = F.col(created_col) if created_col else F.lit(None).cast('timestamp_ntz')
     m = messages.select(F.col(id_col).alias('id'), F.col(turn_col).alias('turn'),
@@ -80,6 +84,8 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
          .groupBy('id').agg(F.min('turn').alias('q_turn'),
                             F.min_by('text', 'turn').alias('Frage'),
                             F.min_by('Datetime', 'turn').alias('Datetime')))
+    if not answers:
+        return q.select('id', 'Datetime', 'Frage', F.lit(None).cast('string').alias('Antwort'))
     salts = F.explode(F.sequence(F.lit(0), F.lit(max(salt_buckets, 1) - 1)))
     first_copy = F.col('salt') == 0
     qs = (q.select('id', 'q_turn', 'Frage', 'Datetime', salts.alias('salt'))

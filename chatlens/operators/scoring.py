@@ -78,7 +78,7 @@ def _constant(scorer):
 def score_messages(df: DataFrame, scorer=None, scorer_factory=None, text_col: str = 'text',
                    role_col: str = 'role', keep: tuple[str, ...] = (), max_retries: int = 3,
                    sleep=time.sleep, partitions: int | None = None, checkpoint: bool = True,
-                   dicts: D.Dictionaries = D.DEFAULT, matcher: str = 'auto') -> DataFrame:
+                   dicts: D.Dictionaries = D.DEFAULT, matcher: str = 'aho') -> DataFrame:
     """(*keep, frage, rolle, kategorie, sentiment, quelle) per message.
 
     `scorer(prompt, text, role) -> reply text` is called per message;
@@ -91,7 +91,8 @@ def score_messages(df: DataFrame, scorer=None, scorer_factory=None, text_col: st
         raise ValueError('pass exactly one of scorer / scorer_factory')
     make = scorer_factory or _constant(scorer)
     staged = df.select(*keep, F.col(text_col).alias('_text'), F.col(role_col).alias('_role'),
-                       F.format_string(D.PROMPT_TEMPLATE, F.col(text_col), F.col(role_col)).alias('_prompt'))
+                       F.format_string(D.PROMPT_TEMPLATE, F.coalesce(text_col, F.lit('')),
+                                       F.coalesce(role_col, F.lit(''))).alias('_prompt'))
     if partitions:
         staged = staged.repartition(partitions, *keep) if keep else staged.repartition(partitions)
     schema = T.StructType([f for f in staged.schema.fields if f.name != '_prompt'] + [
@@ -103,7 +104,7 @@ def score_messages(df: DataFrame, scorer=None, scorer_factory=None, text_col: st
 
 
 def parse_verdicts(scored: DataFrame, keep=(), dicts: D.Dictionaries = D.DEFAULT,
-                   matcher: str = 'auto') -> DataFrame:
+                   matcher: str = 'aho') -> DataFrame:
     """Reply -> labels (I5, I6), in Spark columns.
 
     No {...} in the reply -> other/neutral; a {...} that is not strict JSON, a

@@ -83,13 +83,11 @@ def weekday_hour_heatmap(qa: DataFrame, weekday: str = 'Wochentag', hour: str =
 
 def weekday_hour_matrix(qa: DataFrame, weekday: str = 'Wochentag', hour: str = 'Stunde',
                         counted: str | None = 'Frage') -> DataFrame:
-    """Wide form (E12): one row per weekday (all 7, `pos` 1..7, in order),
-    one column per observed hour named '0'..'23', zeros kept.
-
-    A pivot of the long form, which already holds every weekday for every
-    observed hour, so no dimension join is needed. Spark looks up the
-    observed hours (at most 24) before it plans the pivot; the final sort
-    sees 7 rows.
-    """
+    """Wide form (E12): one row per weekday (all 7, `pos` 1..7, in order), one
+    column per hour named '0'..'23', zeros kept. The hours are fixed, so the
+    schema does not follow the data and planning runs no job; the final sort
+    sees 7 rows."""
     long = weekday_hour_heatmap(qa, weekday, hour, counted)
-    return long.groupBy('pos', 'Wochentag').pivot('Stunde').agg(F.sum('Anzahl')).orderBy('pos')
+    return long.groupBy('pos', 'Wochentag').agg(*[
+        F.sum(F.when(F.col('Stunde') == h, F.col('Anzahl')).otherwise(0)).alias(str(h))
+        for h in range(24)]).orderBy('pos')

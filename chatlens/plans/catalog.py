@@ -60,6 +60,11 @@ def qa(spark: SparkSession, d: str) -> DataFrame:
     return qa_table(fixture_messages(spark, d))
 
 
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """The QA table without its answers, for the analyses of questions."""
+    return qa_table(fixture_messages(spark, d), answers=False)
+
+
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """Fixture messages as (conv_id, turn, text, role, datetime)."""
     return fixture_messages(spark, d).withColumnRenamed('created', 'datetime')
@@ -112,55 +117,55 @@ def q_qa_json_features(spark, d):
 
 
 def q_overview_metrics(spark, d):
-    return _overview(qa(spark, d))
+    return _overview(questions(spark, d))
 
 
 def q_questions_per_day(spark, d):
-    return T.questions_per_day(qa(spark, d))
+    return T.questions_per_day(questions(spark, d))
 
 
 def q_weekday_counts(spark, d):
-    return T.weekday_counts(qa(spark, d))
+    return T.weekday_counts(questions(spark, d))
 
 
 def q_daypart_counts(spark, d):
-    return T.daypart_counts(qa(spark, d))
+    return T.daypart_counts(questions(spark, d))
 
 
 def q_hour_counts(spark, d):
-    return T.hour_counts(qa(spark, d))
+    return T.hour_counts(questions(spark, d))
 
 
 def q_weekday_hour_heatmap(spark, d):
-    return T.weekday_hour_heatmap(qa(spark, d))
+    return T.weekday_hour_heatmap(questions(spark, d))
 
 
 def q_weekday_hour_matrix(spark, d):
-    return T.weekday_hour_matrix(qa(spark, d))
+    return T.weekday_hour_matrix(questions(spark, d))
 
 
 def q_length_stats(spark, d):
-    return L.length_stats(qa(spark, d))
+    return L.length_stats(questions(spark, d))
 
 
 def q_length_bands(spark, d):
-    return L.length_bands(qa(spark, d))
+    return L.length_bands(questions(spark, d))
 
 
 def q_length_histogram_chars(spark, d):
-    return L.length_histogram(qa(spark, d), 'Fragenlänge_Zeichen', 30)
+    return L.length_histogram(questions(spark, d), 'Fragenlänge_Zeichen', 30)
 
 
 def q_length_histogram_words(spark, d):
-    return L.length_histogram(qa(spark, d), 'Fragenlänge_Wörter', 20)
+    return L.length_histogram(questions(spark, d), 'Fragenlänge_Wörter', 20)
 
 
 def q_shortest_questions(spark, d):
-    return L.shortest_questions(qa(spark, d))
+    return L.shortest_questions(questions(spark, d))
 
 
 def q_longest_questions(spark, d):
-    return L.longest_questions(qa(spark, d))
+    return L.longest_questions(questions(spark, d))
 
 
 def _ranked(top: DataFrame) -> DataFrame:
@@ -169,31 +174,31 @@ def _ranked(top: DataFrame) -> DataFrame:
 
 
 def q_top_keywords(spark, d):
-    return _ranked(K.top_keywords(qa(spark, d), TOP_KEYWORDS))
+    return _ranked(K.top_keywords(questions(spark, d), TOP_KEYWORDS))
 
 
 def q_keyword_weights(spark, d):
-    return K.keyword_weights(qa(spark, d), TOP_KEYWORDS)
+    return K.keyword_weights(questions(spark, d), TOP_KEYWORDS)
 
 
 def q_topic_labels(spark, d):
-    return qa(spark, d).select('id', 'Kategorie')
+    return questions(spark, d).select('id', 'Kategorie')
 
 
 def q_topic_counts(spark, d):
-    return TP.topic_counts(qa(spark, d))
+    return TP.topic_counts(questions(spark, d))
 
 
 def q_topic_daily_trend(spark, d):
-    return TP.topic_daily_trend(qa(spark, d))
+    return TP.topic_daily_trend(questions(spark, d))
 
 
 def q_topic_mean_length(spark, d):
-    return TP.topic_mean_length(qa(spark, d))
+    return TP.topic_mean_length(questions(spark, d))
 
 
 def q_search_count(spark, d):
-    return _search_count(qa(spark, d), SEARCH_COUNT_TERM)
+    return _search_count(questions(spark, d), SEARCH_COUNT_TERM)
 
 
 def q_search_questions(spark, d):

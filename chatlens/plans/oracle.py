@@ -76,9 +76,7 @@ def band_sql(n: str) -> str:
 
 FX = f"""fx AS (
   SELECT conv_id, turn, role,
-    CASE WHEN (conv_id * 7 + turn) % 16 = 15 THEN '42'
-         WHEN (conv_id + turn) % 3 = 0 THEN {lst(PHRASES)}[(conv_id * 7 + turn) % 16 + 1]
-         ELSE text || ' ' || {lst(PHRASES)}[(conv_id * 7 + turn) % 16 + 1] END AS text,
+    text || ' ' || {lst(PHRASES)}[(conv_id * 7 + turn) % 16 + 1] AS text,
     TIMESTAMP '{START}' + to_seconds(CAST((conv_id * {STEP}) % {SPAN_SECONDS} AS BIGINT)) AS created
   FROM conversations)"""
 
@@ -185,8 +183,9 @@ FROM qa"""
             f'LEFT JOIN {{src}} x ON x."Stunde" = h."Stunde" AND x."Wochentag" = d."Wochentag" '
             f'GROUP BY h."Stunde", d.pos, d."Wochentag"')
     sql['weekday_hour_heatmap'] = BASE + heat.format(src='qa', counted='"Frage"')
-    sql['weekday_hour_matrix'] = (BASE + 'SELECT * FROM (PIVOT (' + heat.format(src='qa', counted='"Frage"')
-                                  + ') ON "Stunde" USING first("Anzahl") GROUP BY pos, "Wochentag")')
+    hours = ', '.join(f'CAST(coalesce(sum("Anzahl") FILTER ("Stunde" = {h}), 0) AS BIGINT) AS "{h}"' for h in range(24))
+    sql['weekday_hour_matrix'] = (BASE + f'SELECT pos, "Wochentag", {hours} FROM ('
+                                  + heat.format(src='qa', counted='"Frage"') + ') GROUP BY pos, "Wochentag"')
     sql['length_stats'] = BASE + """SELECT min("Fragenlänge_Zeichen") AS min_laenge, max("Fragenlänge_Zeichen") AS max_laenge,
   CAST(sum("Fragenlänge_Zeichen") AS DOUBLE) / count("Fragenlänge_Zeichen") AS mittlere_laenge,
   CAST(quantile_cont("Fragenlänge_Zeichen", 0.5) AS DOUBLE) AS median_laenge FROM qa"""

@@ -11,7 +11,7 @@ def plan(df):
 
 
 def test_contract_keys():
-    assert set(E.queries()) == set(E.oracle_sql()) == set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(QUERIES) <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):
