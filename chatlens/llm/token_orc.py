@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of_ids, ordered_block, prefix_sums, scratch_path, text_groups
+from .common import crc32_of_ids, ordered_block, prefix_sums, scratch_path, scratch_table, text_groups
 from .tokens import encoder, forget
 
 STRIPE_BYTES = 32 << 20
@@ -80,7 +80,8 @@ def read_token_orc(spark, path: str, doc_ids=None) -> DataFrame:
 
 def token_index(rows: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ids before each document over all files."""
-    base = prefix_sums(rows.select('part', 'n_tokens'), 'part', 'n_tokens', 'base')
+    # stored, so that its size (a row per file) is known to the join
+    base = scratch_table(prefix_sums(rows.select('part', 'n_tokens'), 'part', 'n_tokens', 'base'), 'token-parts')
     return rows.join(base, 'part').select(
         'doc_id', (F.col('base') + F.col('start_in_part')).alias('start'), 'n_tokens', 'ids')
 
