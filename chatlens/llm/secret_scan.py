@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -97,7 +98,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     blanks = [m.start() for m in _BLANK.finditer(text)]
                 else:
                     w, blanks = [], []
-                rows = [[{'kind': k, 'start': a, 'end': e, 'scope': sum(x < a for x in blanks)} for k, a, e in x]
+                rows = [[{'kind': k, 'start': a, 'end': e, 'scope': bisect_left(blanks, a)} for k, a, e in x]
                         for x in (s, w)]
                 strong.append(rows[0])
                 weak.append(rows[1])
