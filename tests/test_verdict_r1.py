@@ -1,5 +1,6 @@
 """Faults found in the first review stay mended."""
 
+import json
 import os
 import random
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from chatlens.functions.matcher import list_hits
 from chatlens.operators import temporal
 from chatlens.sources.chat_csv import qa_from_export, read_chat_csv
+from chatlens.sources.export import classification_document
 from chatlens.sources.fixture import fixture_messages
 from chatlens.sources.tables import conversations
 from chatlens.streaming import ingest
@@ -78,3 +80,12 @@ def test_matchers_agree(spark):
 def test_matrix_schema_is_fixed(spark):
     qa = spark.createDataFrame([('Montag', 9, 'x')], 'Wochentag string, Stunde int, Frage string')
     assert temporal.weekday_hour_matrix(qa).columns == ['pos', 'Wochentag', *map(str, range(24))]
+
+
+def test_document_is_newest_first(spark):
+    rows = [(3, 'c', '2025-07-21 08:00:00'), (1, 'a', '2025-07-22 08:00:00'), (4, 'd', None),
+            (2, 'z', '2025-07-22 08:00:00')]
+    df = spark.createDataFrame(rows, 'nr int, frage string, t string').repartition(4).select(
+        'nr', 'frage', F.col('t').cast('timestamp_ntz').alias('datetime'))
+    assert [r['frage'] for r in json.loads(classification_document(df))] == ['a', 'z', 'c', 'd']
+    assert [r['frage'] for r in json.loads(classification_document(df.drop('nr')))] == ['a', 'z', 'c', 'd']
