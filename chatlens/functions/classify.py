@@ -6,41 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
-from .text import _col, contains_any, count_hits, is_all_digits, strip_ws
-
-
-def rule_category(text, dicts: D.Dictionaries = D.DEFAULT, lowered=None) -> Column:
-    """aggressive > food > (short or all digits -> other) > neutral;
-    NULL or empty text -> other. Pass `lowered` (a column already holding
-    lower(text)) when the caller has projected it once."""
-    t = _col(text)
-    low = F.lower(t) if lowered is None else _col(lowered)
-    return (F.when(t.isNull() | (t == ''), D.CATEGORY_OTHER)
-            .when(contains_any(low, dicts.aggressive), D.CATEGORY_AGGRESSIVE)
-            .when(contains_any(low, dicts.food), D.CATEGORY_FOOD)
-            .when((F.char_length(strip_ws(low)) < 5) | is_all_digits(low), D.CATEGORY_OTHER)
-            .otherwise(D.CATEGORY_NEUTRAL))
-
-
-def rule_sentiment(text, category: Column | None = None,
-                   dicts: D.Dictionaries = D.DEFAULT, lowered=None) -> Column:
-    """More positive than negative keyword hits -> positive, the reverse ->
-    negative, else neutral; an aggressive message that came out neutral is
-    negative."""
-    t = _col(text)
-    low = F.lower(t) if lowered is None else _col(lowered)
-    pos = count_hits(low, dicts.positive)
-    neg = count_hits(low, dicts.negative)
-    cat = rule_category(text, dicts, lowered) if category is None else category
-    return (F.when(t.isNull() | (t == ''), D.SENTIMENT_NEUTRAL)
-            .when(pos > neg, D.SENTIMENT_POSITIVE)
-            .when(neg > pos, D.SENTIMENT_NEGATIVE)
-            .when(cat == D.CATEGORY_AGGRESSIVE, D.SENTIMENT_NEGATIVE)
-            .otherwise(D.SENTIMENT_NEUTRAL))
+from .text import _col, is_all_digits, strip_ws
 
 
 def category_from_hits(text, lowered, food_hits, aggressive_hits) -> Column:
-    """rule_category with the keyword tests already counted (see matcher)."""
+    """aggressive > food > (short or all digits -> other) > neutral; NULL or
+    empty text -> other. The keyword hits are counted beforehand (`matcher`)."""
     t, low = _col(text), _col(lowered)
     return (F.when(t.isNull() | (t == ''), D.CATEGORY_OTHER)
             .when(_col(aggressive_hits) > 0, D.CATEGORY_AGGRESSIVE)
@@ -50,7 +21,9 @@ def category_from_hits(text, lowered, food_hits, aggressive_hits) -> Column:
 
 
 def sentiment_from_hits(text, positive_hits, negative_hits, category) -> Column:
-    """rule_sentiment with the keyword tests already counted."""
+    """More positive than negative keyword hits -> positive, the reverse ->
+    negative, else neutral; an aggressive message that came out neutral is
+    negative."""
     t, pos, neg = _col(text), _col(positive_hits), _col(negative_hits)
     return (F.when(t.isNull() | (t == ''), D.SENTIMENT_NEUTRAL)
             .when(pos > neg, D.SENTIMENT_POSITIVE)

@@ -68,7 +68,7 @@ def classification_filtered(classified: DataFrame, category: str = D.ALL_FILTER,
         out = out.filter(F.col('kategorie') == category)
     if sentiment != D.ALL_FILTER:
         out = out.filter(F.col('sentiment') == sentiment)
-    keep = [c for c in ('id', 'turn') if c in classified.columns]
+    keep = [c for c in ('id', 'conv_id', 'turn') if c in classified.columns]
     return out.select(*keep, fmt_datetime(time_col).alias('Zeit'), F.col('rolle').alias('Rolle'),
                       F.col('kategorie').alias('Kategorie'), F.col('sentiment').alias('Sentiment'),
                       truncate('frage', preview).alias('Nachricht'))

@@ -39,6 +39,15 @@ FALLBACK_QUESTION_PLAIN = r'"text":"([^"]+)"[^}]*\}[^}]*"role":"user"'
 FALLBACK_ANSWER_DOUBLED = r'(?d)""role"":""assistant"".*?""text"":""([^"]+)""'
 FALLBACK_ANSWER_PLAIN = r'(?d)"role":"assistant".*?"text":"([^"]+)"'
 
+# Robust mode's answer, own pattern: behind the question, the first assistant
+# message with a text part of its own, its parts before its role (group 1) or
+# behind it (group 2). No brace may lie between a text and its role but those
+# of further parts, so a text of another message never fits.
+_OTHER_PARTS = r'(?:\s*,\s*\{[^{}]*\})*'
+ROBUST_ANSWER = (r'(?s)"text":"[^"]+"[^}]*\}[^}]*"role":"user".*?(?:'
+                 r'"text":"([^"]*)"[^{}]*\}' + _OTHER_PARTS + r'\s*\][^{}]*"role":"assistant"'
+                 r'|"role":"assistant"[^{}]*(?:\{[^{}]*\}\s*,\s*)*\{[^{}]*"text":"([^"]*)")')
+
 
 def _answer_or_sentinel(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit('')), F.lit(D.NO_ANSWER))
@@ -75,6 +84,8 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
 
     Without `answers` only step (1) runs and `Antwort` is NULL: enough for
     every analysis of the questions, and it never touches assistant text.
+    `q_turn` comes along, from which `fetch_answers` finds the answers of a
+    page of questions later.
     """
     created = F.col(created_col) if created_col else F.lit(None).cast('timestamp_ntz')
     m = messages.select(F.col(id_col).alias('id'), F.col(turn_col).alias('turn'),
@@ -85,7 +96,7 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
                             F.min_by('text', 'turn').alias('Frage'),
                             F.min_by('Datetime', 'turn').alias('Datetime')))
     if not answers:
-        return q.select('id', 'Datetime', 'Frage', F.lit(None).cast('string').alias('Antwort'))
+        return q.select('id', 'Datetime', 'Frage', F.lit(None).cast('string').alias('Antwort'), 'q_turn')
     salts = F.explode(F.sequence(F.lit(0), F.lit(max(salt_buckets, 1) - 1)))
     first_copy = F.col('salt') == 0
     qs = (q.select('id', 'q_turn', 'Frage', 'Datetime', salts.alias('salt'))
@@ -101,6 +112,25 @@ def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str
     return pairs.select('id', 'Datetime', 'Frage', _answer_or_sentinel(F.col('a_text')).alias('Antwort'))
 
 
+def fetch_answers(cut: DataFrame, messages: DataFrame, id_col: str = 'conv_id', turn_col: str = 'turn',
+                  role_col: str = 'role', text_col: str = 'text') -> DataFrame:
+    """`cut` with `Antwort` filled in and without `q_turn`.
+
+    `cut` is a page of questions (`extract_qa_flat(..., answers=False)`, cut
+    by a limit). Its ids and turns, at most as many as the limit, are
+    broadcast to the assistant rows, so only those conversations' answers are
+    shuffled, one per conversation and task.
+    """
+    page = F.broadcast(cut.select(F.col('id').alias('_id'), F.col('q_turn').alias('_q')))
+    asst = messages.filter(F.col(role_col) == 'assistant').select(
+        F.col(id_col).alias('_a_id'), F.col(turn_col).alias('_a_turn'), F.col(text_col).alias('_a_text'))
+    found = (asst.join(page, (F.col('_a_id') == F.col('_id')) & (F.col('_a_turn') > F.col('_q')))
+             .groupBy('_a_id').agg(F.min_by('_a_text', '_a_turn').alias('_a_text')))
+    out = cut.join(found, F.col('id') == F.col('_a_id'), 'left')
+    return out.select(*[_answer_or_sentinel(F.col('_a_text')).alias(c) if c == 'Antwort' else F.col(f'`{c}`')
+                        for c in cut.columns if c != 'q_turn'])
+
+
 # --------------------------------------------------------------------------- JSON
 
 
@@ -128,37 +158,77 @@ def _decode_mode(raw: Column, mode: str):
     return F.when(ok_p, msgs_p).otherwise(msgs_r), ok_p | ok_r
 
 
-def _with_positions(df: DataFrame, msgs_col: str = '_msgs') -> DataFrame:
+_KEYS_SCHEMA = T.StructType([T.StructField('messages', T.ArrayType(T.MapType(T.StringType(), T.StringType())))])
+
+
+def _null_parts(raw: Column) -> Column:
+    """array<boolean>, per message: `parts` is there and null, where the
+    original's loop fails (a missing key is an empty list). Decoded a second
+    time as key maps, but only for rows that hold the spelling at all."""
+    js = F.replace(raw, F.lit('""'), F.lit('"'))
+    keyed = F.transform(F.from_json(js, _KEYS_SCHEMA)['messages'],
+                        lambda m: F.map_contains_key(m, 'parts') & m['parts'].isNull())
+    return F.when(js.rlike(r'"parts"\s*:\s*null'), keyed)
+
+
+def _with_positions(df: DataFrame, mode: str = 'robust') -> DataFrame:
     """Adds `_cand` (role and first text part of each message), `_qi` (first
     question: a user message with non-empty text), `_ai` (first assistant
     message after it) and `_fi` (first assistant message) (B5, B6).
 
+    In compat mode `_ok` turns false where the original's loop fails on its
+    way to the answer: `parts` null, or a null before its first text part, in
+    a user message up to the question or in the first assistant message after.
+
     Separate projections: each value is computed once per row and referenced
     by name, instead of the array expression being inlined into every use.
     """
-    cand = F.transform(F.col(msgs_col), lambda x: F.struct(
+    compat = mode == 'compat'
+    if compat:
+        df = df.select('*', _null_parts(F.col('_raw')).alias('_np'))
+
+    def first_part(x):
+        return F.get(F.filter(x['parts'], lambda p: p.isNull() | (p['type'] == 'text')), 0)
+
+    def fails(x, i):
+        return (F.coalesce(F.get(F.col('_np'), i), F.lit(False))
+                | (F.exists(x['parts'], lambda p: p.isNull()) & first_part(x).isNull()))
+
+    cand = F.transform(F.col('_msgs'), lambda x, i: F.struct(
         x['role'].alias('role'),
-        F.get(F.filter(x['parts'], lambda p: p['type'] == 'text'), 0)['text'].alias('text')))
+        F.get(F.filter(x['parts'], lambda p: p['type'] == 'text'), 0)['text'].alias('text'),
+        (F.coalesce(fails(x, i), F.lit(False)) if compat else F.lit(False)).alias('fails')))
     staged = df.select('*', cand.alias('_cand'))
     c = F.col('_cand')
     staged = staged.select('*', F.array_min(F.transform(
         c, lambda m, i: F.when((m['role'] == 'user') & (F.length(m['text']) > 0), i))).alias('_qi'))
     ai = F.array_min(F.transform(c, lambda m, i: F.when((m['role'] == 'assistant') & (i > F.col('_qi')), i)))
     fi = F.array_min(F.transform(c, lambda m, i: F.when(m['role'] == 'assistant', i)))
-    return staged.select('*', ai.alias('_ai'), fi.alias('_fi'))
+    staged = staged.select('*', ai.alias('_ai'), fi.alias('_fi'))
+    if not compat:
+        return staged
+    broken = F.exists(F.transform(F.col('_cand'), lambda m, i: m['fails'] & (
+        ((m['role'] == 'user') & (i <= F.coalesce('_qi', F.size('_cand')))) | F.coalesce(i == F.col('_ai'), F.lit(False)))),
+        lambda x: x)
+    return staged.withColumn('_ok', F.col('_ok') & ~F.coalesce(broken, F.lit(False)))
 
 
 def _text_at(i: str) -> Column:
     return F.get(F.col('_cand'), F.col(i))['text']
 
 
-def _fallback(raw: Column):
-    """Regex fallback (B8, B9): question needs text-before-role, answer the
-    first text after the first assistant role - both as in the original."""
+def _fallback(raw: Column, mode: str):
+    """Regex fallback (B8, B9): question needs text-before-role. The answer is
+    in compat mode the first text after the first assistant role, as in the
+    original, which may be the next user's; in robust mode only the text of
+    an assistant message itself (`ROBUST_ANSWER`)."""
     q = (F.when(raw.contains('""text""'),
                 F.nullif(F.regexp_extract(raw, FALLBACK_QUESTION_DOUBLED, 1), F.lit('')))
          .when(raw.contains('"text"'),
                F.nullif(F.regexp_extract(raw, FALLBACK_QUESTION_PLAIN, 1), F.lit(''))))
+    if mode == 'robust':
+        plain = F.when(raw.contains('""text""'), F.replace(raw, F.lit('""'), F.lit('"'))).otherwise(raw)
+        return q, F.coalesce(*[F.nullif(F.regexp_extract(plain, ROBUST_ANSWER, g), F.lit('')) for g in (1, 2)])
     a = (F.when(raw.contains('""role"":""assistant""'),
                 F.nullif(F.regexp_extract(raw, FALLBACK_ANSWER_DOUBLED, 1), F.lit('')))
          .when(raw.contains('"role":"assistant"'),
@@ -183,13 +253,9 @@ def extract_qa_json(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col: str
     msgs, ok = _decode_mode(raw, mode)
     staged = _with_positions(rows.select(F.col(id_col).alias('id'), F.col(datetime_col).alias('Datetime'),
                                          *kept, raw.alias('_raw'), msgs.alias('_msgs'),
-                                         ok.alias('_ok')))
+                                         ok.alias('_ok')), mode)
     jq, ja = _text_at('_qi'), _text_at('_ai')
-    rq, ra = _fallback(F.col('_raw'))
-    if mode == 'robust':
-        # the answer pattern may pick up a later user text; keep it only when
-        # it is not the question's own text
-        ra = F.when(ra != rq, ra)
+    rq, ra = _fallback(F.col('_raw'), mode)
     staged = staged.select(
         'id', 'Datetime', *kept,
         F.when(F.col('_ok'), jq).otherwise(rq).alias('Frage'),
@@ -250,10 +316,8 @@ def extract_qa_segments(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col:
     msgs, ok = _decode_mode(F.col(raw_col), mode)
     staged = _with_positions(rows.select(
         F.col(id_col).alias('id'), F.col(segment_col).alias('_seg'), F.col(datetime_col).alias('Datetime'),
-        F.col(raw_col).alias('_raw'), msgs.alias('_msgs'), ok.alias('_ok')))
-    rq, ra = _fallback(F.col('_raw'))
-    if mode == 'robust':
-        ra = F.when(ra != rq, ra)
+        F.col(raw_col).alias('_raw'), msgs.alias('_msgs'), ok.alias('_ok')), mode)
+    rq, ra = _fallback(F.col('_raw'), mode)
     cands = staged.select('id', '_seg', 'Datetime', F.inline(_segment_candidates(rq, ra)))
     key = (F.col('_seg').cast('decimal(20,0)') * F.lit(_SEGMENT_SHIFT).cast('decimal(11,0)')
            + F.col('pos')).cast('decimal(38,0)')

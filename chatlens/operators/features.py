@@ -20,9 +20,11 @@ def add_features(qa: DataFrame, dicts: D.Dictionaries = D.DEFAULT) -> DataFrame:
 
     One projection, no shuffle. `Themen` is the topic array; `Kategorie` its
     ', '-joined text as users see it. Rows without a date are dropped (B13).
+    A question-only table's `q_turn` is carried through.
     """
-    base = qa.select('id', 'Datetime', 'Frage', 'Antwort', F.lower('Frage').alias('_low')).select(
-        'id', 'Datetime', 'Frage', 'Antwort',
+    turn = [c for c in qa.columns if c == 'q_turn']
+    base = qa.select('id', 'Datetime', 'Frage', 'Antwort', *turn, F.lower('Frage').alias('_low')).select(
+        'id', 'Datetime', 'Frage', 'Antwort', *turn,
         F.to_date('Datetime').alias('Datum'),
         german_weekday('Datetime').alias('Wochentag'),
         F.hour('Datetime').alias('Stunde'),
@@ -35,7 +37,7 @@ def add_features(qa: DataFrame, dicts: D.Dictionaries = D.DEFAULT) -> DataFrame:
         'Fragenlänge_Zeichen', 'Fragenlänge_Wörter',
         daypart('Stunde').alias('Tageszeit'),
         length_band('Fragenlänge_Zeichen').alias('Längenkategorie'),
-        'Themen', topic_label('Themen').alias('Kategorie'),
+        'Themen', topic_label('Themen').alias('Kategorie'), *turn,
     ).dropna(subset=['Datum'])
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import dictionaries as D
 from ..functions import tokens
@@ -28,37 +27,52 @@ def keyword_counts(df: DataFrame, text_col: str = 'Frage', order_cols=('Datetime
                    dicts: D.Dictionaries = D.DEFAULT) -> DataFrame:
     """(Keyword, Anzahl, first) for every kept word.
 
-    `first` is the earliest occurrence in (order_cols, position) order, the
-    tie-break of the original's counter. Aggregated map-side first, so a word
-    that makes up a third of all tokens is still one row per task.
+    `first` is the least value of the first order column among the word's
+    rows. Count and minimum are plain values that a hash aggregate updates in
+    place, map-side first: a word that makes up a third of all tokens is
+    still one row per task.
     """
     t = keyword_tokens(df, text_col, order_cols, dicts)
     return t.groupBy(F.col('w').alias('Keyword')).agg(
-        F.count(F.lit(1)).alias('Anzahl'), F.min(_first_key(df, order_cols)).alias('first'))
-
-
-_INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
-
-
-def _first_key(df: DataFrame, order_cols) -> 'F.Column':
-    """Sort key of an occurrence. With a single integral order column the pair
-    (key, position) is packed exactly into one decimal(38,0) - key * 10^18 +
-    position, order-preserving for any bigint key and position < 10^18 - which
-    the hash aggregate updates in place; otherwise a struct, which makes Spark
-    fall back to a sort-based aggregate."""
-    if len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, _INTEGRAL):
-        return (F.col(order_cols[0]).cast('decimal(38,0)') * F.lit(10 ** 18).cast('decimal(38,0)')
-                + F.col('pos')).cast('decimal(38,0)')
-    return F.struct(*order_cols, 'pos')
+        F.count(F.lit(1)).alias('Anzahl'), F.min(order_cols[0]).alias('first'))
 
 
 def top_keywords(df: DataFrame, n: int = 20, text_col: str = 'Frage',
                  order_cols=('Datetime', 'id'), dicts: D.Dictionaries = D.DEFAULT) -> DataFrame:
-    """The n most frequent keywords, ties by first appearance (F3). The
-    dashboard asks for 25."""
-    c = keyword_counts(df, text_col, order_cols, dicts)
-    return (c.orderBy(F.col('Anzahl').desc(), F.col('first').asc()).limit(n)
-            .select('Keyword', 'Anzahl', F.col('first')))
+    """(Keyword, Anzahl, first, at): the n most frequent keywords, ties by
+    first appearance in (order_cols, position) order, the tie-break of the
+    original's counter (F3). The dashboard asks for 25.
+
+    Words are cut by (count, `first`), all words level with the n-th staying
+    in. Only words that share both with another one need their exact place:
+    `at`, the least (other order columns, position) in the rows of that
+    `first`, NULL for the rest. The rows looked up are those of at most n
+    values of the first order column, which are broadcast; without ties the
+    second pass over the texts falls away at run time.
+    """
+    counts = keyword_counts(df, text_col, order_cols, dicts)
+    last = (counts.orderBy(F.col('Anzahl').desc(), F.col('first').asc_nulls_first()).limit(n)
+            .orderBy(F.col('Anzahl').asc(), F.col('first').desc_nulls_last()).limit(1)
+            .select(F.struct(F.col('Anzahl').alias('n'), F.col('first').alias('f'))).scalar())
+    near = counts.withColumn('_last', last).filter(
+        (F.col('Anzahl') > F.col('_last.n')) | ((F.col('Anzahl') == F.col('_last.n')) & (
+            F.col('first').isNull() | (F.col('first') <= F.col('_last.f'))))).drop('_last')
+    tied = (near.groupBy('Anzahl', 'first').agg(F.count(F.lit(1)).alias('words')).filter('words > 1')
+            .select(F.col('first').alias('_f')).distinct())
+    rows = df.select(*order_cols, text_col).join(F.broadcast(tied), F.col(order_cols[0]).eqNullSafe(F.col('_f')),
+                                                 'left_semi')
+    rest = [*order_cols[1:], 'pos']
+    places = keyword_tokens(rows, text_col, order_cols, dicts).groupBy(
+        F.col('w').alias('_w'), F.col(order_cols[0]).alias('_at_first')).agg(
+        F.min(F.struct(*rest) if len(rest) > 1 else F.col('pos')).alias('at'))
+    found = near.join(places, (F.col('Keyword') == F.col('_w'))
+                      & F.col('first').eqNullSafe(F.col('_at_first')), 'left')
+    return (found.orderBy(*keyword_order()).limit(n).select('Keyword', 'Anzahl', 'first', 'at'))
+
+
+def keyword_order() -> list[Column]:
+    """The order of `top_keywords`' rows, most frequent and earliest first."""
+    return [F.col('Anzahl').desc(), F.col('first').asc_nulls_first(), F.col('at').asc()]
 
 
 def keyword_weights(df: DataFrame, n: int = 25, **kw) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fmt_time, truncate
+from .extract import fetch_answers
 
 
 def search_filter(qa: DataFrame, term: str = '', start: dt.date | str | None = None,
@@ -39,14 +40,18 @@ def search_count(qa: DataFrame, term: str = '', start=None, end=None, literal: b
 
 
 def search_questions(qa: DataFrame, term: str = '', start=None, end=None, literal: bool = False,
-                     page: int = 50) -> DataFrame:
+                     page: int = 50, messages: DataFrame | None = None) -> DataFrame:
     """The first `page` matches in time order, shaped for display (D3).
 
     The page cap is the feature (the original shows 50); it plans as a
-    distributed top-k, never a full sort on one task.
+    distributed top-k, never a full sort on one task. With `messages`, `qa` is
+    the question-only table (`qa_table(messages, answers=False)`), and only
+    the page's answers are looked up there.
     """
-    hits = search_filter(qa, term, start, end, literal)
-    return (hits.orderBy('Datetime', 'id').limit(page)
+    hits = search_filter(qa, term, start, end, literal).orderBy('Datetime', 'id').limit(page)
+    if messages is not None:
+        hits = fetch_answers(hits, messages)
+    return (hits
             .select('id', 'Datum', fmt_time('Datetime').alias('Uhrzeit'), 'Wochentag',
                     'Fragenlänge_Zeichen', 'Kategorie',
                     truncate('Frage', 100, always_ellipsis=True).alias('Titel'),

@@ -31,11 +31,13 @@ from ..operators.scoring import fixture_scorer, score_messages
 from ..operators.search import search_count as _search_count
 from ..operators.search import search_questions as _search_questions
 from ..session import checkpoint_root
-from ..sources.chat_csv import qa_from_segmented_export, read_chat_csv, write_export_csv
+from ..sources.chat_csv import (qa_from_export, qa_from_segmented_export, read_chat_csv, rejects,
+                                write_export_csv)
 from ..sources.export import read_classification_json, write_classification_json
-from ..sources.fixture import chat_fixture, export_rows, fixture_messages
-from ..sources.tables import documents, events, table_path
-from ..streaming.ingest import event_time, naive_time, read_message_stream, run_to_table, windowed_counts
+from ..sources.fixture import chat_fixture, dirty_export_rows, export_rows, fixture_messages
+from ..sources.tables import conversations, documents, events, table_path
+from ..streaming.ingest import (event_time, naive_time, read_export_stream, read_message_stream, run_to_table,
+                                stream_location, window_run)
 
 # Parameters of the registered queries (the dashboard's own defaults where it
 # has them).
@@ -49,6 +51,11 @@ FILTER_CATEGORY, FILTER_SENTIMENT = D.CATEGORY_FOOD, D.SENTIMENT_POSITIVE
 # conversations of the given table span several segments and the segment
 # merge is part of what the oracle checks.
 EXPORT_SEGMENT_MESSAGES = 4
+# Topics of the given documents, with words that occur in them.
+DOCUMENT_TOPICS = (('Fragen', ('nicht', 'what', 'que ')), ('Dinge', ('thing', 'ción')), ('Wandel', ('tion', 'mente')),
+                   ('Zeichen', ('&&&', '%%%')), ('Ersch', ('ersch', 'belich')))
+# Days that a late message may lag behind the newest in the stream of late counts.
+LATE_DAYS = 7
 
 QA_OUT = ('id', 'Datum', 'Datetime', 'Wochentag', 'Stunde', 'Frage', 'Antwort',
           'Fragenlänge_Zeichen', 'Fragenlänge_Wörter', 'Tageszeit', 'Längenkategorie', 'Kategorie')
@@ -75,7 +82,7 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classified_latest(spark: SparkSession, d: str) -> DataFrame:
-    return C.classify_rule_based(_latest(qa(spark, d), LATEST), keep=('nr', 'id', 'datetime'))
+    return C.classify_rule_based(q_latest_messages(spark, d), keep=('nr', 'id', 'datetime'))
 
 
 def event_times(spark: SparkSession, d: str) -> DataFrame:
@@ -108,6 +115,29 @@ def q_qa_from_csv(spark, d):
                                                  'Frage', 'Antwort')
 
 
+def _dirty_export(spark, d):
+    path = os.path.join(checkpoint_root(spark), 'exports', uuid.uuid4().hex)
+    write_export_csv(dirty_export_rows(fixture_messages(spark, d), EXPORT_SEGMENT_MESSAGES), path)
+    rows = read_chat_csv(spark, path, keep=('conv_id', 'segment'))
+    return rows.withColumns({c: F.col(c).cast('bigint') for c in ('conv_id', 'segment')})
+
+
+def q_qa_from_dirty_csv(spark, d):
+    """A1-A2, B1-B4, B8-B11 on CSV exports with the faults of real ones, each
+    row a chat of its own, in the original's reading."""
+    return qa_from_export(_dirty_export(spark, d), keep=('conv_id', 'segment')).drop('id')
+
+
+def q_qa_from_dirty_csv_robust(spark, d):
+    """The same in robust mode: answers come from assistants only."""
+    return qa_from_export(_dirty_export(spark, d), 'robust', keep=('conv_id', 'segment')).drop('id')
+
+
+def q_export_rejects(spark, d):
+    """The rows of those exports that give no question, by reason."""
+    return rejects(_dirty_export(spark, d), keep=('conv_id', 'segment')).select('conv_id', 'segment', 'reason')
+
+
 def q_qa_features(spark, d):
     return qa(spark, d).select(*QA_OUT)
 
@@ -169,7 +199,7 @@ def q_longest_questions(spark, d):
 
 
 def _ranked(top: DataFrame) -> DataFrame:
-    w = Window.orderBy(F.col('Anzahl').desc(), F.col('first').asc())
+    w = Window.orderBy(*K.keyword_order())
     return top.select(F.row_number().over(w).alias('Rang'), 'Keyword', 'Anzahl')
 
 
@@ -202,15 +232,15 @@ def q_search_count(spark, d):
 
 
 def q_search_questions(spark, d):
-    return _search_questions(qa(spark, d), SEARCH_PAGE_TERM)
+    return _search_questions(questions(spark, d), SEARCH_PAGE_TERM, messages=fixture_messages(spark, d))
 
 
 def q_search_by_date(spark, d):
-    return _search_questions(qa(spark, d), '', SEARCH_FROM, SEARCH_TO)
+    return _search_questions(questions(spark, d), '', SEARCH_FROM, SEARCH_TO, messages=fixture_messages(spark, d))
 
 
 def q_latest_messages(spark, d):
-    return _latest(qa(spark, d), LATEST)
+    return _latest(questions(spark, d), LATEST, messages=fixture_messages(spark, d))
 
 
 def q_classify_messages(spark, d):
@@ -270,7 +300,7 @@ def q_document_classification(spark, d):
 
 def q_document_topic_counts(spark, d):
     low = documents(spark, d).select(F.lower('text').alias('low'))
-    return TP.topic_counts(low.select(topic_array_matched('low').alias('Themen')))
+    return TP.topic_counts(low.select(topic_array_matched('low', DOCUMENT_TOPICS).alias('Themen')))
 
 
 def q_document_length_stats(spark, d):
@@ -297,14 +327,47 @@ def _message_stream(spark, d):
 
 
 def q_stream_daily_counts(spark, d):
-    """J1 + J2: messages arriving as a stream, counted per day with a
-    watermark, run incrementally to the end of the input."""
+    """J1 + J2: messages arriving as a stream, counted per day in append mode
+    with a watermark, to the end of the input."""
     msgs = _message_stream(spark, d).withColumn('event_time', event_time('created'))
-    counts = run_to_table(windowed_counts(msgs, '1 day', '1 day'), 'daily_counts')
+    return _days(window_run(msgs, stream_location(spark, f'daily_counts-{uuid.uuid4().hex}'), last=True))
+
+
+def _days(counts):
     return counts.select(naive_time('window_start').alias('window_start'),
                          naive_time('window_end').alias('window_end'), 'Anzahl')
 
 
+def q_stream_late_counts(spark, d):
+    """The users' messages arrive first, all others in a second run of the
+    same stream; of those, the ones in days that the watermark has passed by
+    then are late and not counted."""
+    base = stream_location(spark, f'late_counts-{uuid.uuid4().hex}')
+    arrived = os.path.join(base, 'in')
+    given = conversations(spark, d).select('conv_id', 'turn', 'role', 'text')
+
+    def run(rows, last):
+        rows.write.mode('append').parquet(arrived)
+        msgs = chat_fixture(read_message_stream(spark, arrived)).withColumn('event_time', event_time('created'))
+        return window_run(msgs, base, '1 day', f'{LATE_DAYS} days', last=last)
+
+    run(given.filter("role = 'user'"), False)
+    return _days(run(given.filter("role IS DISTINCT FROM 'user'"), True))
+
+
+def q_stream_qa_from_csv(spark, d):
+    """J1 on CSV exports of two versions (other column order, a further
+    column): streamed into a table of export rows, then extracted."""
+    base = stream_location(spark, f'qa_from_csv-{uuid.uuid4().hex}')
+    rows = export_rows(fixture_messages(spark, d), EXPORT_SEGMENT_MESSAGES)
+    write_export_csv(rows.filter('segment = 0'), os.path.join(base, 'in'))
+    write_export_csv(rows.filter('segment <> 0').select(
+        'segment', 'Raw Chat Data', F.lit('x').alias('Nr'), 'Erstellt', 'conv_id'), os.path.join(base, 'in'), 'append')
+    stream = read_export_stream(spark, os.path.join(base, 'in'), keep=('conv_id', 'segment'))
+    return qa_from_segmented_export(run_to_table(stream, 'qa_from_csv', 'append', base)).select(
+        F.col('id').cast('bigint').alias('id'), 'Datetime', 'Frage', 'Antwort')
+
+
 def q_stream_classification_counts(spark, d):
     """J1 + J3: rule classification of a message stream, counts per label."""
     c = C.classify_rule_based(_message_stream(spark, d), keep=('conv_id',))
@@ -316,6 +379,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'qa_pairs': q_qa_pairs,
     'qa_from_json': q_qa_from_json,
     'qa_from_csv': q_qa_from_csv,
+    'qa_from_dirty_csv': q_qa_from_dirty_csv,
+    'qa_from_dirty_csv_robust': q_qa_from_dirty_csv_robust,
+    'export_rejects': q_export_rejects,
     'qa_features': q_qa_features,
     'qa_json_features': q_qa_json_features,
     'overview_metrics': q_overview_metrics,
@@ -358,6 +424,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'event_weekday_hour': q_event_weekday_hour,
     'event_daypart_counts': q_event_daypart_counts,
     'event_hour_counts': q_event_hour_counts,
+    'stream_qa_from_csv': q_stream_qa_from_csv,
     'stream_daily_counts': q_stream_daily_counts,
+    'stream_late_counts': q_stream_late_counts,
     'stream_classification_counts': q_stream_classification_counts,
 }

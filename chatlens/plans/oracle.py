@@ -10,7 +10,7 @@ the per-topic mean. Only the word lists and labels are shared.
 from __future__ import annotations
 
 from .. import dictionaries as D
-from ..sources.fixture import PHRASES, SPAN_SECONDS, START, STEP
+from ..sources.fixture import DIRT, PHRASES, SPAN_SECONDS, START, STEP
 from . import catalog as Q
 from ..operators.lengths import NICE_WIDTHS
 
@@ -38,8 +38,8 @@ def values(rows) -> str:
                                  for r in rows)
 
 
-def topics_sql(low: str) -> str:
-    parts = ', '.join(f"CASE WHEN {any_of(low, words)} THEN {s(label)} END" for label, words in D.TOPIC_KEYWORDS)
+def topics_sql(low: str, topics=D.TOPIC_KEYWORDS) -> str:
+    parts = ', '.join(f"CASE WHEN {any_of(low, words)} THEN {s(label)} END" for label, words in topics)
     return f"coalesce(nullif(concat_ws(', ', {parts}), ''), {s(D.OTHER_TOPIC)})"
 
 
@@ -105,6 +105,32 @@ qa AS (
          {band_sql('"Fragenlänge_Zeichen"')} AS "Längenkategorie", "Kategorie"
   FROM qa1)"""
 
+# The rows of a dirty export: fault, question turn, the next assistant's text
+# and the text behind the first assistant's message.
+DIRTY = f"""seg AS (
+  SELECT conv_id, turn // {Q.EXPORT_SEGMENT_MESSAGES} AS segment, turn, role, text, created FROM fx),
+d0 AS (
+  SELECT conv_id, segment, {lst(DIRT)}[(conv_id + segment) % {len(DIRT)} + 1] AS dirt, min(created) AS created,
+         min(turn) FILTER (role = 'user') AS qt, min(turn) FILTER (role = 'assistant') AS ft
+  FROM seg GROUP BY conv_id, segment),
+dirty AS (
+  SELECT d0.conv_id, d0.segment, any_value(dirt) AS dirt, any_value(d0.created) AS created, any_value(qt) AS qt,
+         any_value(text) FILTER (turn = qt) AS q,
+         arg_min(text, turn) FILTER (role = 'assistant' AND turn > qt) AS own,
+         arg_min(text, turn) FILTER (turn > ft) AS behind
+  FROM d0 JOIN seg USING (conv_id, segment) GROUP BY d0.conv_id, d0.segment)"""
+
+
+def dirty_qa_sql(fallback_answer: str) -> str:
+    def raw(c):  # as spelled in the JSON text
+        return f"replace({c}, chr(10), '\\n')"
+    return f"""WITH {FX},
+{DIRTY}
+SELECT conv_id, segment, created AS "Datetime", CASE WHEN dirt = 'clean' THEN q ELSE {raw('q')} END AS "Frage",
+  coalesce(CASE WHEN dirt = 'clean' THEN own ELSE {raw(fallback_answer)} END, {s(D.NO_ANSWER)}) AS "Antwort"
+FROM dirty WHERE dirt IN ('clean', 'cut', 'cut_doubled') AND qt IS NOT NULL"""
+
+
 BASE = f'WITH {FX},\n{QA0},\n{QA}\n'
 QA_COLS = ', '.join(f'"{c}"' for c in Q.QA_OUT)
 
@@ -165,6 +191,14 @@ def _sql() -> dict[str, str]:
     sql['qa_pairs'] = f'WITH {FX},\n{QA0}\nSELECT id, "Datetime", "Frage", "Antwort" FROM qa0'
     sql['qa_from_json'] = sql['qa_pairs']
     sql['qa_from_csv'] = sql['qa_pairs']
+    sql['stream_qa_from_csv'] = sql['qa_pairs']
+    sql['qa_from_dirty_csv'] = dirty_qa_sql('behind')
+    sql['qa_from_dirty_csv_robust'] = dirty_qa_sql('own')
+    sql['export_rejects'] = f"""WITH {FX},
+{DIRTY}
+SELECT conv_id, segment, CASE WHEN dirt IN ('clean', 'cut', 'cut_doubled', 'no_user_text') THEN 'no_question'
+  ELSE dirt END AS reason
+FROM dirty WHERE dirt NOT IN ('clean', 'cut', 'cut_doubled') OR qt IS NULL"""
     sql['qa_features'] = BASE + f'SELECT {QA_COLS} FROM qa'
     sql['qa_json_features'] = sql['qa_features']
     sql['overview_metrics'] = BASE + """SELECT count(*) AS gesamt_fragen, min("Datum") AS erster_tag,
@@ -245,7 +279,7 @@ WHERE regexp_matches("Frage", {s(Q.SEARCH_COUNT_TERM)}, 'i')"""
 FROM cls"""
     sql['category_counts'] = BASE_CLS + 'SELECT kategorie, count(*) AS "Anzahl" FROM cls GROUP BY kategorie'
     sql['sentiment_counts'] = BASE_CLS + 'SELECT sentiment, count(*) AS "Anzahl" FROM cls GROUP BY sentiment'
-    sql['classification_filtered'] = BASE_CLS + f"""SELECT turn, strftime(datetime, '%d.%m.%Y %H:%M') AS "Zeit",
+    sql['classification_filtered'] = BASE_CLS + f"""SELECT conv_id, turn, strftime(datetime, '%d.%m.%Y %H:%M') AS "Zeit",
   rolle AS "Rolle", kategorie AS "Kategorie", sentiment AS "Sentiment",
   CASE WHEN length(frage) > 200 THEN left(frage, 200) || '...' ELSE frage END AS "Nachricht"
 FROM cls WHERE kategorie = {s(Q.FILTER_CATEGORY)} AND sentiment = {s(Q.FILTER_SENTIMENT)}"""
@@ -269,7 +303,7 @@ SELECT CAST(row_number() OVER (ORDER BY n DESC, doc_id, pos) AS INTEGER) AS "Ran
 c AS (SELECT kategorie, {sentiment_sql('text', 'kategorie')} AS sentiment FROM c0)
 SELECT kategorie, sentiment, count(*) AS "Anzahl" FROM c GROUP BY kategorie, sentiment"""
     sql['document_topic_counts'] = f"""SELECT k AS "Kategorie", count(*) AS "Anzahl"
-FROM (SELECT unnest(string_split({topics_sql('lower(text)')}, ', ')) AS k FROM documents) GROUP BY k"""
+FROM (SELECT unnest(string_split({topics_sql('lower(text)', Q.DOCUMENT_TOPICS)}, ', ')) AS k FROM documents) GROUP BY k"""
     sql['document_length_stats'] = """SELECT CAST(min(length(text)) AS INTEGER) AS min_laenge,
   CAST(max(length(text)) AS INTEGER) AS max_laenge,
   CAST(sum(length(text)) AS DOUBLE) / count(length(text)) AS mittlere_laenge,
@@ -283,6 +317,11 @@ FROM (SELECT unnest(string_split({topics_sql('lower(text)')}, ', ')) AS k FROM d
     sql['stream_daily_counts'] = f"""WITH {FX}
 SELECT date_trunc('day', created) AS window_start, date_trunc('day', created) + INTERVAL 1 DAY AS window_end,
        count(*) AS "Anzahl" FROM fx GROUP BY 1, 2"""
+    sql['stream_late_counts'] = f"""WITH {FX},
+wm AS (SELECT max(created) - INTERVAL {Q.LATE_DAYS} DAY AS passed FROM fx WHERE role = 'user'),
+d AS (SELECT date_trunc('day', created) AS day, role, passed FROM fx, wm)
+SELECT day AS window_start, day + INTERVAL 1 DAY AS window_end, count(*) AS "Anzahl"
+FROM d WHERE role = 'user' OR day + INTERVAL 1 DAY > passed GROUP BY day"""
     sql['stream_classification_counts'] = BASE_CLS + """SELECT kategorie, sentiment, count(*) AS "Anzahl"
 FROM cls GROUP BY kategorie, sentiment"""
     return sql

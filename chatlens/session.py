@@ -12,10 +12,12 @@ CHECKPOINT_CONF = 'spark.checkpoint.dir'
 
 
 def local_session(cores: int | str = '*', shuffle_partitions: int = 8,
-                  app: str = 'chatlens', event_log_dir: str | None = None) -> SparkSession:
+                  app: str = 'chatlens', event_log_dir: str | None = None,
+                  checkpoint_dir: str | None = None) -> SparkSession:
     """A local session configured as the library expects: AQE (coalescing and
     skew-join splitting), UTC session time zone for naive timestamps, Arrow for
-    the Python scorer, no web UI."""
+    the Python scorer, no web UI. `checkpoint_dir` is where intermediate tables
+    and stream states go (`checkpoint_root`)."""
     b = (SparkSession.builder.master(f'local[{cores}]').appName(app)
          .config('spark.ui.enabled', 'false')
          .config('spark.sql.shuffle.partitions', str(shuffle_partitions))
@@ -25,6 +27,8 @@ def local_session(cores: int | str = '*', shuffle_partitions: int = 8,
          .config('spark.sql.session.timeZone', 'UTC')
          .config('spark.sql.execution.arrow.pyspark.enabled', 'true')
          .config('spark.driver.memory', os.environ.get('CHATLENS_DRIVER_MEMORY', '8g')))
+    if checkpoint_dir:
+        b = b.config(CHECKPOINT_CONF, checkpoint_dir)
     if event_log_dir:
         b = (b.config('spark.eventLog.enabled', 'true')
              .config('spark.eventLog.dir', event_log_dir))

@@ -91,11 +91,11 @@ def row_id():
     return F.xxhash64(F.col('file'), F.col(f'`{CREATED}`'), F.col(f'`{RAW}`'))
 
 
-def qa_from_export(rows: DataFrame, mode: str = 'compat') -> DataFrame:
-    """Export rows -> (id, Datetime, Frage, Antwort); every bad row is dropped
-    silently, as in the original."""
+def qa_from_export(rows: DataFrame, mode: str = 'compat', keep: tuple[str, ...] = ()) -> DataFrame:
+    """Export rows -> (id, Datetime, *keep, Frage, Antwort); every bad row is
+    dropped silently, as in the original (`rejects` returns them)."""
     ok = with_reject_reason(rows).filter(F.col('reason').isNull())
-    return extract_qa_json(ok.withColumn('id', row_id()), raw_col=RAW, mode=mode)
+    return extract_qa_json(ok.withColumn('id', row_id()), raw_col=RAW, mode=mode, keep=keep)
 
 
 def qa_from_segmented_export(rows: DataFrame, id_col: str = 'conv_id', segment_col: str = 'segment',
@@ -111,16 +111,16 @@ def qa_from_segmented_export(rows: DataFrame, id_col: str = 'conv_id', segment_c
     return extract_qa_segments(ok, raw_col=RAW, id_col=id_col, segment_col=segment_col, mode=mode)
 
 
-def rejects(rows: DataFrame, mode: str = 'compat') -> DataFrame:
+def rejects(rows: DataFrame, mode: str = 'compat', keep: tuple[str, ...] = ()) -> DataFrame:
     """The rows the original drops without a word, with the reason:
-    (id, Erstellt, Raw Chat Data, reason); 'no_question' when extraction found
+    (id, *keep, Erstellt, Raw Chat Data, reason); 'no_question' when extraction found
     nothing. One row-local pass: the extraction carries the raw columns, so
     no second read and no join."""
     tagged = with_reject_reason(rows).withColumn('id', row_id())
     checked = extract_qa_json(tagged, raw_col=RAW, mode=mode, keep_rejects=True,
-                              keep=(CREATED, RAW, 'reason'))
+                              keep=(*keep, CREATED, RAW, 'reason'))
     reason = F.coalesce(F.col('reason'), F.when(F.col('Frage').isNull(), F.lit('no_question')))
-    return (checked.select('id', F.col(f'`{CREATED}`'), F.col(f'`{RAW}`'), reason.alias('reason'))
+    return (checked.select('id', *keep, F.col(f'`{CREATED}`'), F.col(f'`{RAW}`'), reason.alias('reason'))
             .filter(F.col('reason').isNotNull()))
 
 

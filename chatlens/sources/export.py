@@ -32,19 +32,16 @@ def classification_json_column(classified: DataFrame) -> DataFrame:
     return classified.select(F.to_json(F.struct(*cols)).alias('json'))
 
 
-def classification_document(classified_latest: DataFrame) -> str:
-    """The original's single pretty-printed document, for a small frame only
-    (the latest-messages cut, at most a few dozen rows): refuses more rows.
-    Newest first, by the cut's `nr` where it is there (a question and its
+def classification_document(classified_latest: DataFrame, limit: int = 20) -> str:
+    """The original's single pretty-printed document: the `limit` newest
+    messages, the size of the latest-messages cut that it shows (larger sets
+    are `write_classification_json`'s). Newest first, by the cut's `nr` where it is there (a question and its
     answer have one time), else by time, then by the other columns."""
     order = [F.col('datetime').desc_nulls_last()] if 'datetime' in classified_latest.columns else []
     order += [F.col(c).asc_nulls_last() for c in EXPORT_COLUMNS[:-1] if c in classified_latest.columns]
     if 'nr' in classified_latest.columns:
         order = [F.col('nr').asc(), *order]
-    rows = classified_latest.orderBy(*order).limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError('classification_document is meant for the latest-messages frame; '
-                         'write larger sets with write_classification_json')
+    rows = classified_latest.orderBy(*order).limit(limit).collect()
     cols = [c for c in EXPORT_COLUMNS if c in classified_latest.columns]
     return json.dumps([{c: r[c] for c in cols} for r in rows], indent=2, default=str,
                       ensure_ascii=False)

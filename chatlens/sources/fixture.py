@@ -58,6 +58,37 @@ def fixture_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_fixture(conversations(spark, sf_dir))
 
 
+# What is wrong with the row of `dirty_export_rows` at place i of this list.
+DIRT = ('clean', 'header_row', 'empty_created', 'bad_timestamp', 'empty_chat', 'cut', 'cut_doubled', 'no_user_text')
+
+
+def dirty_export_rows(messages: DataFrame, segment_messages: int = 256) -> DataFrame:
+    """Export rows as `export_rows` makes them, each block of messages a chat
+    of its own with the parts spelled before the role, and with the faults of
+    real exports. Row (conv_id, segment) has fault DIRT[(conv_id + segment) %
+    8]: none; the header again; no time; no readable time; no chat; JSON whose
+    closing brackets are cut off, in plain spelling or with every quote
+    doubled; user messages without a text."""
+    k = int(segment_messages)
+    segment = F.expr(f'(turn - pmod(turn, {k})) div {k}')
+    dirt = F.element_at(F.array(*[F.lit(x) for x in DIRT]),
+                        (F.pmod(F.col('conv_id') + segment, F.lit(len(DIRT))) + 1).cast('int'))
+    text = F.when((F.col('dirt') != 'no_user_text') | (F.col('role') != 'user'), F.col('text'))
+    rows = messages.withColumns({'segment': segment, 'dirt': dirt}).withColumn('text', text)
+    doc = F.to_json(F.struct(F.transform(
+        F.array_sort(F.collect_list(F.struct('turn', 'role', 'text'))),
+        lambda m: F.struct(F.array(F.struct(F.lit('text').alias('type'), m['text'].alias('text'))).alias('parts'),
+                           m['role'].alias('role'))).alias('messages')))
+    rows = rows.groupBy('conv_id', 'segment', 'dirt').agg(F.min('created').alias('created'), doc.alias('raw'))
+    cut = F.expr('left(raw, length(raw) - 2)')
+    created = (F.when(F.col('dirt') == 'header_row', 'Erstellt').when(F.col('dirt') == 'empty_created', '')
+               .when(F.col('dirt') == 'bad_timestamp', 'gestern').otherwise(fmt_created(F.col('created'))))
+    raw = (F.when(F.col('dirt') == 'header_row', 'Raw Chat Data').when(F.col('dirt') == 'empty_chat', '')
+           .when(F.col('dirt') == 'cut', cut).when(F.col('dirt') == 'cut_doubled', F.replace(cut, F.lit('"'), F.lit('""')))
+           .otherwise(F.col('raw')))
+    return rows.select('conv_id', 'segment', created.alias('Erstellt'), raw.alias('Raw Chat Data'))
+
+
 def export_rows(messages: DataFrame, segment_messages: int = 256) -> DataFrame:
     """The CSV-export shape of a flat message table, in bounded segments:
     `(conv_id, segment, Erstellt, Raw Chat Data)`, one row per conversation

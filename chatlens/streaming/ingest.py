@@ -33,6 +33,8 @@ from ..sources.chat_csv import CREATED, RAW, qa_from_export
 
 
 _EPOCH_NTZ = '1970-01-01 00:00:00'
+#: Event time of the mark that ends a stream's input (see `window_run`).
+END_OF_INPUT = '9999-01-01 00:00:00'
 
 
 def event_time(c) -> Column:
@@ -133,22 +135,25 @@ def read_message_stream(spark: SparkSession, path: str, max_files_per_trigger: i
     return r.parquet(path)
 
 
-def run_to_table(df: DataFrame, name: str, output_mode: str = 'complete') -> DataFrame:
+def run_to_table(df: DataFrame, name: str, output_mode: str = 'complete', base: str | None = None) -> DataFrame:
     """Run a stream over what has arrived (availableNow) and return its result
-    table, read back from Parquet in the shared checkpoint folder.
+    table, read back from Parquet.
 
     Each micro-batch is written by the executors (`foreachBatch`). In
     complete mode every batch overwrites the table; in append mode each batch
     overwrites its own `batch=<id>` folder. Either way a retried batch is
-    idempotent. A fresh folder per call keeps runs apart.
+    idempotent. State and result lie in `base`, which the caller may keep (a
+    later run with it goes on where this one ended) or delete; by default it
+    is a fresh folder below the shared checkpoint folder. The result starts
+    out as an empty table, so whatever cannot be read later is an error.
     """
     spark = df.sparkSession
-    base = stream_location(spark, f'{name}-{uuid.uuid4().hex}')
+    base = base or stream_location(spark, f'{name}-{uuid.uuid4().hex}')
     out = os.path.join(base, 'result')
-    epochs: list[int] = []
+    seed = out if output_mode == 'complete' else os.path.join(out, 'batch=-1')
+    spark.createDataFrame([], df.schema).write.mode('ignore').parquet(seed)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        epochs.append(epoch)
         # complete mode: each batch is the whole result; otherwise each batch
         # has its own folder. Both overwrite, so a retried batch is idempotent.
         if output_mode == 'complete':
@@ -159,6 +164,31 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = 'complete') -> Dat
     q = (df.writeStream.outputMode(output_mode).option('checkpointLocation', os.path.join(base, 'state'))
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    if not epochs:  # no batch ran: nothing arrived
-        return spark.createDataFrame([], df.schema)
     return spark.read.schema(df.schema).parquet(out).select(*df.columns)
+
+
+def window_run(stream: DataFrame, base: str, every: str = '1 day', lateness: str = '1 day',
+               time_col: str = 'event_time', last: bool = False) -> DataFrame:
+    """One incremental run of `windowed_counts` in append mode (J2): all
+    windows final so far, each counted once. State stays bounded by the
+    watermark, and rows of windows that it has passed are dropped as late.
+    Runs with the same `base` continue one another.
+
+    The newest windows stay open, since the watermark follows the newest
+    event. `last` ends the input: a mark far in the future is appended to a
+    second source of the same stream and moves the watermark past every
+    window (its own, never final, is not returned). Whatever arrives in a
+    later run is late then.
+    """
+    spark = stream.sparkSession
+    marks = os.path.join(base, 'end')
+    schema = 'event_time timestamp'
+    spark.createDataFrame([], schema).write.mode('ignore').parquet(marks)
+    feed = stream.select(F.col(time_col).alias('event_time')).unionByName(
+        spark.readStream.schema(schema).parquet(marks))
+    counts = windowed_counts(feed, every, lateness)
+    out = run_to_table(counts, 'windows', 'append', base)
+    if not last:
+        return out
+    spark.range(1).select(F.lit(END_OF_INPUT).cast('timestamp').alias('event_time')).write.mode('append').parquet(marks)
+    return run_to_table(counts, 'windows', 'append', base)

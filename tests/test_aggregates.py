@@ -102,7 +102,7 @@ def test_keywords_against_python_counter(spark):
              if w not in stop and len(w) > 2]
     want = collections.Counter(words).most_common(25)
     got = [(r['Keyword'], r['Anzahl']) for r in
-           K.top_keywords(qa, 25).orderBy(F.desc('Anzahl'), 'first').collect()]
+           K.top_keywords(qa, 25).orderBy(*K.keyword_order()).collect()]
     assert got == want
 
 

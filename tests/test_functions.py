@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatlens import dictionaries as D
 from chatlens.functions import (char_len, daypart, german_weekday, is_all_digits, length_band,
-                                parse_created, rule_category, rule_sentiment, strip_ws, tokens,
+                                parse_created, strip_ws, tokens,
                                 topic_array, topic_label, truncate, word_count)
 from chatlens.functions.classify import category_from_hits, sentiment_from_hits
 from chatlens.functions.matcher import list_hits
@@ -106,13 +106,6 @@ CLASS_CASES = [
 ]
 
 
-def test_rule_classification_columns(spark):
-    df = spark.createDataFrame([(t,) for t, _, _ in CLASS_CASES], 'v string')
-    got = {r['v']: (r['c'], r['s']) for r in
-           df.select('v', rule_category('v').alias('c'), rule_sentiment('v').alias('s')).collect()}
-    assert got == {t: (k, se) for t, k, se in CLASS_CASES}
-
-
 @pytest.mark.parametrize('matcher', ['aho', 'jvm'])
 def test_matchers_agree(spark, matcher):
     df = spark.createDataFrame([(t,) for t, _, _ in CLASS_CASES], 'v string')

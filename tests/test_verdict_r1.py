@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.matcher import list_hits
 from chatlens.operators import temporal
+from chatlens.operators.extract import extract_qa_json
+from chatlens.operators.keywords import keyword_order, top_keywords
+from chatlens.plans.catalog import QUERIES
 from chatlens.sources.chat_csv import qa_from_export, read_chat_csv
 from chatlens.sources.export import classification_document
 from chatlens.sources.fixture import fixture_messages
@@ -89,3 +92,84 @@ def test_document_is_newest_first(spark):
         'nr', 'frage', F.col('t').cast('timestamp_ntz').alias('datetime'))
     assert [r['frage'] for r in json.loads(classification_document(df))] == ['a', 'z', 'c', 'd']
     assert [r['frage'] for r in json.loads(classification_document(df.drop('nr')))] == ['a', 'z', 'c', 'd']
+
+
+def _qa(spark, raws, mode):
+    rows = [(i, r) for i, r in enumerate(raws)]
+    df = spark.createDataFrame(rows, 'id long, raw string').withColumn('t', F.lit('2025-07-21').cast('timestamp_ntz'))
+    out = extract_qa_json(df, raw_col='raw', datetime_col='t', mode=mode, keep_rejects=True)
+    return [(r['Frage'], r['Antwort'], r['path']) for r in out.orderBy('id').collect()]
+
+
+def _parts_first(*messages, end=''):
+    """Broken export JSON (closing brackets missing), parts before roles."""
+    return '{"messages":[' + ','.join(
+        '{"parts":[%s],"role":"%s"}' % (','.join('{"type":"text","text":"%s"}' % t for t in texts), role)
+        for role, *texts in messages) + end
+
+
+def test_robust_fallback_answers_come_from_assistants(spark):
+    raws = [_parts_first(('user', 'Frage eins'), ('user', 'Frage zwei')),
+            _parts_first(('assistant', 'Hallo'), ('user', 'Frage'), ('assistant', 'A', 'B'), ('user', 'mehr')),
+            _parts_first(('user', 'Frage'), ('assistant', ''), ('user', 'mehr'), ('assistant', 'spät')),
+            _parts_first(('user', 'Frage'), end=',{"role":"assistant","parts":[{"type":"step"},{"type":"text","text":"A"}]}'),
+            _parts_first(('user', 'Frage'), end=',{"role":"assistant","parts":[]},{"parts":[{"type":"text","text":"x"}],"role":"user"}')]
+    want = ['Keine Antwort gefunden', 'A', 'Keine Antwort gefunden', 'A', 'Keine Antwort gefunden']
+    for forms in (raws, [r.replace('"', '""') for r in raws]):
+        got = _qa(spark, forms, 'robust')
+        assert [g[0] for g in got] == ['Frage eins', 'Frage', 'Frage', 'Frage', 'Frage']
+        assert [g[1] for g in got] == want and {g[2] for g in got} == {'regex'}
+    # the original takes the text behind the first assistant role, whoever wrote it
+    assert [g[1] for g in _qa(spark, raws, 'compat')] == ['Keine Antwort gefunden', 'Frage', 'mehr', 'A', 'x']
+
+
+def test_null_parts_fail_as_in_the_original(spark):
+    user, null_user = '{"role":"user","parts":[{"type":"text","text":"F"}]}', '{"role":"user","parts":null}'
+    answer, null_answer = '{"role":"assistant","parts":[{"type":"text","text":"A"}]}', '{"role":"assistant","parts":null}'
+    docs = ['{"messages":[%s]}' % ','.join(m) for m in (
+        (null_user, user, answer), (user, null_answer, answer), (null_answer, user, answer),
+        (user, answer, null_user), ('{"role":"user"}', user, answer),
+        ('{"role":"user","parts":[null,{"type":"text","text":"F"}]}', answer),
+        ('{"role":"user","parts":[{"type":"text","text":"F"},null]}', answer))]
+    ok = ('F', 'A', 'json')
+    got = _qa(spark, docs, 'compat')
+    assert [g[2] for g in got] == ['none', 'none', 'json', 'json', 'json', 'none', 'json']
+    assert all(g == ok for g in got if g[2] == 'json')
+    assert _qa(spark, docs, 'robust')[0] == ok
+
+
+def test_pages_look_up_only_their_own_answers(spark):
+    """Without broadcasts by size, the page queries shuffle assistant texts
+    only behind the join with the page's ids."""
+    old = spark.conf.get('spark.sql.autoBroadcastJoinThreshold')
+    try:
+        spark.conf.set('spark.sql.autoBroadcastJoinThreshold', '-1')
+        for name in ('search_questions', 'search_by_date', 'latest_messages', 'classify_latest', 'sentiment_timeline'):
+            plan = QUERIES[name](spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+            lines = plan.splitlines()
+            scan = next(i for i, x in enumerate(lines) if 'EqualTo(role,assistant)' in x)
+            depth = lines[scan].index('FileScan')
+            above = [x.split('(', 1)[0].strip(' :+-') for x in reversed(lines[:scan])
+                     if len(x) - len(x.lstrip(' :+-')) < depth]
+            first = next(x for x in above if x.startswith(('Exchange', 'BroadcastHashJoin', 'SortMergeJoin')))
+            assert first.startswith('BroadcastHashJoin'), (name, first)
+    finally:
+        spark.conf.set('spark.sql.autoBroadcastJoinThreshold', old)
+
+
+def test_late_messages_of_a_second_run_are_dropped(spark):
+    late = {r['window_start']: r['Anzahl'] for r in QUERIES['stream_late_counts'](spark, SF0001).collect()}
+    full = {r['window_start']: r['Anzahl'] for r in QUERIES['stream_daily_counts'](spark, SF0001).collect()}
+    assert set(late) <= set(full) and all(late[k] <= full[k] for k in late)
+    assert sum(late.values()) < sum(full.values())
+
+
+def test_tied_keywords_by_place(spark):
+    """Words that share count and first row come by place, also across the
+    cut and over repeated and missing order values."""
+    rows = [(1, 'zebra apfel birne'), (2, 'apfel zebra birne quitte'), (None, 'kiwi kiwi'), (1, 'birne kiwi')]
+    df = spark.createDataFrame(rows, 'doc_id long, text string')
+    for n in range(1, 6):
+        got = [r['Keyword'] for r in top_keywords(df, n, 'text', ('doc_id',)).orderBy(*keyword_order()).collect()]
+        assert got == ['birne', 'kiwi', 'zebra', 'apfel', 'quitte'][:n]
+    assert top_keywords(df.limit(0), 3, 'text', ('doc_id',)).collect() == []
