@@ -23,7 +23,7 @@ PUNCT = r'!-/:-@\[-`{-~'
 _ODD = f'[{WS}] |\x00'
 _BORDERS = ((f'([{LATIN}])([{PUNCT}])', '\\1\x00\\2'), (f'([{LATIN}{PUNCT}])\n([^{WS}])', '\\1\x00\n\x00\\2'))
 #: Pieces kept per worker (about 200 bytes each); a full table is emptied and
-#: refilled, so the number trades memory for time and changes no result.
+#: filled anew, so the number trades memory for time and changes no result.
 CACHE_PIECES = 700_000
 _ENCODERS: dict[str, 'Encoder'] = {}
 
@@ -84,13 +84,14 @@ class Encoder:
         lists = pc.split_pattern(cut, '\x00')
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        known = self.known
-        new = [p for p in distinct if p not in known]
-        if len(known) + len(new) > self.keep:
-            known = self.known = {}
-            new = distinct
-        self._learn(new)
-        values = [self.known[p] for p in distinct]
+        values = list(map(self.known.get, distinct))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            if len(self.known) + len(missing) > self.keep:
+                self.known = {}
+            self._learn([distinct[i] for i in missing])
+            for i in missing:
+                values[i] = self.known[distinct[i]]
         flat = np.frombuffer(b''.join(values), self.dtype)
         size = np.fromiter(map(len, values), np.int64, len(values)) // self.width
         begin = np.cumsum(size) - size
