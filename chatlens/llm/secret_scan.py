@@ -10,9 +10,10 @@ identifier needs a token or a strong secret, an endpoint needs both.
 
 A scope is a paragraph (text between blank lines). Parts are rows; the linking
 is an interval join on (text, scope, distance bin) with at most `GAP`
-characters between two parts. A part is at least 5 characters long and parts
-of one kind do not overlap, so a part has at most 2 * GAP / 5 partners of a
-kind, however long the text is.
+characters between two parts; a part is in every bin of its span, however
+long. A part is at least 5 characters long and parts of one kind do not
+overlap, so a part has at most (2 * GAP + its length) / 5 partners of a kind,
+however long the text is.
 
 Edge cases: a null or empty text has no findings; repeated rows and equal ids
 are scanned and reported row by row; an empty table gives no rows; other
@@ -116,11 +117,13 @@ def linked_parts(scanned: DataFrame, gap: int = GAP) -> DataFrame:
     role = (F.when(F.col('kind').isin('identifier', 'access'), 'id')
             .when(F.col('kind').isin('assign', 'hex', 'opaque'), 'secret').otherwise('endpoint'))
     left = parts.filter(F.col('kind').isin('identifier', 'opaque', 'endpoint')).withColumn(
-        'bin', F.explode(F.sequence(F.floor((F.col('start') - gap) / gap), F.floor((F.col('end') + gap) / gap))))
+        'bin', F.explode(F.sequence(F.floor((F.col('start') - gap - 1) / gap), F.floor((F.col('end') + gap) / gap))))
+    # a long part lies in every bin of its span
     right = parts.select(F.col('row').alias('r'), F.col('scope').alias('s'), F.col('start').alias('a'),
-                         F.col('end').alias('e'), role.alias('role'), F.floor(F.col('start') / gap).alias('bin'))
+                         F.col('end').alias('e'), role.alias('role'),
+                         F.explode(F.sequence(F.floor(F.col('start') / gap), F.floor((F.col('end') - 1) / gap))).alias('bin'))
     near = left.join(right, (F.col('row') == F.col('r')) & (F.col('scope') == F.col('s')) & (left.bin == right.bin)
-                     & (F.col('a') < F.col('end') + gap) & (F.col('start') < F.col('e') + gap)
+                     & (F.col('a') <= F.col('end') + gap) & (F.col('start') <= F.col('e') + gap)
                      & ((F.col('a') != F.col('start')) | (F.col('e') != F.col('end'))))
     met = near.groupBy('row', 'kind', 'start', 'end').agg(F.max((F.col('role') == 'id').cast('int')).alias('has_id'),
                                                           F.max((F.col('role') == 'secret').cast('int')).alias('has_secret'))

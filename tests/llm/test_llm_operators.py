@@ -330,6 +330,33 @@ def test_op6_links_only_complementary_parts(spark):
     assert got == {0: ['identifier', 'opaque', 'endpoint'], 1: [], 2: [], 3: [], 4: [], 5: ['identifier', 'assign']}
 
 
+def test_op6_links_long_parts(spark):
+    """Parts of any length at random offsets link as every two compared."""
+    rng = np.random.default_rng(11)
+    role = {'identifier': 'id', 'access': 'id', 'assign': 'secret', 'hex': 'secret', 'opaque': 'secret',
+            'endpoint': 'endpoint'}
+    needs = {'identifier': {'secret'}, 'opaque': {'id'}, 'endpoint': {'id', 'secret'}}
+    rows = [[('hex', 790, 850, 0), ('identifier', 1000, 1020, 0)], [('assign', 0, 700, 0), ('identifier', 720, 740, 0)]]
+    for _ in range(400):
+        parts = set()
+        for _ in range(rng.integers(2, 6)):
+            a, n = int(rng.integers(0, 2500)), int(rng.choice([5, 24, 150, 270, 700, 1500]))
+            parts.add((str(rng.choice(secret_scan.KINDS)), a, a + n, int(rng.integers(0, 8) == 0)))
+        rows.append(sorted(parts))
+    want = set()
+    for i, parts in enumerate(rows):
+        for k, a, e, s in parts:
+            met = {role[p[0]] for p in parts if p[3] == s and (p[1], p[2]) != (a, e)
+                   and p[1] - e <= secret_scan.GAP and a - p[2] <= secret_scan.GAP}
+            if k in needs and needs[k] <= met:
+                want.add((i, k, a, e))
+    span = 'array<struct<kind:string,start:int,end:int,scope:int>>'
+    df = spark.createDataFrame([(i, [p for p in x if p[0] not in needs], [p for p in x if p[0] in needs])
+                                for i, x in enumerate(rows)], f'row long, strong {span}, weak {span}')
+    got = [tuple(r) for r in secret_scan.linked_parts(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_op7_takes_the_top_k(spark):
     d = '/root/testdata/sf0.01'
     docs, labels = (spark.read.parquet(f'{d}/{t}.parquet') for t in ('documents', 'labels'))
