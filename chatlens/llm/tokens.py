@@ -5,7 +5,8 @@ and a following space, a letter and a following ASCII punctuation mark, a
 single line break and its neighbours. Texts are cut there, each distinct piece
 is encoded by the library and its ids are kept for the next batch, so a text's
 ids are its pieces' ids in a row. Texts with white space in front of a space
-(where the border may lie elsewhere) are encoded whole.
+(where the border may lie elsewhere) and texts that hold an added token of the
+file (`<|endoftext|>`, one id by the library's default) are encoded whole.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ class Encoder:
         os.environ.setdefault('TOKENIZERS_PARALLELISM', 'false')
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f'<u{self.width}')
         # a separator that is a piece of its own in front of any word
@@ -46,6 +46,11 @@ class Encoder:
         self.sep_id = self.tok.encode(self.sep, add_special_tokens=False).ids[-1]
         # ASCII case may go first where the file's own normalizer lowers all case
         self.lowers = self._ids(['Ab']) == self._ids(['ab'])
+        added = self.tok.get_added_tokens_decoder().values()
+        #: Texts with one of these are encoded whole: pieces would be cut inside.
+        self.added = [x.content.encode().lower().decode() if self.lowers else x.content for x in added]
+        # a token that is looked for in normalized text cannot be seen in raw text
+        self.cuts = self.tok.normalizer is None or not any(x.normalized for x in added)
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -73,11 +78,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        if not self.cuts:
+            return self._ids(texts)
         arr = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(arr, _ODD)
-        cut = pc.if_else(odd, '', arr)
-        if self.lowers:
-            cut = pc.ascii_lower(cut)
+        cut = pc.ascii_lower(arr) if self.lowers else arr
+        for x in self.added:
+            odd = pc.or_(odd, pc.match_substring(cut, x))
+        cut = pc.if_else(odd, '', cut)
         for border, to in _BORDERS:
             cut = pc.replace_substring_regex(cut, border, to)
         cut = pc.replace_substring(cut, ' ', '\x00 ' if self.keeps_space else '\x00')

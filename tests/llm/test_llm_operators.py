@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chatlens.llm import importance, line_dedup, merkle, packing, pii, quality, queries, secret_scan, simhash, token_orc
+from chatlens.llm import importance, line_dedup, merkle, packing, pii, quality, queries, secret_scan, simhash, token_orc, tokens
 from chatlens.llm.common import scratch_path
 
 from conftest import SF0001
@@ -230,6 +230,17 @@ def test_op4_token_orc(spark, case):
     assert many(queries.op4_token_orc(spark, d).collect()) == want
 
 
+@pytest.mark.parametrize('name', ['byte_bpe_50k.json', 'word_bpe_49k.json'])
+def test_op2_op4_ids_are_the_file_s_own(name):
+    """Literal added tokens get the ids of the file's untouched tokenizer."""
+    path = public_tokenizers.path(name)
+    texts = ['x <|endoftext|> y', 'x <|startoftext|> y', 'a<|endoftext|>b and <|endoftext|>', '<|startoftext|><|endoftext|>',
+             'X <|EndOfText|> Y', '<|endoftext |>', 'end\n<|endoftext|>\nof it', '<|endoftext|', 'no such token here', '']
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    want = [tok.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
+
+
 def test_op4_reads_single_documents(spark):
     path = scratch_path(spark, 'orc-test')
     docs = spark.read.parquet(SF0001 + '/documents.parquet')
