@@ -40,13 +40,12 @@ ASSIGN = re.compile(r'(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20
 ACCESS = re.compile(r'AKIA[A-Z0-9]+')
 HEX = re.compile(r'[0-9a-f]{24,}')  # a maximal run, as with [0-9a-f]+ and a check of its length
 KINDS = ('assign', 'access', 'hex', 'identifier', 'opaque', 'endpoint')
-#: Weak parts.
+#: Weak parts, as long as they run.
 IDENTIFIER = re.compile(r'(?:client_?id|user_?name|user|login|account|key_?id)["\']?\x20*[:=]\x20*["\']?'
-                        r'[A-Za-z0-9_.@-]{4,64}', re.I | re.A)
-OPAQUE = re.compile(r'(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,128}'
-                    r'(?![A-Za-z0-9+/_=-])')
-ENDPOINT = re.compile(r'[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"\'<>]{4,256}|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}'
-                      r'(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9])')
+                        r'[A-Za-z0-9_.@-]{4,}+', re.I | re.A)
+OPAQUE = re.compile(r'(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+')
+ENDPOINT = re.compile(r'[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"\'<>]{4,}+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}'
+                      r'(?:\.[A-Za-z0-9-]{1,63})++:[0-9]{2,5}(?![0-9])')
 MIN_ENTROPY = 3.5
 _BLANK = re.compile(r'\n[ \t]*\n')
 

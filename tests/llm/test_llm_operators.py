@@ -368,6 +368,21 @@ def test_op6_links_long_parts(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_op6_weak_parts_of_any_length(spark):
+    token = 'Zk3vPq81LmXw02TtBn7Rs4'
+    texts, want = [], []
+    for n in (20, 128, 129, 300, 5000, 200000):
+        long, name, host = (token * (n // 22 + 1))[:n], 'u' * n, '.'.join(['node'] * (n // 5))
+        key = f'AKIA{"Z9" * 10}'
+        texts += [f'{long} user: maria https://api.example.org/{name}', f'client_id = {name} {key} {long}',
+                  f'user: maria password = "hunter22" at {host}:8443']
+        want += [[long, 'user: maria', f'https://api.example.org/{name}'], [f'client_id = {name}', key, long],
+                 ['user: maria', 'password = "hunter22', f'{host}:8443']]
+    df = spark.createDataFrame(list(enumerate(texts)), 'doc_id long, text string')
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans] for r in secret_scan.secrets(df).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_op7_takes_the_top_k(spark):
     d = '/root/testdata/sf0.01'
     docs, labels = (spark.read.parquet(f'{d}/{t}.parquet') for t in ('documents', 'labels'))
