@@ -5,8 +5,8 @@ candidate spans (also digit groups and written-out addresses that the
 patterns miss) are voted on by regex, gazetteer and context labelers, each
 +1, -1 or silent. Expectation-maximisation over the vote patterns estimates
 every labeler's reliability and a posterior per pattern, without any label.
-The posteriors then train a naive Bayes span classifier on span features
-(shape, number of digits, cue words, surroundings), and candidates it puts
+The posteriors then train a logistic span classifier on span features (shape,
+number of digits, cue words, surroundings, check), and candidates it puts
 above `ACCEPT` become findings of kind `other`. Base findings always stay.
 
 All work is DataFrame operations on whole texts. Positions come from the
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ OCTETS = r'^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[
 #: Candidates beyond the base patterns: written-out addresses, digit groups.
 LOOSE = (r'(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}+'
          r'(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]{1,63}+){1,4}+)'
-         r'|(?<![0-9+])\(?[0-9]{2,5}\)?(?:[\x20./-]\(?[0-9]{2,6}\)?){2,5}+(?![0-9])')
+         r'|(?:(?<![\p{L}\p{N}_+])[A-Z]{2}|(?<![0-9+]))\(?[0-9]{2,5}\)?(?:[\x20./-]\(?[0-9]{2,6}\)?){2,5}+(?![0-9])')
 #: Cue words in front of personal data, and in front of other numbers.
 CUES = (r'(?iu)\b(?:e-?mail|mail|correo|courriel|tel|phone|call|fax|mobile|telefon|teléfono|téléphone|contact|kontakt|'
         r'ssn|passport|iban|account|konto|cuenta|compte|card|visa|karte|tarjeta|carte)\W{0,4}$')
@@ -50,6 +51,9 @@ DECOYS = (r'(?iu)\b(?:version|v|release|isbn|issn|doi|page|seite|página|fig|tab
 WINDOW = 32
 ACCEPT = 0.95
 EM_ROUNDS = 25
+#: Right and wrong votes that every labeler starts with.
+BELIEF = (49.0, 1.0)
+RIDGE = 0.01
 LABELERS = ('regex', 'cue', 'decoy', 'border', 'variety')
 
 
@@ -79,6 +83,14 @@ def _valid(kind: str, m: Column) -> Column:
             'phone': n.between(9, 15)}[kind]
 
 
+def _meet(a: Column, b: Column) -> Column:
+    return (a['start'] < b['end']) & (b['start'] < a['end'])
+
+
+def _holds(a: Column, b: Column) -> Column:
+    return (a['start'] <= b['start']) & (b['end'] <= a['end'])
+
+
 def found_spans(docs: DataFrame) -> DataFrame:
     """(row, doc_id, base, cand): base findings by kind and start; candidates
     (kind, start, end, m, valid, left, right) for the labelers."""
@@ -100,8 +112,18 @@ def found_spans(docs: DataFrame) -> DataFrame:
                  # short digit runs are no candidates for a card
                  F.filter('every', lambda s: s['valid'] | (s['kind'] != 'card')
                           | (F.char_length(_digits(s['m'])) >= 12)).alias('seen'))
-    free = F.filter('loose', lambda s: ~F.exists('seen', lambda b: (b['start'] < s['end']) & (s['start'] < b['end'])))
-    cand = F.transform(F.concat('seen', free), lambda s: F.struct(
+    free = F.filter('loose', lambda s: ~F.exists('base', lambda b: _meet(b, s)))
+    t = t.select('doc_id', 't', 'base', F.filter('seen', lambda s: ~s['valid']).alias('failed'), free.alias('free'))
+    # a failed check speaks for its kind only, not against the digit group that it lies on
+    failed = F.transform('failed', lambda s: s.withField('kind', F.when(
+        F.exists('free', lambda x: _meet(x, s)), 'loose').otherwise(s['kind'])))
+    t = t.select('doc_id', 't', 'base', 'free', failed.alias('failed'))
+    # of two spans one inside the other the longer stands
+    longest = F.concat(
+        F.filter('free', lambda s: ~F.exists('failed', lambda x: _holds(x, s) & ~_holds(s, x))),
+        F.filter('failed', lambda s: ~F.exists('free', lambda x: _holds(x, s))
+                 & ~F.exists('failed', lambda x: _holds(x, s) & (~_holds(s, x) | (x['kind'] < s['kind'])))))
+    cand = F.transform(F.concat('base', longest), lambda s: F.struct(
         s['kind'].alias('kind'), s['start'].alias('start'), s['end'].alias('end'), s['m'].alias('m'),
         s['valid'].alias('valid'),
         F.substring('t', F.greatest(s['start'] - WINDOW, F.lit(0)) + 1,
@@ -126,12 +148,12 @@ def votes(s: Column) -> list[Column]:
 
 
 def features(s: Column) -> list[Column]:
-    """Small integers that the classifier sees: shape, digits, cue, border."""
+    """Small integers that the classifier sees: shape, digits, cue, decoy, border, check."""
     n = F.char_length(_digits(s['m']))
     shape = (F.when(s['m'].contains('@') | s['m'].rlike(r'[(\[]at[)\]]'), 0).when(s['m'].startswith('+'), 1)
              .when(s['m'].rlike(r'^[0-9]+$'), 2).when(s['m'].rlike(r'^[0-9.]+$'), 3).otherwise(4))
     v = votes(s)
-    return [shape, F.when(n < 9, 0).when(n < 13, 1).otherwise(2), v[1], v[2], v[3] + v[4]]
+    return [shape, F.when(n < 9, 0).when(n < 13, 1).otherwise(2), v[1], v[2], v[3] + v[4], v[0]]
 
 
 def _patterns(spans: DataFrame) -> list:
@@ -145,7 +167,9 @@ def _patterns(spans: DataFrame) -> list:
 
 def expectation_maximisation(rows, rounds: int = EM_ROUNDS):
     """Posterior per vote pattern, the share of personal data, and per labeler
-    its chance of voting (-1, 0, +1) on other and on personal spans."""
+    the chance of its votes (-1, +1) on other and on personal spans, where it
+    votes. Silence says nothing, so a cue that few checked spans have is not
+    held against the others."""
     counts: dict[tuple, int] = {}
     for r in rows:
         key = tuple(r[f'v{i}'] for i in range(len(LABELERS)))
@@ -155,34 +179,45 @@ def expectation_maximisation(rows, rounds: int = EM_ROUNDS):
     for _ in range(rounds):
         total = sum(counts.values())
         share = (sum(n * post[k] for k, n in counts.items()) + 1) / (total + 2)
-        rate = []
+        rate, odds = [], []
         for i in range(len(LABELERS)):
-            by = []
-            for y in (0, 1):
-                mass = {v: 0.5 for v in (-1, 0, 1)}
-                for k, n in counts.items():
-                    mass[k[i]] += n * (post[k] if y else 1 - post[k])
-                by.append({v: m / sum(mass.values()) for v, m in mass.items()})
-            rate.append(by)
+            right, cast = BELIEF[0], sum(BELIEF)
+            for k, n in counts.items():
+                if k[i]:
+                    right += n * (post[k] if k[i] > 0 else 1 - post[k])
+                    cast += n
+            # a labeler is never taken for the opposite of what it says
+            a = min(max(right / cast, 0.5), 1 - 1e-6)
+            rate.append(({-1: a, 1: 1 - a}, {-1: 1 - a, 1: a}))
+            odds.append(math.log(a / (1 - a)))
         for k in counts:
-            z = math.log(share / (1 - share)) + sum(math.log(rate[i][1][v] / rate[i][0][v]) for i, v in enumerate(k))
+            z = sum(v * x for v, x in zip(k, odds))
             post[k] = 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
     return post, share, rate
 
 
-def train(rows, post) -> tuple[float, list[dict[int, float]]]:
-    """Naive Bayes log odds per feature value from the posteriors."""
+def train(rows, post, rounds: int = 50) -> tuple[float, list[dict[int, float]]]:
+    """Logistic regression on the posteriors by Newton steps: the constant and
+    the weight of each feature value. Spans that no labeler speaks on teach
+    nothing."""
     n_features = sum(1 for c in (rows[0].asDict() if rows else {}) if c.startswith('f'))
-    pos = neg = 1.0
-    by: list[dict[int, list[float]]] = [{} for _ in range(n_features)]
-    for r in rows:
-        p = post[tuple(r[f'v{i}'] for i in range(len(LABELERS)))]
-        pos, neg = pos + r['n'] * p, neg + r['n'] * (1 - p)
-        for i in range(n_features):
-            m = by[i].setdefault(r[f'f{i}'], [0.5, 0.5])
-            m[0] += r['n'] * p
-            m[1] += r['n'] * (1 - p)
-    return math.log(pos / neg), [{v: math.log(m[0] / pos) - math.log(m[1] / neg) for v, m in x.items()} for x in by]
+    by: list[dict[int, float]] = [{} for _ in range(n_features)]
+    heard = [r for r in rows if any(r[f'v{i}'] for i in range(len(LABELERS)))]
+    names = sorted({(i, r[f'f{i}']) for r in heard for i in range(n_features)})
+    if not names:
+        return 0.0, by
+    x = np.array([[1.0, *(float(r[f'f{i}'] == v) for i, v in names)] for r in heard])
+    n = np.array([float(r['n']) for r in heard])
+    p = np.array([post[tuple(r[f'v{i}'] for i in range(len(LABELERS)))] for r in heard])
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (p - q)) - RIDGE * w
+        step = np.linalg.solve((x.T * (n * q * (1 - q))) @ x + RIDGE * np.eye(len(w)), slope)
+        w += step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
+    for (i, v), weight in zip(names, w[1:].tolist()):
+        by[i][v] = weight
+    return float(w[0]), by
 
 
 def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -200,9 +235,7 @@ def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
             for value, x in w.items():
                 chosen = F.when(f == value, F.lit(x)).otherwise(chosen)
             score = score + chosen
-        # a span that a labeler speaks against is left to that labeler
-        against = F.least(*votes(s)) < 0
-        return ~s['valid'] & ~against & (score >= math.log(accept / (1 - accept)))
+        return ~s['valid'] & (score >= math.log(accept / (1 - accept)))
 
     extra = F.transform(F.filter('cand', accepted), lambda s: F.struct(
         F.lit('other').alias('kind'), s['start'].alias('start'), s['end'].alias('end')))

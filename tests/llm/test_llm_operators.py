@@ -488,6 +488,21 @@ def test_op9_borders(spark):
     assert many(found) == Counter(pii_row(i, t) for i, t in enumerate(texts))
 
 
+def test_op9_score_decides_on_cued_numbers(spark):
+    """Cue-led digit groups of 12 to 22 digits are found, also where a card
+    check fails on them; numbers without a cue or behind a decoy are not."""
+    private = {'Tel: ': '0151 2345 6789', 'phone ': '0049 151 2345 6789', 'IBAN: ': 'DE89 3704 0044 0532 0130 00',
+               'account ': '1234 5678 9012 3456 7890 12', 'konto: ': '12-34-56-78-90-12-34-56-78-90', 'card ': '1234-5678-9012-3456'}
+    other = ['order 1234 5678 9012', 'page 1234 5678 9012 3456', 'x 1234 5678 9012 y', 'ISBN 978-3-16-148410-1',
+             'no 4444333322221112', 'nothing 1234567812345678', 'Contact 1111 1111 1111']
+    texts = [k + v for k, v in private.items()] + other
+    more = spark.createDataFrame([((1 << 40) + i, t) for i, t in enumerate(texts)], 'doc_id long, text string')
+    docs = spark.read.parquet('/root/testdata/sf0.01/documents.parquet').select('doc_id', 'text')
+    found = pii.personal_data(docs.unionByName(more)).filter(F.col('doc_id') >= 1 << 40).collect()
+    got = {texts[r.doc_id - (1 << 40)]: [(s.kind, s.start, s.end) for s in r.spans] for r in found}
+    assert got == {k + v: [('other', len(k), len(k + v))] for k, v in private.items()} | {t: [] for t in other}
+
+
 def test_op9_reliabilities():
     """A labeler that agrees with the others is found reliable, a coin is not."""
     rng = np.random.default_rng(2)
