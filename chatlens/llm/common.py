@@ -74,6 +74,37 @@ def prefix_sums(rows: DataFrame, key: str, value: str, out: str, fan: int = 4096
             .join(coarse, '_g').select(key, (F.col('_base') + F.col('_in')).alias(out)))
 
 
+def numbered(rows: DataFrame, group: str, order: list, name: str, weight=None) -> DataFrame:
+    """`rows` with `_no`, each row's number from 0 within its group in the
+    given order (with `weight`: the sum of the weights in front of it).
+
+    Rows are dealt to tasks by ranges of (group, order, a running number), so
+    neither a large group nor a value that many rows share lands in one task.
+    Each task numbers its own rows; what lies in front of a group's part in a
+    task is summed over one row per task and group.
+    """
+    kept = scratch_table(rows.withColumn('_tie', F.monotonically_increasing_id()), name)
+    w = F.lit(1).cast('long') if weight is None else weight.cast('long')
+    at = F.monotonically_increasing_id()
+    dealt = (kept.withColumn('_w', w).repartitionByRange(F.col(group), *order, F.col('_tie'))
+             .sortWithinPartitions(F.col(group), *order, F.col('_tie')).withColumn('_at', at)
+             .withColumn('_task', F.shiftright('_at', 33).cast('int')).drop('_tie'))
+    dealt = scratch_table(dealt, name)
+    parts = dealt.groupBy(F.col(group).alias('_g'), F.col('_task').alias('_t')).agg(
+        F.sum('_w').alias('_sum'), F.min('_at').alias('_from'))
+    ahead = Window.partitionBy('_g').orderBy('_t').rowsBetween(Window.unboundedPreceding, -1)
+    # stored, so that its size (a row per task and group) is known to the join
+    parts = scratch_table(parts.select('_g', '_t', '_from', F.coalesce(F.sum('_sum').over(ahead), F.lit(0)).alias('_base')),
+                          name)
+    if weight is None:
+        inside = F.col('_at') - F.col('_from')
+    else:
+        in_task = Window.partitionBy('_task', group).orderBy('_at').rowsBetween(Window.unboundedPreceding, -1)
+        dealt, inside = dealt.withColumn('_in', F.coalesce(F.sum('_w').over(in_task), F.lit(0))), F.col('_in')
+    return (dealt.join(parts, F.col(group).eqNullSafe(F.col('_g')) & (F.col('_task') == F.col('_t')))
+            .select(*rows.columns, (F.col('_base') + inside).alias('_no')))
+
+
 def crc32_of_ids(raw: bytes, width: int) -> int:
     """Unsigned crc32 of ids given with `width` bytes each, as 32-bit ids."""
     return zlib.crc32(raw if width == 4 else np.frombuffer(raw, '<u2').astype('<u4').tobytes())

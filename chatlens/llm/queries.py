@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import documents, read_table
-from . import importance, line_dedup, merkle, mixing, packing, pii, quality, secret_scan, simhash, token_orc
+from . import (fill_middle, importance, line_dedup, manifest, merkle, mixing, packing, pii, quality, secret_scan, simhash,
+               token_orc)
+from .oracle import ORACLE_SQL  # noqa: F401
 
 PACK_TOKENIZER, PACK_END = 'byte_bpe_50k.json', 0
 ORC_TOKENIZER, ORC_END = 'word_bpe_49k.json', 2
@@ -71,8 +73,15 @@ def op10_merkle(spark: SparkSession, d: str) -> DataFrame:
     return merkle.edited_pairs(documents(spark, d))
 
 
+def op11_fill_middle(spark: SparkSession, d: str) -> DataFrame:
+    return fill_middle.fim_digests(documents(spark, d))
+
+
+def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.Manifest(documents(spark, d)).verdicts()
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_outliers, op2_mixture_packing, op3_simhash_anchors, op4_token_orc, op5_line_dedup,
-    op6_credential_linking, op7_importance_resampling, op8_source_mixing, op9_pii_weak_supervision, op10_merkle)}
-
-ORACLE_SQL: dict[str, str] = {}
+    op6_credential_linking, op7_importance_resampling, op8_source_mixing, op9_pii_weak_supervision, op10_merkle,
+    op11_fill_middle, op12_merkle_manifest)}

@@ -1,0 +1,133 @@
+"""The manifest against a plain tree over lists, at several block heights."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chatlens.llm import manifest as mf
+from chatlens.llm import queries
+from test_llm_operators import EDGE, SF0001, edge_dir, empty_dir, many  # noqa: F401
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def field(x):
+    return '-' if x is None else f'{len(str(x).encode())}:{x}'
+
+
+def brute_leaf(doc_id, source, lang, n_chars, text):
+    return sha(''.join(map(field, (doc_id, source, lang, n_chars, text))))
+
+
+def climb(nodes):
+    """All levels over a list of digests."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        levels.append([sha(''.join(x[i:i + 8])) for i in range(0, len(x), 8)])
+    return levels
+
+
+def walk(levels, i, node):
+    proof = ''
+    for x in levels[:-1]:
+        run = x[i // 8 * 8:i // 8 * 8 + 8]
+        at = i % 8
+        proof += ''.join(run[:at] + run[at + 1:])
+        node = sha(''.join(run[:at] + [node] + run[at + 1:]))
+        i //= 8
+    return proof, node
+
+
+def brute(rows):
+    langs = {}
+    for doc_id, text, lang, source, n_chars in rows:
+        langs.setdefault(lang, []).append((doc_id, text, source, n_chars))
+    names = sorted(langs, key=lambda x: (x is not None, (x or '').encode()))
+    trees = {}
+    for lang in names:
+        made = []
+        for doc_id, text, source, n_chars in langs[lang]:
+            told = text
+            if text is not None and doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 0:
+                told = ''.join(c.lower() if 'A' <= c <= 'Z' else c for c in text)
+            made.append((doc_id is not None, doc_id or 0, brute_leaf(doc_id, source, lang, n_chars, text),
+                         brute_leaf(doc_id, source, lang, n_chars, told), doc_id))
+        made.sort(key=lambda x: x[:3])
+        trees[lang] = made, climb([x[2] for x in made])
+    top = climb([trees[x][1][-1][0] for x in names])
+    for j, lang in enumerate(names):
+        made, levels = trees[lang]
+        for i, (_, _, leaf, told, doc_id) in enumerate(made):
+            p1, node = walk(levels, i, told)
+            p2, node = walk(top, j, node)
+            yield doc_id, leaf, levels[-1][0], top[-1][0], sha(p1 + p2), node, node == top[-1][0]
+
+
+@pytest.mark.parametrize('given', [True, False])
+def test_op12(spark, edge_dir, given):  # noqa: F811
+    d = SF0001 if given else edge_dir
+    rows = [tuple(r) for r in spark.read.parquet(d + '/documents.parquet').select(
+        'doc_id', 'text', 'lang', 'source', 'n_chars').collect()]
+    got = queries.op12_merkle_manifest(spark, d).collect()
+    assert many(got) == many(brute(rows))
+    assert {r.verified for r in got} == {True, False}
+
+
+def test_many_rounds_and_langs(spark):
+    """Blocks of 8 and 64 leaves: several rounds, runs of one, lone rows, and
+    more langs than one run holds."""
+    rnd = random.Random(5)
+    sizes = [1, 2, 7, 8, 9, 63, 64, 65, 66, 513, 1, 3, 8, 1, 20]
+    langs = [None, 'ü', 'z', 'a', '', 'B', 'de', 'en', 'es', 'fr', 'x1', 'x2', 'x3', 'é', '中']
+    rows = [(rnd.randrange(400) - 50, rnd.choice(['Aa', 'b', None, '']), lang, rnd.choice('st'), 3)
+            for lang, n in zip(langs, sizes) for _ in range(n)]
+    docs = spark.createDataFrame(rows, 'doc_id long, text string, lang string, source string, n_chars long').repartition(5)
+    want = many(brute(rows))
+    for height in (1, 2):
+        assert many(mf.Manifest(docs, height).verdicts().collect()) == want
+
+
+def test_layout():
+    """Addresses are a permutation, aligned subtrees are contiguous, and a
+    full tree split at half height keeps its upper half in front."""
+    for levels in range(1, 6):
+        every = np.concatenate([mf.address(levels, d, np.arange(8 ** d)) for d in range(levels)])
+        assert sorted(every.tolist()) == list(range(mf.tree_size(levels)))
+        for d in range(levels):
+            assert [mf.address(levels, d, i) for i in range(min(8 ** d, 600))] == every[
+                mf.tree_size(d):mf.tree_size(d) + min(8 ** d, 600)].tolist()
+        upper = levels // 2
+        if upper:
+            assert every[:mf.tree_size(upper)].max() == mf.tree_size(upper) - 1
+            low = mf.tree_size(levels - upper)
+            for i in range(8 ** upper):  # the lower tree below node i of depth `upper`
+                got = np.concatenate([mf.address(levels, upper + e, np.arange(i * 8 ** e, (i + 1) * 8 ** e))
+                                      for e in range(levels - upper)])
+                assert got.max() - got.min() == low - 1 and got.min() == mf.tree_size(upper) + i * low
+
+
+def test_blocks_of_every_count():
+    for n in (1, 2, 8, 9, 64, 65, 511, 512):
+        leaves = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
+        for height in {mf.height_of(n), 3}:
+            b = mf.Block.build(leaves, height)
+            again = mf.Block(height, n, b.store)
+            for i in {0, n - 1, n // 2}:
+                assert mf.fold(leaves[i].hex(), again.siblings(i)) == b.root().hex()
+                assert sum(len(a) + len(z) for a, z in again.siblings(i)[:1]) == 64 * (min(8, n - i // 8 * 8) - 1 if height else 0)
+
+
+def test_one_changed_field_is_found(spark):
+    rows = [(i, f't{i}', 'en', 's', 1) for i in range(30)]
+    schema = 'doc_id long, text string, lang string, source string, n_chars long'
+    root = mf.Manifest(spark.createDataFrame(rows, schema), 1).root.first()['digest']
+    for other in ((7, 't7', 'en', 's', 2), (7, 't7', 'en', None, 1), (7, None, 'en', 's', 1)):
+        changed = rows[:7] + [other] + rows[8:]
+        assert mf.Manifest(spark.createDataFrame(changed, schema), 1).root.first()['digest'] != root
