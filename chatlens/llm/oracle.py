@@ -106,4 +106,29 @@ SELECT doc_id, leaf, subroot, tp{_TOP_LEVELS}.h AS root, sha256(proof) AS proof_
 FROM w_lv{_LEVELS}_tp{_TOP_LEVELS}, tp{_TOP_LEVELS}
 """
 
-ORACLE_SQL: dict[str, str] = {'op11_fill_middle': FILL_MIDDLE, 'op12_merkle_manifest': MERKLE_MANIFEST}
+# Equal sets are one node; of two nodes the common shingles are counted.
+JACCARD_JOIN = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, r, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))
+         END AS g
+  FROM w),
+k AS (SELECT doc_id, r, g, len(g)::BIGINT AS n, dense_rank() OVER (ORDER BY g) AS id FROM s),
+d AS (SELECT id, any_value(g) AS g, any_value(n) AS n, min(doc_id) AS least FROM k WHERE n > 0 GROUP BY id),
+t AS (SELECT id, n, unnest(g) AS x FROM d),
+l AS (
+  SELECT a.id AS u, b.id AS v FROM t a JOIN t b ON a.x = b.x AND a.id < b.id
+  GROUP BY a.id, b.id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach AS (SELECT id AS u, id AS v FROM d UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u),
+c AS (SELECT reach.u AS id, min(d.least) AS component_id FROM reach JOIN d ON d.id = reach.v GROUP BY reach.u)
+SELECT k.doc_id, k.n AS n_shingles, CASE WHEN k.n = 0 THEN k.doc_id ELSE c.component_id END AS component_id
+FROM k LEFT JOIN c ON c.id = k.id
+"""
+
+ORACLE_SQL: dict[str, str] = {'op11_fill_middle': FILL_MIDDLE, 'op12_merkle_manifest': MERKLE_MANIFEST,
+                              'op13_jaccard_join': JACCARD_JOIN}

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import documents, read_table
-from . import (fill_middle, importance, line_dedup, manifest, merkle, mixing, packing, pii, quality, secret_scan, simhash,
-               token_orc)
+from . import (fill_middle, importance, jaccard, line_dedup, manifest, merkle, mixing, packing, pii, quality,
+               secret_scan, simhash, token_orc)
 from .oracle import ORACLE_SQL  # noqa: F401
 
 PACK_TOKENIZER, PACK_END = 'byte_bpe_50k.json', 0
@@ -81,7 +81,11 @@ def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     return manifest.Manifest(documents(spark, d)).verdicts()
 
 
+def op13_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, d)).select('doc_id', 'n_shingles', 'component_id')
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_outliers, op2_mixture_packing, op3_simhash_anchors, op4_token_orc, op5_line_dedup,
     op6_credential_linking, op7_importance_resampling, op8_source_mixing, op9_pii_weak_supervision, op10_merkle,
-    op11_fill_middle, op12_merkle_manifest)}
+    op11_fill_middle, op12_merkle_manifest, op13_jaccard_join)}
