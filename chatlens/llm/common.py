@@ -105,6 +105,34 @@ def numbered(rows: DataFrame, group: str, order: list, name: str, weight=None) -
             .select(*rows.columns, (F.col('_base') + inside).alias('_no')))
 
 
+def connected(edges: DataFrame, name: str) -> DataFrame:
+    """(node, label) of all nodes of the links (u, v): the smallest node that
+    is reachable. Each round sends every node to its smallest neighbour's
+    smallest neighbour and keeps only the links that still join different
+    nodes, so the rounds work on ever fewer links; the ways are put together
+    backwards at the end."""
+    def links(e):
+        return scratch_table(e.filter('u <> v').select(F.least('u', 'v').alias('u'), F.greatest('u', 'v').alias('v'))
+                             .distinct(), name)
+
+    left, steps = links(edges), []
+    while not steps or not left.isEmpty():
+        both = left.union(left.select(F.col('v').alias('u'), F.col('u').alias('v')))
+        low = scratch_table(both.groupBy(F.col('u').alias('node')).agg(F.min('v').alias('m'))
+                            .select('node', F.least('node', 'm').alias('to')), name)
+        onward = low.select(F.col('node').alias('at'), F.col('to').alias('next'))
+        step = scratch_table(low.join(onward, F.col('to') == F.col('at')).select('node', F.col('next').alias('to')), name)
+        steps.append(step)
+        ends = [step.select(F.col('node').alias(c), F.col('to').alias(f'{c}_to')) for c in ('u', 'v')]
+        left = links(left.join(ends[0], 'u').join(ends[1], 'v').select(F.col('u_to').alias('u'), F.col('v_to').alias('v')))
+    label = steps.pop().select('node', F.col('to').alias('label'))
+    for step in reversed(steps):
+        onward = scratch_table(label.select(F.col('node').alias('at'), F.col('label').alias('last')), name)
+        label = step.join(onward, F.col('to') == F.col('at'), 'left').select(
+            'node', F.coalesce('last', 'to').alias('label'))
+    return scratch_table(label, name)
+
+
 def crc32_of_ids(raw: bytes, width: int) -> int:
     """Unsigned crc32 of ids given with `width` bytes each, as 32-bit ids."""
     return zlib.crc32(raw if width == 4 else np.frombuffer(raw, '<u2').astype('<u4').tobytes())

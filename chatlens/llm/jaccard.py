@@ -55,8 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, scratch_table
-from .simhash import components
+from .common import connected, numbered, scratch_table
 
 SHINGLE, PERCENT = 3, 90
 SEED = 42
@@ -165,7 +164,9 @@ def families(marks: DataFrame) -> DataFrame:
     """(h, family): sets (by half digest) that share keys, directly or over
     others; a set that shares no key is in none."""
     every = marks.select('h', F.explode('keys').alias('key'))
-    shared = every.groupBy('key').agg(F.min('h').alias('a'), F.max('h').alias('b')).filter('a <> b').select('key')
+    # stored, so that its size is known to the join: few keys are shared
+    shared = scratch_table(every.groupBy('key').agg(F.min('h').alias('a'), F.max('h').alias('b')).filter('a <> b')
+                           .select('key'), 'jaccard-shared')
     some = scratch_table(every.join(shared, 'key', 'left_semi').distinct().withColumn(
         'part', F.col('h').bitwiseAND(255).cast('int')), 'jaccard-keys')
     # stars in two steps, so that no set of a large family has all the others
@@ -174,8 +175,7 @@ def families(marks: DataFrame) -> DataFrame:
     whole = first.groupBy('key').agg(F.min('lo').alias('root'))
     edges = some.join(first, ['key', 'part']).select(F.col('h').alias('u'), F.col('lo').alias('v')).union(
         first.join(whole, 'key').select(F.col('lo').alias('u'), F.col('root').alias('v')))
-    found = components(edges.filter('u <> v').distinct())
-    return found.select(F.col('fp').alias('h'), F.col('label').alias('family'))
+    return connected(edges, 'jaccard-family').select(F.col('node').alias('h'), F.col('label').alias('family'))
 
 
 # ------------------------------------------------------------------ trees
@@ -331,20 +331,40 @@ def with_tokens(docs: DataFrame, placed: DataFrame, shingle: int) -> DataFrame:
     """`placed` with the tokens of its sets, from one document of each."""
     texts = docs.select(F.col('doc_id').alias('_d'), F.xxhash64('text').alias('_h'), F.col('text').alias('_text'))
     both = texts.join(placed, F.col('_d').eqNullSafe(F.col('first.doc_id')) & (F.col('_h') == F.col('first.text_hash')))
-    # a row that is listed again brings its text again
-    both = both.dropDuplicates(['_d', '_h']).select('digest', 'family', 'n', 'low', '_text')
-    schema = T.StructType([both.schema[c] for c in ('digest', 'family', 'n', 'low')]
-                          + [T.StructField('tokens', T.BinaryType())])
+    cols = ['block', 'place', 'digest', 'family', 'label']
+    schema = T.StructType([placed.schema[c] for c in cols] + [T.StructField('tokens', T.BinaryType())])
 
     def run(batches):
+        seen = set()  # a row that is listed again brings its text again
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                t = [tokens(x.as_py() or '', shingle) for x in part.column(4)]
-                yield pa.record_batch([*part.columns[:4], pa.array([x.tobytes() for x in t], pa.binary())],
+                new = []
+                for i, digest in enumerate(part.column(2).to_pylist()):
+                    if digest not in seen:
+                        seen.add(digest)
+                        new.append(i)
+                part = part.take(pa.array(new, pa.int64()))
+                t = [tokens(x.as_py() or '', shingle) for x in part.column(5)]
+                yield pa.record_batch([*part.columns[:5], pa.array([x.tobytes() for x in t], pa.binary())],
                                       names=schema.fieldNames())
 
-    return both.mapInArrow(run, schema)
+    return both.select(*cols, '_text').mapInArrow(run, schema)
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """(digest, tokens) of the sets of packed blocks."""
+    schema = T.StructType([T.StructField('digest', T.BinaryType()), T.StructField('tokens', T.BinaryType())])
+
+    def run(batches):
+        for b in batches:
+            for row in b.select(['digests', 'sizes', 'tokens']).to_pylist():
+                at = np.concatenate(([0], np.cumsum(row['sizes']))) * 8
+                yield pa.record_batch([pa.array(row['digests'], pa.binary()), pa.array(
+                    [row['tokens'][i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())],
+                    names=schema.fieldNames())
+
+    return packed.mapInArrow(run, schema)
 
 
 def links_within(packed: DataFrame, percent: int) -> DataFrame:
@@ -465,28 +485,31 @@ def block_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 def set_links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(u, v): links between sets that join all linked sets; `sets` has the
-    families' sets (digest, first, family, n, low)."""
-    own = scratch_table(with_tokens(docs, sets, shingle).withColumn('label', F.col('digest')), 'jaccard-sets')
-    placed = scratch_table(place(own, ['family', 'low', 'n', 'digest'], 'jaccard-places'), 'jaccard-placed')
-    packed = scratch_table(pack(placed), 'jaccard-blocks')
+    families' sets (digest, first, family, n, low). Sets are placed by their
+    sizes alone; their tokens move once, to their blocks."""
+    placed = scratch_table(place(sets.withColumn('label', F.col('digest')), ['family', 'low', 'n', 'digest'],
+                                 'jaccard-places'), 'jaccard-placed')
+    packed = scratch_table(pack(with_tokens(docs, placed, shingle)), 'jaccard-blocks')
     links = scratch_table(links_within(packed, percent), 'jaccard-found')
     spans = placed.groupBy('family').agg(F.min('block').alias('a'), F.max('block').alias('z')).filter('a < z')
     spans = scratch_table(spans, 'jaccard-spans')
     if spans.isEmpty():
         return links
     # the middle block of a family against its other blocks
-    blocks = placed.join(spans, 'family').select('block', 'a', 'z').distinct()
+    wide = placed.join(spans, 'family')
     middle = F.floor((F.col('a') + F.col('z')) / 2)
-    hub = blocks.filter(F.col('block') != middle).select(
-        F.least('block', middle).alias('a'), F.greatest('block', middle).alias('b')).distinct()
+    blocks = scratch_table(wide.select('block', middle.alias('middle')).distinct(), 'jaccard-spans')
+    hub = scratch_table(blocks.filter('block <> middle').select(
+        F.least('block', 'middle').alias('a'), F.greatest('block', 'middle').alias('b')).distinct(), 'jaccard-pairs')
     links = scratch_table(links.union(links_between(packed, hub, percent)), 'jaccard-found')
     # then all blocks, ordered by what is joined by now
-    known = components(links).select(F.col('fp').alias('digest'), F.col('label').alias('found'))
-    left = placed.join(spans.select('family'), 'family', 'left_semi').select('digest', 'family', 'n', 'low', 'tokens')
-    left = left.join(known, 'digest', 'left').withColumn('label', F.coalesce('found', 'digest')).drop('found')
+    known = connected(links, 'jaccard-label').select(F.col('node').alias('digest'), F.col('label').alias('found'))
+    left = wide.select('digest', 'family', 'n', 'low').join(known, 'digest', 'left').withColumn(
+        'label', F.coalesce('found', 'digest')).drop('found')
     again = scratch_table(place(left, ['family', 'label', 'low', 'n', 'digest'], 'jaccard-places'), 'jaccard-placed')
-    packed = scratch_table(pack(again), 'jaccard-blocks')
-    pairs = scratch_table(block_pairs(block_nodes(packed), percent), 'jaccard-pairs')
+    held = packed.join(blocks.select('block').distinct(), 'block', 'left_semi')
+    packed = scratch_table(pack(again.join(unpacked(held), 'digest')), 'jaccard-blocks')
+    pairs = block_pairs(block_nodes(packed), percent)
     return links.union(links_within(packed, percent)).union(links_between(packed, pairs, percent))
 
 
@@ -499,7 +522,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         F.min('n').alias('n'), F.min('low').alias('low')), 'jaccard-distinct')
     in_family = scratch_table(sets.join(families(some), 'h'), 'jaccard-families')
     links = set_links(docs, in_family, shingle, percent)
-    label = components(links).select(F.col('fp').alias('of'), 'label')
+    label = connected(links, 'jaccard-label').select(F.col('node').alias('of'), 'label')
     named = sets.join(label, F.col('digest') == F.col('of'), 'left').select(
         'digest', 'least', F.coalesce('label', 'digest').alias('label'))
     smallest = named.groupBy('label').agg(F.min('least').alias('component_id'))
