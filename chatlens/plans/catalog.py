@@ -36,8 +36,8 @@ from ..sources.chat_csv import (qa_from_export, qa_from_segmented_export, read_c
 from ..sources.export import read_classification_json, write_classification_json
 from ..sources.fixture import chat_fixture, dirty_export_rows, export_rows, fixture_messages
 from ..sources.tables import conversations, documents, events, table_path
-from ..streaming.ingest import (event_time, naive_time, read_export_stream, read_message_stream, run_to_table,
-                                stream_location, window_run)
+from ..streaming.ingest import (current_rows, event_time, ingest_exports, ingest_overlapping_exports, naive_time,
+                                read_message_stream, run_to_table, stream_location, window_run)
 
 # Parameters of the registered queries (the dashboard's own defaults where it
 # has them).
@@ -363,8 +363,20 @@ def q_stream_qa_from_csv(spark, d):
     write_export_csv(rows.filter('segment = 0'), os.path.join(base, 'in'))
     write_export_csv(rows.filter('segment <> 0').select(
         'segment', 'Raw Chat Data', F.lit('x').alias('Nr'), 'Erstellt', 'conv_id'), os.path.join(base, 'in'), 'append')
-    stream = read_export_stream(spark, os.path.join(base, 'in'), keep=('conv_id', 'segment'))
-    return qa_from_segmented_export(run_to_table(stream, 'qa_from_csv', 'append', base)).select(
+    rows = ingest_exports(spark, os.path.join(base, 'in'), base, keep=('conv_id', 'segment'))
+    return qa_from_segmented_export(rows).select(F.col('id').cast('bigint').alias('id'), 'Datetime', 'Frage', 'Antwort')
+
+
+def q_stream_qa_dedup(spark, d):
+    """J1 on overlapping exports: three fuller and fuller ones, each repeating
+    the rows of the one before, the first with conversations that go on
+    later; taken in by a run of the same stream each."""
+    base = stream_location(spark, f'qa_dedup-{uuid.uuid4().hex}')
+    arrived, msgs = os.path.join(base, 'in'), fixture_messages(spark, d)
+    for part in ('conv_id % 3 = 0 AND (conv_id % 2 = 0 OR turn < 2)', 'conv_id % 3 <> 1', 'true'):
+        write_export_csv(export_rows(msgs.filter(part), EXPORT_SEGMENT_MESSAGES), arrived, 'append')
+        rows = ingest_overlapping_exports(spark, arrived, base, keep=('conv_id', 'segment'))
+    return qa_from_segmented_export(current_rows(rows, ('conv_id', 'segment'))).select(
         F.col('id').cast('bigint').alias('id'), 'Datetime', 'Frage', 'Antwort')
 
 
@@ -425,6 +437,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'event_daypart_counts': q_event_daypart_counts,
     'event_hour_counts': q_event_hour_counts,
     'stream_qa_from_csv': q_stream_qa_from_csv,
+    'stream_qa_dedup': q_stream_qa_dedup,
     'stream_daily_counts': q_stream_daily_counts,
     'stream_late_counts': q_stream_late_counts,
     'stream_classification_counts': q_stream_classification_counts,

@@ -192,6 +192,7 @@ def _sql() -> dict[str, str]:
     sql['qa_from_json'] = sql['qa_pairs']
     sql['qa_from_csv'] = sql['qa_pairs']
     sql['stream_qa_from_csv'] = sql['qa_pairs']
+    sql['stream_qa_dedup'] = sql['qa_pairs']
     sql['qa_from_dirty_csv'] = dirty_qa_sql('behind')
     sql['qa_from_dirty_csv_robust'] = dirty_qa_sql('own')
     sql['export_rejects'] = f"""WITH {FX},

@@ -7,10 +7,9 @@ analysis convert once with `to_bronze` and work from Parquet.
 
 from __future__ import annotations
 
-import csv
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,45 +22,77 @@ CREATED = 'Erstellt'
 RAW = 'Raw Chat Data'
 CSV_OPTIONS = {'header': 'true', 'multiLine': 'true', 'quote': '"', 'escape': '"',
                'encoding': 'UTF-8', 'mode': 'PERMISSIVE', 'inferSchema': 'false'}
+#: Header reads that run side by side.
+HEADER_JOBS = 16
 
 
-def read_chat_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """Export rows as (file, Erstellt, Raw Chat Data, *keep), columns found by
+def read_chat_csv(spark: SparkSession, path, keep: tuple[str, ...] = (), same_header: bool = False,
+                  modified: bool = False, **options) -> DataFrame:
+    """Export rows as (file, Erstellt, Raw Chat Data, *keep), with `modified`
+    also the time (`modified`) of the last change of the row's file; columns found by
     each file's own header name; a missing column reads as NULL, other columns
-    are ignored unless named in `keep`. Files with the same header are read
-    together, so exports of several versions can lie in one folder.
+    are ignored unless named in `keep`, and of a name that occurs twice the
+    last column counts. Files with the same header are read together, so
+    exports of several versions can lie in one folder. `path` is a folder, a
+    file, a glob or a list of those.
+
+    Each file is read once: only its first record is fetched ahead, to find the
+    columns (`same_header`: only that of the first file, for folders known to
+    hold one version). `options` are Spark's CSV options (`sep`, `quote`,
+    `encoding`, ...) and hold for both.
 
     Undecodable bytes come through as U+FFFD and are removed, as the original
     reads with errors='ignore'.
     """
     wanted = (CREATED, RAW, *keep)
+    options = {**CSV_OPTIONS, **options}
+    stamp = [F.col('_metadata.file_modification_time').alias('modified')] if modified else []
 
     def read(header: tuple[str, ...], files: list[str]) -> DataFrame:
-        # a name that occurs twice counts where it occurs first
-        names = [n if n not in header[:i] else f'{n}#{i}' for i, n in enumerate(header)]
-        raw = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-               .options(**{**CSV_OPTIONS, **options}).csv(files))
-        return raw.select(F.col('_metadata.file_path').alias('file'), *[
-            (F.translate(F.col(f'`{n}`'), '�', '') if n in names else F.lit(None).cast('string')).alias(n)
+        at = {n: i for i, n in enumerate(header)}  # the last of equal names stays
+        raw = (spark.read.schema(T.StructType([T.StructField(f'c{i}', T.StringType()) for i in range(len(header))]))
+               .options(**{**options, 'header': 'true', 'enforceSchema': 'true'}).csv(files))
+        return raw.select(F.col('_metadata.file_path').alias('file'), *stamp, *[
+            (F.translate(F.col(f'c{at[n]}'), '�', '') if n in at else F.lit(None).cast('string')).alias(n)
             for n in wanted])
 
-    frames = [read(h, files) for h, files in sorted(file_headers(spark, path).items())]
+    frames = [read(h, files) for h, files in sorted(file_headers(spark, path, same_header, **options).items())]
     if not frames:
-        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in ('file', *wanted)]))
+        fields = [T.StructField(n, T.StringType()) for n in ('file', *wanted)]
+        fields[1:1] = [T.StructField('modified', T.TimestampType())] if modified else []
+        return spark.createDataFrame([], T.StructType(fields))
     return reduce(DataFrame.unionByName, frames)
 
 
-def file_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The distinct headers below `path` and the files that have them: one
-    line per file reaches the driver, which lists the files in any case."""
-    lines = spark.read.text(path).select(
-        'value', F.col('_metadata.file_path').alias('file'), F.col('_metadata.file_block_start').alias('block'),
-        F.monotonically_increasing_id().alias('at')).filter('block = 0')
-    first = lines.groupBy('file').agg(F.min_by('value', 'at').alias('header'))
+def export_files(spark: SparkSession, path) -> list[str]:
+    """The files below `path`, by Spark's own listing; none is opened."""
+    found = spark.read.format('binaryFile').load(path).select('path')
+    return sorted(r['path'] for r in found.collect())
+
+
+def file_headers(spark: SparkSession, path, same_header: bool = False, **options) -> dict[tuple[str, ...], list[str]]:
+    """The distinct headers below `path` and the files that have them.
+
+    A file's header is its first record in Spark's own CSV reader under the
+    given options, so any separator, quoting or line break in a quoted name
+    is read as it will be. The reader stops behind that record; a few small
+    jobs run side by side.
+    """
+    options = {**CSV_OPTIONS, **options, 'header': 'false'}
+
+    def header(file: str) -> tuple[str, ...]:
+        first = spark.read.options(**options).csv(file).first()
+        return tuple((v or '').lstrip('\ufeff').replace('�', '') for v in first) if first else ()
+
+    files = export_files(spark, path)
     found = defaultdict(list)
-    for r in first.collect():
-        header = next(csv.reader([r['header'].lstrip('\ufeff')]), [])
-        found[tuple(header)].append(unquote(r['file']))
+    if same_header and files:
+        found[header(files[0])] = files
+    else:
+        with ThreadPoolExecutor(HEADER_JOBS) as pool:
+            for file, names in zip(files, pool.map(header, files)):
+                found[names].append(file)
+    found.pop((), None)  # an empty file has no rows either
     return dict(found)
 
 

@@ -13,13 +13,10 @@ session time zone, so a one-day window is one naive calendar day everywhere.
 
 from __future__ import annotations
 
-import csv
-import io
 import os
-import sys
 import uuid
+import zlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +26,14 @@ from .. import dictionaries as D
 from ..operators.classification import classify_rule_based
 from ..operators.messages import qa_messages
 from ..session import checkpoint_root
-from ..sources.chat_csv import CREATED, RAW, qa_from_export
+from ..sources.chat_csv import CREATED, RAW, qa_from_export, read_chat_csv
 
 
 _EPOCH_NTZ = '1970-01-01 00:00:00'
 #: Event time of the mark that ends a stream's input (see `window_run`).
 END_OF_INPUT = '9999-01-01 00:00:00'
+#: Landing files that one batch of the second stream of overlapping exports reads.
+LANDING_FILES = 256
 
 
 def event_time(c) -> Column:
@@ -53,29 +52,130 @@ def naive_time(c) -> Column:
         F.lit(0), F.lit(0), F.lit(0), micros.cast('decimal(18,6)'))
 
 
-def read_export_stream(spark: SparkSession, path: str, keep: tuple[str, ...] = (),
-                       max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming export rows (file, Erstellt, Raw Chat Data, *keep) from CSV
-    files arriving in `path` (J1), columns found by each file's own header
-    name. A file of multi-line records is one task's work in any case; here
-    it is also one value, so a single export file must fit a task's memory."""
-    r = spark.readStream.format('text').option('wholetext', 'true')
+#: The columns of Spark's file listing; `content` is never asked for.
+_LISTING = 'path string, modificationTime timestamp, length bigint, content binary'
+
+
+def arriving_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the paths of files arriving in `path`: (path,
+    modificationTime, length). No file is opened."""
+    r = spark.readStream.format('binaryFile').schema(_LISTING)
     if max_files_per_trigger:
         r = r.option('maxFilesPerTrigger', str(max_files_per_trigger))
-    names = (CREATED, RAW, *keep)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ('file', *names)])
-
-    def parse(batches):
-        csv.field_size_limit(sys.maxsize)
-        for b in batches:
-            for text, file in zip(b['value'], b['file']):
-                # read as the batch reader does: empty fields are NULL
-                rows = csv.DictReader(io.StringIO(text.lstrip('\ufeff').replace('\ufffd', ''), newline=''))
-                out = [(file, *(row.get(n) or None for n in names)) for row in rows]
-                yield pd.DataFrame(out, columns=schema.fieldNames(), dtype=object)
-
-    files = r.load(path).select('value', F.col('_metadata.file_path').alias('file'))
-    return files.mapInPandas(parse, schema)
+    return r.load(path).select('path', 'modificationTime', 'length')
+
+
+def _run(stream: DataFrame, base: str, write) -> None:
+    q = (stream.writeStream.option('checkpointLocation', os.path.join(base, 'state'))
+         .foreachBatch(write).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def export_schema(keep: tuple[str, ...] = ()) -> T.StructType:
+    return T.StructType([T.StructField('file', T.StringType()), T.StructField('modified', T.TimestampType())]
+                        + [T.StructField(n, T.StringType()) for n in (CREATED, RAW, *keep)])
+
+
+def ingest_exports(spark: SparkSession, path: str, base: str, keep: tuple[str, ...] = (),
+                   max_files_per_trigger: int | None = None, **options) -> DataFrame:
+    """Export rows (file, modified, Erstellt, Raw Chat Data, *keep) of all
+    files that have arrived in `path`, as a table below `base` (J1).
+
+    The stream carries paths only. Each micro-batch reads its files with the
+    batch reader (`read_chat_csv`: Spark's CSV source, columns by each file's
+    own header, `options` passed on), so a file is never one value and no row
+    goes through Python. A batch overwrites its own folder: retried, it writes
+    the same rows again. A later run with the same `base` takes up the files
+    that came since.
+    """
+    out, schema = os.path.join(base, 'rows'), export_schema(keep)
+    spark.createDataFrame([], schema).write.mode('ignore').parquet(os.path.join(out, 'batch=-1'))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # at most maxFilesPerTrigger paths, which the driver has listed
+        files = sorted(r['path'] for r in batch.select('path').collect())
+        rows = read_chat_csv(batch.sparkSession, files, keep, modified=True, **options)
+        rows.write.mode('overwrite').parquet(os.path.join(out, f'batch={epoch}'))
+
+    _run(arriving_files(spark, path, max_files_per_trigger), base, write)
+    return spark.read.schema(schema).parquet(out).select(*schema.fieldNames())
+
+
+# ------------------------------------------------------------- overlapping exports
+
+def row_key(keep: tuple[str, ...] = ()) -> Column:
+    """Identity of an export row whatever file it comes from: a 128-bit hash
+    of its columns, NULL and empty apart."""
+    parts = [F.coalesce(F.concat(F.char_length(c).cast('string'), F.lit(':'), c), F.lit('-'))
+             for c in (F.col(f'`{n}`').cast('string') for n in (CREATED, RAW, *keep))]
+    return F.md5(F.concat(*parts).cast('binary'))
+
+
+def first_arrivals(rows: DataFrame, arrival: str, within: str) -> DataFrame:
+    """Streaming rows without those that repeat a row of the last `within` of
+    arrival time (`dropDuplicatesWithinWatermark` on `row`): the state holds
+    one key per row for that long."""
+    return rows.withWatermark(arrival, within).dropDuplicatesWithinWatermark(['row'])
+
+
+def ingest_overlapping_exports(spark: SparkSession, path: str, base: str, keep: tuple[str, ...] = (),
+                               within: str = '1 day', max_files_per_trigger: int | None = None, **options) -> DataFrame:
+    """Export rows of `path` where every new export repeats what earlier ones
+    hold: each distinct row once, as (row, arrival, file, modified, Erstellt,
+    Raw Chat Data, *keep, version) in a table below `base`.
+
+    Two streams in turn. The first takes the files in (`ingest_exports`), into
+    one folder per batch. The second reads those rows and drops repeats: the
+    ones of the last `within` by keyed state, older ones by an anti join with
+    the keys that the table already holds. The table itself is that durable
+    key table, so rows and keys cannot fall apart, and since a retried batch
+    overwrites its own folder and does not look into it, a restart after a
+    failure at any point gives the same rows. Only keys are read back and
+    shuffled, spread by their hash.
+
+    A row that a later export has changed is a new row; `current_rows` picks
+    the newest. One that is changed back counts as known: the table holds its
+    first arrival.
+    """
+    landing = os.path.join(base, 'landing')
+    ingest_exports(spark, path, landing, keep, max_files_per_trigger, **options)
+    out = os.path.join(base, 'rows')
+    body = [T.StructField('row', T.StringType()), T.StructField('arrival', T.TimestampType()), *export_schema(keep).fields]
+    spark.createDataFrame([], T.StructType(body)).write.mode('ignore').parquet(os.path.join(out, 'version=-1'))
+    stored = T.StructType([*body, T.StructField('version', T.LongType())])
+
+    arrived = (spark.readStream.schema(export_schema(keep)).option('maxFilesPerTrigger', str(LANDING_FILES))
+               .parquet(os.path.join(landing, 'rows', 'batch=*')))
+    rows = arrived.select(row_key(keep).alias('row'), F.col('_metadata.file_modification_time').alias('arrival'), '*')
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        held = (batch.sparkSession.read.schema(stored).parquet(out).filter(F.col('version') < epoch).select('row'))
+        new = batch.join(held, 'row', 'left_anti')
+        new.write.mode('overwrite').parquet(os.path.join(out, f'version={epoch}'))
+
+    _run(first_arrivals(rows, 'arrival', within), base, write)
+    return spark.read.schema(stored).parquet(out)
+
+
+def current_rows(table: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Of rows with the same `key` the one from the newest export file: what a
+    later export has changed replaces what it was. Found on narrow columns;
+    the chats themselves only meet the row names that stay."""
+    newest = table.groupBy(*key).agg(F.max(F.struct('modified', 'file', 'row')).alias('_newest'))
+    return table.join(newest.select(F.col('_newest.row').alias('row')), 'row', 'left_semi')
+
+
+def read_export_stream(spark: SparkSession, path: str, keep: tuple[str, ...] = (),
+                       max_files_per_trigger: int | None = None, **options) -> DataFrame:
+    """Streaming export rows (file, Erstellt, Raw Chat Data, *keep) of the CSV
+    files that have arrived in `path` (J1): they are taken in first
+    (`ingest_exports`, into a folder named after path and columns, which a
+    later call goes on with), and the stream reads the rows taken in."""
+    name = zlib.crc32('\x1f'.join((path, *keep, *map(str, sorted(options.items())))).encode())
+    base = stream_location(spark, f'landing-{name:08x}')
+    ingest_exports(spark, path, base, keep, max_files_per_trigger, **options)
+    rows = spark.readStream.schema(export_schema(keep)).parquet(os.path.join(base, 'rows', 'batch=*'))
+    return rows.select('file', CREATED, f'`{RAW}`', *keep)
 
 
 def qa_stream(rows: DataFrame, mode: str = 'compat') -> DataFrame:
