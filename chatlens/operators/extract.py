@@ -31,6 +31,12 @@ CHAT_SCHEMA = T.StructType([T.StructField('messages', T.ArrayType(T.StructType([
     ]))),
 ])))])
 
+# Of the flat form: how many keys one conversation is spread over at most (in
+# words of 64 bits), and how many turn numbers in a row share a key.
+SALT_WORDS = 4
+SALT_BUCKETS = 64 * SALT_WORDS
+SALT_SPAN = 256
+
 # The fallback patterns for exports whose JSON does not decode,
 # in both spellings (quotes doubled as inside a CSV field, and plain). `(?d)`
 # makes `.` stop at \n only, as in Python.
@@ -56,55 +62,74 @@ def _answer_or_sentinel(c: Column) -> Column:
 # --------------------------------------------------------------------------- flat
 
 
+def _salt(turn: Column, span: int, buckets: int) -> Column:
+    """The bucket of a turn: `span` turn numbers in a row share one, and the
+    buckets follow each other in hashed order."""
+    return F.pmod(F.xxhash64(F.floor(turn / span)), F.lit(buckets)).cast('int')
+
+
 def extract_qa_flat(messages: DataFrame, id_col: str = 'conv_id', turn_col: str = 'turn',
                     role_col: str = 'role', text_col: str = 'text',
-                    created_col: str | None = 'created', salt_buckets: int = 8,
-                    answers: bool = True) -> DataFrame:
+                    created_col: str | None = 'created', salt_buckets: int = SALT_BUCKETS,
+                    answers: bool = True, span: int = SALT_SPAN) -> DataFrame:
     """Flat form of the extraction.
 
     question = lowest-turn user message with non-empty text;
     answer   = lowest-turn assistant message after it (its text, or the
                sentinel when it is empty or missing).
 
-    Plan: (1) per conversation `min(turn)` and `min_by` of text/time over
-    valid user rows, combined map-side, so only one partial row per
-    conversation and task is shuffled; (2) each question row, replicated once
-    per salt, left-joins the assistant rows on (id, salt) with
-    `turn > q_turn` in the join condition - the salt spreads a conversation
-    holding a large share of all rows over `salt_buckets` tasks; (3) one
-    aggregate per conversation takes the question (carried by salt copy 0
-    only, so the replication does not multiply the text) and `min_by(text,
-    turn)` over the matched assistant rows, combined map-side. The input is
-    read twice and there is no final join.
-
-    The salt is a hash of the turn, not the turn modulo the bucket count:
-    in an alternating conversation all assistant turns share one parity,
-    which would leave half of the buckets empty. `turn` may be any orderable
-    numeric type (the segment merge uses a decimal key).
-
-    Without `answers` only step (1) runs and `Antwort` is NULL: enough for
-    every analysis of the questions, and it never touches assistant text.
-    `q_turn` comes along, from which `fetch_answers` finds the answers of a
-    page of questions later.
+    Plan: (1) one aggregate per conversation, combined map-side: `min(turn)`
+    and `min_by` of text/time over valid user rows, and a bit set of the salts
+    that its assistant rows have; (2) the question row, once per salt in that
+    set, meets the assistant rows on (id, salt) with `turn > q_turn` in the
+    join condition; (3) one aggregate per conversation takes the question
+    (carried by one copy only) and `min_by(text, turn)` over the matched
+    assistant rows, combined map-side. The input is read twice and there is
+    no final join.
+
+    `span` turn numbers in a row share a salt, so a conversation of ordinary
+    length has one copy, and one that holds a third of all rows is spread over
+    `salt_buckets` (at most 256) keys; nothing is copied to salts that a
+    conversation does not have. `turn` may be any orderable numeric type (the
+    segment merge uses a decimal key).
+
+    Without `answers` only the question part of step (1) runs and `Antwort` is
+    NULL: enough for every analysis of the questions, and it never touches
+    assistant text. `q_turn` comes along, from which `fetch_answers` finds the
+    answers of a page of questions later.
     """
     created = F.col(created_col) if created_col else F.lit(None).cast('timestamp_ntz')
     m = messages.select(F.col(id_col).alias('id'), F.col(turn_col).alias('turn'),
                         F.col(role_col).alias('role'), F.col(text_col).alias('text'),
                         created.alias('Datetime'))
-    q = (m.filter((F.col('role') == 'user') & (F.length('text') > 0))
-         .groupBy('id').agg(F.min('turn').alias('q_turn'),
-                            F.min_by('text', 'turn').alias('Frage'),
-                            F.min_by('Datetime', 'turn').alias('Datetime')))
+    asks = (F.col('role') == 'user') & (F.length('text') > 0)
     if not answers:
+        q = m.filter(asks).groupBy('id').agg(F.min('turn').alias('q_turn'), F.min_by('text', 'turn').alias('Frage'),
+                                             F.min_by('Datetime', 'turn').alias('Datetime'))
         return q.select('id', 'Datetime', 'Frage', F.lit(None).cast('string').alias('Antwort'), 'q_turn')
-    salts = F.explode(F.sequence(F.lit(0), F.lit(max(salt_buckets, 1) - 1)))
-    first_copy = F.col('salt') == 0
-    qs = (q.select('id', 'q_turn', 'Frage', 'Datetime', salts.alias('salt'))
+    buckets = min(max(salt_buckets, 1), 64 * SALT_WORDS)
+    words = -(-buckets // 64)
+    answer = F.col('role') == 'assistant'
+    salt = _salt(F.col('turn'), span, buckets)
+    rows = m.filter((F.col('role') == 'user') | answer).select(
+        'id', F.when(asks, F.col('turn')).alias('q_turn'), F.when(asks, F.col('text')).alias('Frage'),
+        F.when(asks, F.col('Datetime')).alias('Datetime'), F.when(answer, salt).alias('salt'))
+    held = [F.expr(f'bit_or(CASE WHEN salt div 64 = {w} THEN shiftleft(1L, salt % 64) END)').alias(f'salts{w}')
+            for w in range(words)]
+    q = rows.groupBy('id').agg(F.min('q_turn').alias('q_turn'), F.min_by('Frage', 'q_turn').alias('Frage'),
+                               F.min_by('Datetime', 'q_turn').alias('Datetime'),
+                               F.min('salt').alias('lo'), F.max('salt').alias('hi'), *held)
+    sets = ', '.join(f'coalesce(salts{w}, 0L)' for w in range(words))
+    # most conversations have one salt
+    salts = F.expr(f'CASE WHEN lo = hi THEN array(lo) WHEN lo < hi THEN filter(sequence(0, {buckets - 1}), '
+                   f's -> getbit(array({sets})[s div 64], s % 64) = 1) END')
+    first_copy = F.col('pos') == 0
+    qs = (q.filter(F.col('q_turn').isNotNull()).select('id', 'q_turn', 'Frage', 'Datetime', F.posexplode_outer(salts).alias('pos', 'salt'))
+          .withColumn('pos', F.coalesce('pos', F.lit(0)))
           .select('id', 'q_turn', 'salt', F.when(first_copy, F.col('Frage')).alias('Frage'),
                   F.when(first_copy, F.col('Datetime')).alias('Datetime')))
-    asst = m.filter(F.col('role') == 'assistant').select(
-        F.col('id').alias('a_id'), F.col('turn').alias('a_turn'), F.col('text').alias('a_text'),
-        F.pmod(F.xxhash64('turn'), F.lit(max(salt_buckets, 1))).cast('int').alias('a_salt'))
+    asst = m.filter(answer).select(F.col('id').alias('a_id'), F.col('turn').alias('a_turn'), F.col('text').alias('a_text'),
+                                   salt.alias('a_salt'))
     on = (qs['id'] == asst['a_id']) & (qs['salt'] == asst['a_salt']) & (asst['a_turn'] > qs['q_turn'])
     pairs = qs.join(asst, on, 'left').groupBy('id').agg(
         F.any_value('Frage', True).alias('Frage'), F.any_value('Datetime', True).alias('Datetime'),
@@ -297,7 +322,7 @@ def _segment_candidates(rq: Column, ra: Column) -> Column:
 
 def extract_qa_segments(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col: str = 'id',
                         segment_col: str = 'segment', datetime_col: str = 'Datetime',
-                        mode: str = 'compat', salt_buckets: int = 8) -> DataFrame:
+                        mode: str = 'compat', salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """Question/answer from a conversation cut into JSON segments.
 
     Each row holds one segment (`segment_col` orders the segments of a
