@@ -17,11 +17,13 @@ Three entry points, one result shape `(id, Datetime, Frage, Antwort)`:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dictionaries as D
+from ..session import stored
 
 CHAT_SCHEMA = T.StructType([T.StructField('messages', T.ArrayType(T.StructType([
     T.StructField('role', T.StringType()),
@@ -142,10 +144,11 @@ def fetch_answers(cut: DataFrame, messages: DataFrame, id_col: str = 'conv_id',
     """`cut` with `Antwort` filled in and without `q_turn`.
 
     `cut` is a page of questions (`extract_qa_flat(..., answers=False)`, cut
-    by a limit). Its ids and turns, at most as many as the limit, are
-    broadcast to the assistant rows, so only those conversations' answers are
-    shuffled, one per conversation and task.
+    by a limit). It is found once and stored, at most as many rows as the
+    limit; its ids and turns are broadcast to the assistant rows, so only
+    those conversations' answers are shuffled, one per conversation and task.
     """
+    cut = stored(cut, 'page')
     page = F.broadcast(cut.select(F.col('id').alias('_id'), F.col('q_turn').alias('_q')))
     asst = messages.filter(F.col(role_col) == 'assistant').select(
         F.col(id_col).alias('_a_id'), F.col(turn_col).alias('_a_turn'), F.col(text_col).alias('_a_text'))
@@ -337,6 +340,11 @@ def extract_qa_segments(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col:
     the regex fallback included. With several, the fallback applies to each
     segment whose JSON does not decode, its question at the segment's start.
     `Datetime` comes from the question's segment.
+
+    Both inputs of the merge need the candidates (at most three per segment),
+    so they are persisted when the result is first asked for: the rows are
+    scanned and decoded once, and a lost executor's share is decoded again.
+    `spark.catalog.clearCache()` lets go of them.
     """
     msgs, ok = _decode_mode(F.col(raw_col), mode)
     staged = _with_positions(rows.select(
@@ -346,5 +354,7 @@ def extract_qa_segments(rows: DataFrame, raw_col: str = 'Raw Chat Data', id_col:
     cands = staged.select('id', '_seg', 'Datetime', F.inline(_segment_candidates(rq, ra)))
     key = (F.col('_seg').cast('decimal(20,0)') * F.lit(_SEGMENT_SHIFT).cast('decimal(11,0)')
            + F.col('pos')).cast('decimal(38,0)')
-    flat = cands.select('id', key.alias('turn'), 'role', 'text', 'Datetime')
-    return extract_qa_flat(flat, id_col='id', created_col='Datetime', salt_buckets=salt_buckets)
+    # both inputs of the merge read the candidates, decoded once
+    flat = cands.select('id', key.alias('turn'), 'role', 'text', 'Datetime').persist(StorageLevel.MEMORY_AND_DISK)
+    return extract_qa_flat(flat, id_col='id', created_col='Datetime', salt_buckets=salt_buckets,
+                           span=SALT_SPAN * _SEGMENT_SHIFT)

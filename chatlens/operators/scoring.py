@@ -14,16 +14,17 @@ from __future__ import annotations
 
 import sys
 import time
+import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dictionaries as D
 from ..functions.classify import category_from_hits, sentiment_from_hits
 from ..functions.matcher import list_hits
-from ..session import materialize
+from ..session import materialize, stored
 
 # The first flat {...} in the reply is the verdict.
 VERDICT = r'\{[^{}]*\}'
@@ -103,6 +104,90 @@ def score_messages(df: DataFrame, scorer=None, scorer_factory=None, text_col: st
     return parse_verdicts(scored, keep, dicts, matcher)
 
 
+def _retry_alone(score, rows, max_retries: int, sleep):
+    """[(reply, error)] for (text, role, prompt) rows, called together. Rows
+    that the model refuses for rate reasons are tried again, without the
+    others; any other failure of a row is final. A call that fails as a whole
+    fails each of its rows in that way."""
+    out: list = [(None, 'no attempt')] * len(rows)
+    left = list(range(len(rows)))
+    for attempt in range(max_retries):
+        try:
+            replies = list(score(*(list(c) for c in zip(*(rows[i] for i in left)))))
+            if len(replies) != len(left):
+                raise ValueError(f'{len(replies)} replies to {len(left)} messages')
+        except Exception as e:  # noqa: BLE001 - any failure falls back to rules
+            replies = [e] * len(left)
+        again = []
+        for i, r in zip(left, replies):
+            if isinstance(r, BaseException):
+                out[i] = None, f'{type(r).__name__}: {r}'
+                again += [i] if is_rate_limit(r) else []
+            else:
+                out[i] = r, None
+        left = again
+        if not left or attempt == max_retries - 1:
+            break
+        if sleep is not None:
+            sleep(2 ** attempt)
+    return out
+
+
+def _score_in_batches(batches, make, size, max_retries, sleep):
+    score = make()
+    for pdf in batches:
+        rows = list(zip(pdf['_text'], pdf['_role'], pdf['_prompt']))
+        out = []
+        for i in range(0, len(rows), size):
+            out += _retry_alone(score, rows[i:i + size], max_retries, sleep)
+        pdf = pdf[['_key']].copy()
+        pdf['reply'] = [o[0] for o in out]
+        pdf['error'] = [o[1] for o in out]
+        yield pdf
+
+
+def message_key(text: str, role: str) -> Column:
+    """Identity of what the model is asked: text and role, NULL as empty."""
+    t, r = (F.coalesce(F.col(c), F.lit('')) for c in (text, role))
+    return F.md5(F.concat(F.char_length(r).cast('string'), F.lit(':'), r, t).cast('binary'))
+
+
+def score_with_store(df: DataFrame, score_factory, store: str, text_col: str = 'text', role_col: str = 'role',
+                     keep: tuple[str, ...] = (), batch_size: int = 32, max_retries: int = 3, sleep=time.sleep,
+                     partitions: int | None = None, dicts: D.Dictionaries = D.DEFAULT, matcher: str = 'aho') -> DataFrame:
+    """As `score_messages`, with the messages in batches and the replies kept.
+
+    `score_factory()` builds, once per task, a callable
+    `score(texts, roles, prompts) -> replies`: a reply text, or an exception in
+    its place, for each message. Only distinct messages (text and role) that
+    the table `store` has no reply to are sent, at most `batch_size` at a
+    time; a refusal for rate reasons is retried for the refused messages
+    alone. Replies are added to `store` by this call, failures are not, so the
+    next call with the same store asks for those only, and a call whose
+    messages are all known asks for nothing. NULL and empty texts are answered
+    by the rules.
+    """
+    spark = df.sparkSession
+    kept_schema = '_key string, reply string, error string'
+    spark.createDataFrame([], kept_schema).write.mode('ignore').parquet(f'{store}/run=0')
+    staged = df.select(*keep, F.col(text_col).alias('_text'), F.col(role_col).alias('_role'),
+                       message_key(text_col, role_col).alias('_key'))
+    known = spark.read.schema(kept_schema).parquet(store).select('_key', 'reply', 'error')
+    open_ = (staged.filter(F.length('_text') > 0).dropDuplicates(['_key']).join(known, '_key', 'left_anti')
+             .select('_key', '_text', '_role', F.format_string(
+                 D.PROMPT_TEMPLATE, '_text', F.coalesce('_role', F.lit(''))).alias('_prompt')))
+    if partitions:
+        open_ = open_.repartition(partitions, '_key')
+    run = uuid.uuid4().hex
+    asked = stored(open_.mapInPandas(
+        lambda it: _score_in_batches(it, score_factory, batch_size, max_retries, sleep), kept_schema), 'replies')
+    asked.filter('error IS NULL AND reply IS NOT NULL').write.parquet(f'{store}/run={run}')
+    replies = (spark.read.schema(kept_schema).parquet(store).select('_key', 'reply', 'error').dropDuplicates(['_key'])
+               .unionByName(asked.filter('error IS NOT NULL OR reply IS NULL')))
+    scored = staged.join(replies, '_key', 'left').drop('_key')
+    return parse_verdicts(scored, keep, dicts, matcher)
+
+
 def parse_verdicts(scored: DataFrame, keep=(), dicts: D.Dictionaries = D.DEFAULT,
                    matcher: str = 'aho') -> DataFrame:
     """Reply -> labels (I5, I6), in Spark columns.
@@ -148,3 +233,32 @@ def fixture_scorer(prompt, text, role):
     if k == 4:
         return '{bad}'
     raise RuntimeError('connection reset')
+
+
+class FixtureBatchScorer:
+    """Stand-in batch model: reads message and sender out of the prompt, and
+    replies by the message's length, one kind of reply or failure for each
+    remainder. Messages of remainder 3 are refused once and then answered."""
+
+    def __init__(self):
+        self.refused = set()
+
+    def _one(self, prompt):
+        text = prompt.split('<<', 1)[1].rsplit('>>', 1)[0]
+        role = prompt.split('Absender: ', 1)[1].split('\n', 1)[0]
+        k = len(text) % 6
+        if k == 0:
+            return f'{{"kategorie": "neutral", "sentiment": "{"positiv" if role == "user" else "negativ"}"}}'
+        if k == 1:
+            return 'Ergebnis: {"kategorie": "essen/fleisch"} fertig'
+        if k == 2:
+            return 'Keine Einordnung möglich.'
+        if k == 3 and prompt not in self.refused:
+            self.refused.add(prompt)
+            return RateLimitError('429 Too Many Requests')
+        if k == 3:
+            return '{"kategorie": "aggressiv", "sentiment": "positiv"}'
+        return '{bad}' if k == 4 else RuntimeError('connection reset')
+
+    def __call__(self, texts, roles, prompts):
+        return [self._one(p) for p in prompts]

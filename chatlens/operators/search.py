@@ -50,7 +50,8 @@ def search_questions(qa: DataFrame, term: str = '', start=None, end=None, litera
     """
     hits = search_filter(qa, term, start, end, literal).orderBy('Datetime', 'id').limit(page)
     if messages is not None:
-        hits = fetch_answers(hits, messages)
+        # the page is found and stored by this call; in order again behind the join
+        hits = fetch_answers(hits, messages).orderBy('Datetime', 'id').limit(page)
     return (hits
             .select('id', 'Datum', fmt_time('Datetime').alias('Uhrzeit'), 'Wochentag',
                     'Fragenlänge_Zeichen', 'Kategorie',

@@ -27,7 +27,7 @@ from ..operators.extract import extract_qa_flat, extract_qa_segments
 from ..operators.features import add_features, qa_table
 from ..operators.messages import latest_messages as _latest
 from ..operators.overview import overview_metrics as _overview
-from ..operators.scoring import fixture_scorer, score_messages
+from ..operators.scoring import FixtureBatchScorer, fixture_scorer, score_messages, score_with_store
 from ..operators.search import search_count as _search_count
 from ..operators.search import search_questions as _search_questions
 from ..session import checkpoint_root
@@ -288,6 +288,24 @@ def q_scored_messages(spark, d):
                           sleep=None)
 
 
+def q_scored_batches(spark, d):
+    """I3-I7 in batches with kept replies: the users' messages are scored
+    first, then all, by the same store."""
+    store = os.path.join(checkpoint_root(spark), 'scores', uuid.uuid4().hex)
+    msgs = messages(spark, d)
+    for part in (msgs.filter("role = 'user'"), msgs):
+        out = score_with_store(part, FixtureBatchScorer, store, keep=('conv_id', 'turn'), sleep=None)
+    return out
+
+
+def q_classify_dirty_messages(spark, d):
+    """NULL, empty, blank, all-digit and short texts among the messages."""
+    k = F.pmod(F.col('conv_id') + F.col('turn'), F.lit(6))
+    text = (F.when(k == 0, F.lit(None).cast('string')).when(k == 1, '').when(k == 2, ' \t ').when(k == 3, '4711001')
+            .when(k == 4, ' top ').otherwise(F.col('text')))
+    return C.classify_rule_based(messages(spark, d).withColumn('text', text), keep=('conv_id', 'turn', 'datetime'))
+
+
 def q_document_keywords(spark, d):
     docs = documents(spark, d)
     return _ranked(K.top_keywords(docs, TOP_KEYWORDS, text_col='text', order_cols=('doc_id',)))
@@ -429,6 +447,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'filter_choices': q_filter_choices,
     'sentiment_timeline': q_sentiment_timeline,
     'scored_messages': q_scored_messages,
+    'scored_batches': q_scored_batches,
+    'classify_dirty_messages': q_classify_dirty_messages,
     'document_keywords': q_document_keywords,
     'document_classification': q_document_classification,
     'document_topic_counts': q_document_topic_counts,

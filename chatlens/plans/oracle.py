@@ -296,6 +296,18 @@ UNION SELECT DISTINCT 'sentiment', sentiment FROM cls"""
        ELSE sentiment END AS sentiment,
   CASE WHEN length(frage) % 6 < 3 THEN 'modell' ELSE 'regel' END AS quelle
 FROM cls"""
+    sql['scored_batches'] = BASE_CLS + """SELECT conv_id, turn, frage, rolle,
+  CASE length(frage) % 6 WHEN 0 THEN 'neutral' WHEN 1 THEN 'essen/fleisch' WHEN 2 THEN 'anderes'
+       WHEN 3 THEN 'aggressiv' ELSE kategorie END AS kategorie,
+  CASE length(frage) % 6 WHEN 0 THEN CASE WHEN rolle = 'user' THEN 'positiv' ELSE 'negativ' END WHEN 1 THEN 'neutral'
+       WHEN 2 THEN 'neutral' WHEN 3 THEN 'positiv' ELSE sentiment END AS sentiment,
+  CASE WHEN length(frage) % 6 < 4 THEN 'modell' ELSE 'regel' END AS quelle
+FROM cls"""
+    sql['classify_dirty_messages'] = f"""WITH {FX},
+msg AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' || chr(9) || ' '
+               WHEN 3 THEN '4711001' WHEN 4 THEN ' top ' ELSE text END AS text, role, created AS datetime FROM fx),
+{CLASSIFIED}
+SELECT conv_id, turn, datetime, frage, rolle, kategorie, sentiment FROM cls"""
     dkw = keywords('documents', 'text', ['doc_id'], Q.TOP_KEYWORDS)
     sql['document_keywords'] = 'WITH ' + dkw + """
 SELECT CAST(row_number() OVER (ORDER BY n DESC, doc_id, pos) AS INTEGER) AS "Rang",

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -80,3 +81,29 @@ def materialize(df, eager: bool = True):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def stored(df, name: str):
+    """`df` written once to shared Parquet and read back, for results that a
+    plan uses more than once. The folders of one application lie together, and
+    `clear_stored` deletes them."""
+    spark = df.sparkSession
+    path = os.path.join(_stored_root(spark), f'{name}-{uuid.uuid4().hex}')
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> bool:
+    """Delete what this application has stored with `stored` and
+    the training-data operators' tables; frames that read them end with it.
+    Returns whether there was anything."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    app, found = spark.sparkContext.applicationId, False
+    for folder in (_stored_root(spark), os.path.join(checkpoint_root(spark), 'llm', app)):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found |= path.getFileSystem(conf).delete(path, True)
+    return found
+
+
+def _stored_root(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_root(spark), 'stored', spark.sparkContext.applicationId)

@@ -99,3 +99,78 @@ def test_model_called_once_per_message(spark, tmp_path):
     out.collect()
     with open(log) as f:
         assert sum(1 for _ in f) == 120
+
+
+class Counting:
+    """Batch scorer that notes each call in a folder (workers are processes)."""
+
+    def __init__(self, folder, fail=()):
+        self.folder, self.fail, self.tries = folder, fail, {}
+
+    def __call__(self, texts, roles, prompts):
+        import uuid
+        with open(os.path.join(self.folder, uuid.uuid4().hex), 'w') as f:
+            f.write('\n'.join(texts))
+        out = []
+        for t, p in zip(texts, prompts):
+            assert f'<<{t}>>' in p
+            n = self.tries[t] = self.tries.get(t, 0) + 1
+            if t == 'langsam' and n < 3:
+                out.append(RateLimitError('429'))
+            elif t in self.fail:
+                out.append(RuntimeError('kaputt'))
+            else:
+                out.append('{"kategorie": "neutral", "sentiment": "negativ"}')
+        return out
+
+
+def calls(folder):
+    got = [open(os.path.join(folder, f)).read().split('\n') for f in os.listdir(folder)]
+    for f in os.listdir(folder):
+        os.remove(os.path.join(folder, f))
+    return sorted(map(tuple, got))
+
+
+def test_store_asks_once_and_retries_alone(spark, tmp_path):
+    """Repeated messages are asked once, refused ones again by themselves, a
+    failed one in the next run only, and known ones never."""
+    from chatlens.operators.scoring import score_with_store
+
+    folder, store = str(tmp_path / 'calls'), str(tmp_path / 'store')
+    os.makedirs(folder)
+    rows = [(i, t, r) for i, (t, r) in enumerate([
+        ('gut so', 'user'), ('gut so', 'user'), ('gut so', 'assistant'), ('langsam', 'user'), ('schlecht', 'user'),
+        ('', 'user'), (None, 'user'), ('ohne Rolle', None)])]
+    df = spark.createDataFrame(rows, 'i int, text string, role string').coalesce(1)
+
+    def run(fail=()):
+        out = score_with_store(df, lambda: Counting(folder, fail), store, keep=('i',), sleep=None, partitions=1)
+        return {r.i: (r.frage, r.kategorie, r.sentiment, r.quelle) for r in out.collect()}
+
+    model = ('neutral', 'negativ', 'modell')
+    first = run(('schlecht',))
+    assert first[0] == first[1] == ('gut so', *model) and first[2] == first[0] and first[3] == ('langsam', *model)
+    assert first[4][::3] == ('schlecht', 'regel') and first[7] == ('ohne Rolle', *model)
+    assert first[5] == ('', 'anderes', 'neutral', 'regel') == first[6]
+    asked = calls(folder)
+    assert sorted(len(c) for c in asked) == [1, 1, 5] and [c for c in asked if len(c) == 1] == [('langsam',)] * 2
+    assert run()[4] == ('schlecht', *model) and calls(folder) == [('schlecht',)]
+    assert run()[0] == first[0] and calls(folder) == []
+
+
+def test_batches_are_bounded_and_a_failing_call_fails_its_rows():
+    from chatlens.operators.scoring import _retry_alone
+
+    rows = [(str(i), 'user', 'p') for i in range(3)]
+
+    def broken(texts, roles, prompts):
+        raise ValueError('boom')
+
+    assert [e for _, e in _retry_alone(broken, rows, 3, None)] == ['ValueError: boom'] * 3
+    assert [e for _, e in _retry_alone(lambda t, r, p: ['x'], rows, 3, None)] == ['ValueError: 1 replies to 3 messages'] * 3
+    waits = []
+
+    def limited(texts, roles, prompts):
+        raise RateLimitError('429')
+
+    assert all('429' in e for _, e in _retry_alone(limited, rows, 3, waits.append)) and waits == [1, 2]
