@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line of at least `MIN_WORDS` words is dropped if an earlier line (by document
-id, then text hash, then line number) has the same words or differs by one
-word inserted, deleted or replaced. Shorter lines stay: one word in five is the
-most that may differ.
+A line with a word, however short, is dropped if an earlier line (by document
+id, then text hash, then line number) has the same words; one of at least
+`MIN_WORDS` words also if an earlier one of that length differs by one word
+inserted, deleted or replaced: one word in five is the most that may differ.
 
 Every distinct line that can have such a neighbour emits the hash of each
 variant with one word deleted, and its own hash. Two lines within one word
@@ -18,6 +18,11 @@ variants: of two lines within one word, the first or the last halves are equal,
 so a line whose half keys nobody shares has no neighbour. Word hashes are
 combined as polynomials modulo 2**64, so each variant costs one step.
 
+The verdict on a line travels back to its places. Lines with very many places
+(over 1 / HOT_LINES of all lines each, so there are fewer than HOT_LINES of
+them) are broadcast, and their places join nothing else; the others are joined
+by their hash.
+
 Edge cases: a null or empty text has no lines to drop; lines are split at
 "\\n" and words at white space; a row that is listed twice (same id and text) is
 one document and each listing gets the same result; null ids come first; an
@@ -39,6 +44,7 @@ from pyspark.sql import types as T
 from .common import let, scratch_table, text_groups
 
 MIN_WORDS = 5
+HOT_LINES, HOT_AT_LEAST = 20_000, 100
 _WORD = re.compile(r'[^\x20\x09-\x0d]+')
 _ODD = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -87,9 +93,9 @@ def _signed(x):
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, line, half keys) of every line of at least
-    MIN_WORDS words; `line` is the hash of its words. A document without such
-    a line has one row with a null line."""
+    """(doc_id, text_hash, line_no, line, half keys) of every line with a word;
+    `line` is the hash of its words, and only lines of MIN_WORDS words have
+    half keys. A document without such a line has one row with a null line."""
     src = docs.select('doc_id', F.xxhash64('text').alias('text_hash'), F.coalesce('text', F.lit('')).alias('text'))
     schema = T.StructType([src.schema['doc_id'], src.schema['text_hash'], T.StructField('line_no', T.IntegerType()),
                            T.StructField('line', T.LongType()), T.StructField('halves', T.ArrayType(T.LongType()))])
@@ -104,7 +110,7 @@ def lines(docs: DataFrame) -> DataFrame:
                     had = len(doc)
                     for k, line in enumerate(texts[i].split('\n')):
                         w = _WORD.findall(line)
-                        if len(w) >= MIN_WORDS:
+                        if w:
                             doc.append(i)
                             number.append(k)
                             begin.append(len(words))
@@ -117,12 +123,12 @@ def lines(docs: DataFrame) -> DataFrame:
                 # the halves as the shorter and as the longer of two lines
                 halves = [_mix(s.run(a, a + n // 2), 4 * (n // 2) + 1) for n in (m, m - 1)]
                 halves += [_mix(s.run(z - (n - n // 2), z), 4 * (n - n // 2) + 2) for n in (m, m - 1)]
-                at = np.array(doc, np.int64)
+                at, long = np.array(doc, np.int64), m >= MIN_WORDS
                 yield pa.record_batch([
                     b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(number, pa.int32()),
                     _signed(s.line(a, z)), pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, 4 * len(at) + 1, 4, dtype=np.int32)),
-                        _signed(np.stack(halves, axis=1).reshape(-1)))], names=schema.fieldNames())
+                        pa.array(np.concatenate(([0], np.cumsum(4 * long))).astype(np.int32)),
+                        _signed(np.stack(halves, axis=1)[long].reshape(-1)))], names=schema.fieldNames())
             at, n = pa.array(bare, pa.int64()), len(bare)
             yield pa.record_batch([
                 b.column(0).take(at), b.column(1).take(at), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()),
@@ -216,20 +222,26 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_lines, exact, near): per document the number of
-    its lines of MIN_WORDS words, and the line numbers dropped as repeats
+    its lines with a word, and the line numbers dropped as repeats
     (`exact`) and as near repeats (`near`) of earlier lines."""
     every = scratch_table(lines(docs), 'lines')
     rank = F.struct('doc_id', 'text_hash', 'line_no')
     first = scratch_table(every.filter('line IS NOT NULL').groupBy('line').agg(F.min(rank).alias('rank'), F.first('halves').alias('halves'),
                                                     F.count(F.lit(1)).alias('n')), 'line-first')
     near = near_lines(docs, first).select(F.col('line').alias('close'))
-    verdict = first.select('line', 'rank', 'n').join(near, F.col('line') == F.col('close'), 'left').select(
-        F.col('line').alias('of'), F.col('rank').alias('first'), F.col('close').isNotNull().alias('near'))
     # only lines with something to say travel back to the places
-    verdict = verdict.filter('near').select('of', 'first', 'near').unionByName(
-        first.filter('n > 1').select(F.col('line').alias('of'), F.col('rank').alias('first')).join(
-            near, F.col('of') == F.col('close'), 'left_anti').withColumn('near', F.lit(False)))
-    at = every.join(verdict, F.col('line') == F.col('of'), 'left')
+    verdict = scratch_table(first.select('line', 'rank', 'n').join(near, F.col('line') == F.col('close'), 'left').select(
+        F.col('line').alias('of'), F.col('rank').alias('first'), F.col('close').isNotNull().alias('near'), 'n')
+        .filter('near OR n > 1'), 'line-verdicts')
+    many = max(HOT_AT_LEAST, every.count() // HOT_LINES)
+    hot = verdict.filter(F.col('n') > many).select(F.col('of').alias('hot'), F.struct('first', 'near').alias('v'))
+    at = every.join(F.broadcast(hot), F.col('line') == F.col('hot'), 'left')
+    # places of hot lines have their verdict: any other key spreads them
+    at = at.withColumn('key', F.when(F.col('hot').isNull(), F.col('line')).otherwise(F.xxhash64('doc_id', 'text_hash', 'line_no')))
+    cold = verdict.filter(F.col('n') <= many).select('of', F.struct('first', 'near').alias('w'))
+    at = at.join(cold, (F.col('key') == F.col('of')) & F.col('hot').isNull(), 'left')
+    at = at.select('doc_id', 'text_hash', 'line_no', F.coalesce('v', 'w').alias('v')).select(
+        'doc_id', 'text_hash', 'line_no', 'v.first', 'v.near')
     exact = F.col('first').isNotNull() & (F.col('first') < rank)
     close = F.coalesce('near', F.lit(False)) & ~exact
     # a document that is listed twice has each line number twice

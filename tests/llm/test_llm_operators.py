@@ -250,10 +250,25 @@ def test_op4_reads_single_documents(spark):
     assert sorted(r.doc_id for r in one.collect()) == [17, 99] and rows.count() == docs.count()
 
 
+def word_distance(a, b):
+    """Edit distance of two word lists, cell by cell."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def may_be_near(a, b):
+    """Two lists one edit apart have all but one word in common."""
+    return sum((Counter(a) & Counter(b)).values()) >= max(len(a), len(b)) - 1
+
+
 def brute_lines(docs):
     """{(doc_id, text): (checked, exact, near)} by comparing every two lines."""
     places = sorted({(doc_id is not None, doc_id or 0, xxhash.xxh64_intdigest(t.encode(), 42) ^ (1 << 63), k, x)
-                     for doc_id, t, _ in docs for k, x in enumerate(t.split('\n')) if len(W.findall(x)) >= 5})
+                     for doc_id, t, _ in docs for k, x in enumerate(t.split('\n')) if W.search(x)})
     words = [W.findall(p[4]) for p in places]
     seen, uniq, out = {}, [], defaultdict(lambda: ([], []))
     for p, w in zip(places, words):
@@ -262,7 +277,9 @@ def brute_lines(docs):
             out[p[:3]][0].append(p[3])
             continue
         seen[key] = p
-        if any(line_dedup.within_one_word(' '.join(w), ' '.join(v)) for v in uniq if abs(len(v) - len(w)) < 2):
+        if len(w) < 5:
+            continue
+        if any(word_distance(w, v) < 2 for v in uniq if abs(len(v) - len(w)) < 2 and may_be_near(v, w)):
             out[p[:3]][1].append(p[3])
         uniq.append(w)
     # a later copy of a near line is an exact repeat
@@ -306,6 +323,20 @@ def test_op5_edits_and_templates(spark):
     assert got == want
 
 
+def test_op5_short_lines_and_hot_lines(spark, monkeypatch):
+    """Exact repeats of one word, of three, and of a line without spaces go;
+    lines that nearly every document holds are found like any other."""
+    monkeypatch.setattr(line_dedup, 'HOT_AT_LEAST', 20)
+    docs = [(i, f'Weiter\n这是一个没有空格的中文句子\nread it all\n- {i} -\nthis is line {i} of text', 's') for i in range(60)]
+    docs += [(100, 'Weiter\nWeiter\n}\n}\na b c d\na b c e', 's')]
+    df = spark.createDataFrame(docs, 'doc_id long, text string, source string')
+    got = {r.doc_id: (r.n_lines, r.exact, r.near) for r in line_dedup.dropped_lines(df).collect()}
+    assert got[0] == (5, [], []) and got[100] == (6, [0, 1, 3], [])
+    assert all(got[i] == (5, [0, 1, 2], [4]) for i in range(1, 60))
+    _, out = brute_lines(docs)
+    assert {k: v[1:] for k, v in got.items()} == {i: ([], []) for i, _, _ in docs} | {k[1]: v for k, v in out.items()}
+
+
 def brute_secrets(text):
     out = [(m.start(), 0, 'assign', m.end()) for m in re.finditer(
         r'([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|'
