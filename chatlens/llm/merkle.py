@@ -1,15 +1,20 @@
-"""Merkle fingerprints of documents: sections over paragraphs.
-
-A paragraph is a line with its line break, its node the 128-bit BLAKE2b of its
-bytes. A section ends at a blank line, and after any paragraph whose digest's
-first byte is a multiple of 8, so flat texts have sections too and an edit
-moves no border but its own. A section's node hashes its paragraphs' nodes, the
-root hashes the sections' nodes: equal roots mean equal texts, and walking
-down branches with different nodes finds the edited paragraphs.
-
-The likeness of two trees is the share of words below common nodes, where
-paragraphs that differ are resolved into phrases (runs of words that end after
-a word whose hash is a multiple of 4): 2 * common / (words of both).
+"""Merkle fingerprints of documents: sections over paragraphs over phrases.
+
+The leaves are phrases: runs of words with their white space that end behind a
+word whose hash is a multiple of 8, and with their line. A paragraph is a line
+with its line break. A section ends at a blank line, and after any paragraph
+whose node's first byte is a multiple of 8, so flat texts have sections too and
+an edit moves no border but its own. A leaf's node is the 128-bit BLAKE2b of
+its bytes, every other node hashes its children's nodes: equal roots mean equal
+texts, and walking down branches with different nodes finds the edits.
+
+A fingerprint is the root in hexadecimal, the number of words (white space in
+front of a line's first word counts as one), then the tree: sections joined by
+`;`, their paragraphs by `,`, their leaves by `.`; a leaf is 8 digits of its
+node and its number of words in hexadecimal. It is about a quarter as long as
+the text. `likeness` needs nothing else: sections that both trees have are common,
+the others are opened into paragraphs, and what then differs into leaves; it is
+2 * common words / (words of both), and less than 1 unless the roots are equal.
 
 Edge cases: a null text is an empty one (one empty paragraph); repeated rows
 have equal trees; documents with one id follow each other by their text; null
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +37,11 @@ from pyspark.sql import types as T
 
 from .common import ordered_block, scratch_table
 
-_PIECES = re.compile(rb'[^\x20\x09-\x0d]+[\x20\x09-\x0d]*|[\x20\x09-\x0d]+')
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int):
-    """Powers of an odd multiplier and of its inverse modulo 2**64, up to n."""
-    if len(_POWERS[0]) <= n:
-        m = 1 << (n + 1).bit_length()
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(m, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS
+#: A word with the white space behind it, at most up to its line's break; white
+#: space in front of a line's first word is a piece of its own.
+_PIECES = re.compile(rb'[^\x20\x09-\x0d]+[\x20\x09\x0b-\x0d]*\n?|[\x20\x09\x0b-\x0d]+\n?|\n')
+#: A phrase ends behind a word whose hash has these bits zero.
+PHRASE_BITS = 7
 
 
 def _node(parts: bytes) -> bytes:
@@ -53,44 +49,53 @@ def _node(parts: bytes) -> bytes:
 
 
 class Tree:
-    """Root, sections (node, first paragraph, end) and paragraph nodes of a
-    text, and its phrases as sorted (hash, words)."""
+    """Root, sections (node, first paragraph, end), paragraph nodes, and each
+    paragraph's leaves as written in a fingerprint."""
 
-    __slots__ = ('root', 'sections', 'paragraphs', 'phrases', 'words')
+    __slots__ = ('root', 'sections', 'paragraphs', 'leaves', 'words')
 
     def __init__(self, text: str):
         raw = text.encode('utf-8', 'surrogatepass')
-        lines = raw.split(b'\n')
-        lines[:-1] = [x + b'\n' for x in lines[:-1]]
-        self.paragraphs = [_node(x) for x in lines]
-        self.sections, first = [], 0
-        for i, (line, node) in enumerate(zip(lines, self.paragraphs), 1):
-            if i == len(lines) or not line.strip() or node[0] % 8 == 0:
-                self.sections.append((_node(b''.join(self.paragraphs[first:i])), first, i))
-                first = i
-        self.root = _node(b''.join(x for x, _, _ in self.sections))
         pieces = _PIECES.findall(raw)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces))
-        n = self.words = len(h)
-        up, down = _powers(n)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * down[:n], dtype=np.uint64)))
-        end = np.flatnonzero((h & np.uint64(3)) == 0) + 1
-        if n and (not len(end) or end[-1] != n):
-            end = np.append(end, n)
-        begin = np.concatenate((np.zeros(1, np.int64), end[:-1])) if n else end
-        size = end - begin
-        value = (total[end] - total[begin]) * up[begin] + size.astype(np.uint64)
-        key, at = np.unique(value, return_inverse=True)
-        self.phrases = key, np.bincount(at, size, len(key))
-
-    def likeness(self, other: Tree) -> float:
-        if self.root == other.root:
-            return 1.0
-        if not self.words + other.words:
-            return 0.0
-        _, a, b = np.intersect1d(self.phrases[0], other.phrases[0], assume_unique=True, return_indices=True)
-        common = np.minimum(self.phrases[1][a], other.phrases[1][b]).sum()
-        return min(1.0, float(2 * common / (self.words + other.words)))
+        n = self.words = len(pieces)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, n))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, n)
+        breaks = np.frombuffer(raw, np.uint8)[ends - 1] == 10
+        last = (h & np.uint64(PHRASE_BITS) == 0) | breaks
+        if n:
+            last[-1] = True
+        at = np.flatnonzero(last)
+        words = np.diff(at, prepend=-1).tolist()
+        self.sections, self.paragraphs, self.leaves = [], [], []
+        nodes, shown, opened, blank, start = [], [], 0, True, 0
+        for end, size, line_ends in zip(ends[at].tolist(), words, breaks[at].tolist()):
+            phrase = raw[start:end]
+            node = _node(phrase)
+            nodes.append(node)
+            shown.append(f'{node[:4].hex()}{size:x}')
+            blank = blank and phrase.isspace()
+            start = end
+            if line_ends:
+                opened = self._close(nodes, shown, blank, opened)
+                nodes, shown, blank = [], [], True
+        # the last line, empty behind a final line break, ends the last section
+        self._close(nodes, shown, True, opened)
+        self.root = _node(b''.join(x for x, _, _ in self.sections))
+
+    def _close(self, nodes, shown, blank, opened) -> int:
+        """Ends a paragraph, and its section if it is blank; the first
+        paragraph of the section that is open now."""
+        node = _node(b''.join(nodes))
+        self.paragraphs.append(node)
+        self.leaves.append('.'.join(shown))
+        if blank or node[0] % 8 == 0:
+            end = len(self.paragraphs)
+            self.sections.append((_node(b''.join(self.paragraphs[opened:end])), opened, end))
+            return end
+        return opened
+
+    def fingerprint(self) -> str:
+        return f'{self.root.hex()}:{self.words}:' + ';'.join(','.join(self.leaves[a:b]) for _, a, b in self.sections)
 
     def edits(self, other: Tree) -> list[int]:
         """Paragraphs of this text below sections that the other lacks and
@@ -100,6 +105,28 @@ class Tree:
                 for i in range(a, b) if self.paragraphs[i] not in nodes]
 
 
+def _words(leaves: str) -> int:
+    """Words of the leaves below a section or paragraph, or of one leaf."""
+    return sum(int(x[8:], 16) for x in leaves.replace(',', '.').split('.') if x)
+
+
+def likeness(one: str, two: str) -> float:
+    """Likeness of two fingerprints, from their common nodes alone."""
+    root, m, a = one.split(':')
+    other, n, b = two.split(':')
+    if root == other:
+        return 1.0
+    total, common = int(m) + int(n), 0
+    left, right = [a], [b]
+    for border in (';', ',', '.'):
+        mine, theirs = (Counter(y for x in side for y in x.split(border)) for side in (left, right))
+        for node, times in (mine & theirs).items():
+            common += times * _words(node)
+        left, right = list((mine - theirs).elements()), list((theirs - mine).elements())
+    # the same leaves in another order are not the same text
+    return min(2 * common, total - 1) / total if total else 0.0
+
+
 def merkle_nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, root, sections, paragraphs): every node of each document's tree
     in hexadecimal, for equality tests and for locating edits by joins."""
@@ -153,8 +180,9 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         h = len(text) // 2
         edited = text[:len(text) - h] + after[:h]
         t = Tree(edited)
+        shown = t.fingerprint()
         return (doc_id, len(text), hashlib.sha256(edited.encode('utf-8', 'surrogatepass')).hexdigest(),
-                tree.root.hex(), t.root.hex(), tree.likeness(t), tree.likeness(after_tree), len(tree.edits(t)))
+                tree[1], shown, likeness(tree[1], shown), likeness(tree[1], after_tree[1]), len(tree[0].edits(t)))
 
     def walk(batches):
         held = None  # the document that waits for its next one
@@ -164,6 +192,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
                 if guest and block == done:
                     continue
                 tree = Tree(text)
+                tree = tree, tree.fingerprint()
                 if held is not None:
                     out.append(compare(*held, text, tree))
                 held, done = (None, block) if guest else ((doc_id, text, tree), done)

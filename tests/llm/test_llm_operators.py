@@ -548,6 +548,39 @@ def test_op9_reliabilities():
     assert rate[0][1][1] > 0.9 and abs(rate[4][1][1] - 0.5) < 0.06
 
 
+def brute_tree(text):
+    """Fingerprint of a text, and the nodes of its tree, built node by node."""
+    def node(x):
+        return hashlib.blake2b(x, digest_size=16).digest()
+
+    sections, paragraphs = [[]], []
+    for line in re.findall(rb'[^\n]*\n|[^\n]+$|\Z', text.encode())[:text.count('\n') + 1]:
+        leaves, held = [], []
+        for word in re.findall(rb'[^\x20\x09-\x0d]+[\x20\x09-\x0d]*|[\x20\x09-\x0d]+', line):
+            held.append(word)
+            if xxhash.xxh64_intdigest(word) % 8 == 0:
+                leaves, held = leaves + [held], []
+        leaves = [(node(b''.join(x)), len(x)) for x in (leaves + [held] if held else leaves)]
+        paragraphs.append(node(b''.join(x for x, _ in leaves)))
+        sections[-1].append((paragraphs[-1], leaves))
+        if not line.strip(b' \t\n\v\f\r') or paragraphs[-1][0] % 8 == 0:
+            sections.append([])
+    sections = [x for x in sections if x]
+    nodes = [node(b''.join(x for x, _ in s)) for s in sections]
+    shown = ';'.join(','.join('.'.join(f'{x[:4].hex()}{n:x}' for x, n in leaves) for _, leaves in s) for s in sections)
+    every = [x for s in sections for _, leaves in s for x in leaves]
+    root = node(b''.join(nodes)).hex()
+    return f'{root}:{sum(n for _, n in every)}:{shown}', root, [x.hex() for x in nodes], [x.hex() for x in paragraphs], Counter(every)
+
+
+def brute_likeness(one, two):
+    """By the leaves' whole nodes, all at once."""
+    if one[1] == two[1]:
+        return 1.0
+    total = sum(n * k for (_, n), k in (one[4] + two[4]).items())
+    return min(2 * sum(n * k for (_, n), k in (one[4] & two[4]).items()), total - 1) / total
+
+
 def test_op10_merkle(spark, case):
     d, docs = case
     order = sorted(docs, key=lambda r: r[1].encode())
@@ -557,16 +590,39 @@ def test_op10_merkle(spark, case):
     for (doc_id, t, _), (_, nxt, _) in zip(order, order[1:] + order[:1]):
         h = len(t) // 2
         e = t[:len(t) - h] + nxt[:h]
-        a, b = merkle.Tree(t), merkle.Tree(e)
-        want[doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), a.root.hex(), b.root.hex(),
-             a.likeness(b), a.likeness(merkle.Tree(nxt))] += 1
+        a, b, c = brute_tree(t), brute_tree(e), brute_tree(nxt)
+        want[doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), a[0], b[0], brute_likeness(a, b),
+             brute_likeness(a, c)] += 1
     assert many(r[:7] for r in got) == want
     assert all((r.near_edited == 1) == (r.fingerprint == r.edited_fingerprint) for r in got)
+    assert all(r.near_edited == merkle.likeness(r.fingerprint, r.edited_fingerprint) for r in got)
+
+
+def test_op10_nodes(spark):
+    rng = np.random.default_rng(8)
+    parts = ['a', 'bb ', 'é', ' ', '\n', '\n\n', '\r\n', '\t', 'word ', 'x y z ', '🙂\n', '\x0b', '\u2028', '\x1c']
+    texts = [''.join(rng.choice(parts, rng.integers(0, 60))) for _ in range(500)]
+    df = spark.createDataFrame([*enumerate(texts), (500, None)], 'doc_id long, text string')
+    got = {r.doc_id: tuple(r[1:]) for r in merkle.merkle_nodes(df).collect()}
+    assert got == {i: brute_tree(t)[1:4] for i, t in enumerate([*texts, ''])}
+    for t, u in zip(texts, texts[1:]):
+        for one, two in ((t, u), (t + u, u + t), (t, t + 'x')):
+            assert merkle.likeness(merkle.Tree(one).fingerprint(), merkle.Tree(two).fingerprint()) == brute_likeness(
+                brute_tree(one), brute_tree(two))
 
 
 def test_op10_locates_edits():
     text = '\n'.join(f'paragraph number {i} of this text' for i in range(50))
     other = text.replace('number 17', 'number seventeen')
     a, b = merkle.Tree(text), merkle.Tree(other)
-    assert a.edits(b) == [17] and a.root != b.root and 0.9 < a.likeness(b) < 1
+    assert a.edits(b) == [17] and a.root != b.root and 0.9 < merkle.likeness(a.fingerprint(), b.fingerprint()) < 1
     assert merkle.Tree(text).root == a.root and a.edits(merkle.Tree(text)) == []
+
+
+def test_op10_edit_in_one_paragraph():
+    """A word of 200 in a text without line breaks leaves most leaves common."""
+    words = [f'w{i * 7919 % 1009}' for i in range(200)]
+    a = merkle.Tree(' '.join(words)).fingerprint()
+    for at in range(0, 200, 10):
+        b = merkle.Tree(' '.join(words[:at] + ['edited'] + words[at + 1:])).fingerprint()
+        assert 0.8 < merkle.likeness(a, b) < 1
