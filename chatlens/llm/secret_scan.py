@@ -26,6 +26,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,12 +69,22 @@ def strong_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak_parts(text: str, strong) -> list[tuple[str, int, int]]:
-    """Identifiers, opaque tokens and endpoints beside the strong findings."""
+    """Identifiers, opaque tokens and endpoints beside the strong findings
+    (which are in order of their start)."""
     found = [('identifier', *m.span()) for m in IDENTIFIER.finditer(text)]
     if '.' in text or '://' in text:
         found += [('endpoint', *m.span()) for m in ENDPOINT.finditer(text)]
     found += [('opaque', *m.span()) for m in OPAQUE.finditer(text) if _entropy(m[0]) >= MIN_ENTROPY]
-    return [x for x in found if not any(a < x[2] and x[1] < b for _, a, b in strong)]
+    if not found or not strong:
+        return found
+    # the furthest end of the strong spans that begin before a part's end
+    starts, ends = [a for _, a, _ in strong], list(accumulate((b for _, _, b in strong), max))
+
+    def beside(x):
+        at = bisect_left(starts, x[2])
+        return not at or ends[at - 1] <= x[1]
+
+    return [x for x in found if beside(x)]
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField('kind', T.StringType()), T.StructField('start', T.IntegerType()),
