@@ -16,6 +16,8 @@ rows whatever the corpus; only these counts reach the driver.
 
 Patterns start at the previous match's end or at a run's first character and
 do not give characters back, which finds the same matches in linear time.
+Places are running sums and overlaps running maxima over the sorted spans, so
+the work on a text's n spans grows as n log n.
 
 Edge cases: a null or empty text has no findings; repeated rows and equal ids
 are reported row by row; an empty table gives no rows; other columns are not
@@ -49,6 +51,8 @@ CUES = (r'(?iu)\b(?:e-?mail|mail|correo|courriel|tel|phone|call|fax|mobile|telef
 DECOYS = (r'(?iu)\b(?:version|v|release|isbn|issn|doi|page|seite|página|fig|table|chapter|section|no|nr|item|sku|'
           r'order|licen[sc]e|rfc|iso)\W{0,3}$')
 WINDOW = 32
+#: Binary logarithm of the length of the blocks that surroundings are read from.
+BLOCK_BITS = 10
 ACCEPT = 0.95
 EM_ROUNDS = 25
 #: Right and wrong votes that every labeler starts with.
@@ -63,14 +67,54 @@ def matches(text: Column, pattern: str, guard: Column) -> Column:
     pieces = let(F.split(text, pattern, -1), lambda x: F.transform(x, lambda y: F.char_length(y)))
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(pieces, lambda gap: F.transform(
         m, lambda y, i: F.struct(y.alias('m'), F.char_length(y).alias('n'), F.get(gap, i).alias('gap')))))
-    # running positions: the end of one match is where the next gap starts
-    zero = F.array().cast('array<struct<start:int,end:int,m:string>>')
-
-    def step(acc, y):
-        start = F.coalesce(F.get(acc, F.size(acc) - 1)['end'], F.lit(0)) + y['gap']
-        return F.concat(acc, F.array(F.struct(start.alias('start'), (start + y['n']).alias('end'), y['m'].alias('m'))))
+    none = F.array().cast('array<struct<start:int,end:int,m:string>>')
+    # the end of a match is the sum of all gaps and matches up to it
+    return F.when(guard, let(found, lambda all: let(
+        running(F.transform(all, lambda y: F.coalesce(y['gap'], F.lit(0)) + y['n']), lambda x, y: x + y),
+        lambda ends: F.transform(all, lambda y, i: F.struct(
+            (F.get(ends, i) - y['n']).alias('start'), F.get(ends, i).alias('end'), y['m'].alias('m')))))).otherwise(none)
+
+
+def running(values: Column, join) -> Column:
+    """Each element joined with all in front of it. Array functions have no
+    running sum; carrying a growing array from element to element would copy it
+    for each of them, so the reach is doubled instead: about log2(n) passes."""
+    reach = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast('int')),
+                        lambda k: F.pow(F.lit(2), k).cast('int'))
+    return F.aggregate(reach, values, lambda acc, far: F.transform(
+        acc, lambda x, i: F.when(i < far, x).otherwise(join(x, F.get(acc, i - far)))))
+
+
+def marked(spans: Column, others: Column) -> Column:
+    """(s, met) for each of the spans: whether one of the others overlaps it.
+    In the order of places, a span's end looks back at the others that began
+    in front of it: the furthest of their ends tells."""
+    places = F.sort_array(F.concat(
+        F.transform(spans, lambda s, i: F.struct(s['end'].alias('place'), F.lit(0).alias('other'), i.alias('at'),
+                                                 s['start'].alias('start'), F.lit(-1).alias('reach'))),
+        F.transform(others, lambda o: F.struct(o['start'].alias('place'), F.lit(1).alias('other'), F.lit(-1).alias('at'),
+                                               F.lit(-1).alias('start'), o['end'].alias('reach')))))
+    found = let(places, lambda p: let(running(F.transform(p, lambda x: x['reach']), F.greatest), lambda r: F.filter(
+        F.transform(p, lambda x, i: F.struct(x['at'].alias('at'), (F.get(r, i) > x['start']).alias('met'))),
+        lambda x: x['at'] >= 0)))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), F.transform(found, lambda x: F.struct(
+        F.get(spans, x['at']).alias('s'), x['met'].alias('met')))).otherwise(
+            F.transform(spans, lambda s: F.struct(s.alias('s'), F.lit(False).alias('met'))))
+
+
+def outermost(free: Column, failed: Column) -> Column:
+    """The spans that lie in no other one; of equal ones the free span stands,
+    then the kind that is first by name. Whatever holds a span comes in front
+    of it by (start, -end)."""
+    def keyed(spans, late):
+        return F.transform(spans, lambda s: F.struct(
+            s['start'].alias('start'), (-s['end']).alias('back'), F.lit(late).alias('late'), s['kind'].alias('kind'),
+            s['end'].alias('end'), s['m'].alias('m'), s['valid'].alias('valid')))
 
-    return F.when(guard, F.aggregate(found, zero, step)).otherwise(zero)
+    every = F.sort_array(F.concat(keyed(free, 0), keyed(failed, 1)))
+    return F.when(F.size(free) + F.size(failed) > 0, let(every, lambda p: let(
+        running(F.transform(p, lambda x: x['end']), F.greatest),
+        lambda r: F.filter(p, lambda x, i: F.coalesce(F.get(r, i - 1), F.lit(-1)) < x['end'])))).otherwise(every)
 
 
 def _digits(m: Column) -> Column:
@@ -83,14 +127,6 @@ def _valid(kind: str, m: Column) -> Column:
             'phone': n.between(9, 15)}[kind]
 
 
-def _meet(a: Column, b: Column) -> Column:
-    return (a['start'] < b['end']) & (b['start'] < a['end'])
-
-
-def _holds(a: Column, b: Column) -> Column:
-    return (a['start'] <= b['start']) & (b['end'] <= a['end'])
-
-
 def found_spans(docs: DataFrame) -> DataFrame:
     """(row, doc_id, base, cand): base findings by kind and start; candidates
     (kind, start, end, m, valid, left, right) for the labelers."""
@@ -112,23 +148,30 @@ def found_spans(docs: DataFrame) -> DataFrame:
                  # short digit runs are no candidates for a card
                  F.filter('every', lambda s: s['valid'] | (s['kind'] != 'card')
                           | (F.char_length(_digits(s['m'])) >= 12)).alias('seen'))
-    free = F.filter('loose', lambda s: ~F.exists('base', lambda b: _meet(b, s)))
+    free = F.transform(F.filter(marked(F.col('loose'), F.col('base')), lambda x: ~x['met']), lambda x: x['s'])
     t = t.select('doc_id', 't', 'base', F.filter('seen', lambda s: ~s['valid']).alias('failed'), free.alias('free'))
     # a failed check speaks for its kind only, not against the digit group that it lies on
-    failed = F.transform('failed', lambda s: s.withField('kind', F.when(
-        F.exists('free', lambda x: _meet(x, s)), 'loose').otherwise(s['kind'])))
+    failed = F.transform(marked(F.col('failed'), F.col('free')), lambda x: x['s'].withField(
+        'kind', F.when(x['met'], 'loose').otherwise(x['s']['kind'])))
     t = t.select('doc_id', 't', 'base', 'free', failed.alias('failed'))
     # of two spans one inside the other the longer stands
-    longest = F.concat(
-        F.filter('free', lambda s: ~F.exists('failed', lambda x: _holds(x, s) & ~_holds(s, x))),
-        F.filter('failed', lambda s: ~F.exists('free', lambda x: _holds(x, s))
-                 & ~F.exists('failed', lambda x: _holds(x, s) & (~_holds(s, x) | (x['kind'] < s['kind'])))))
-    cand = F.transform(F.concat('base', longest), lambda s: F.struct(
+    longest = F.transform(outermost(F.col('free'), F.col('failed')), lambda s: F.struct(
+        *[s[f].alias(f) for f in ('kind', 'start', 'end', 'm', 'valid')]))
+    t = t.select('doc_id', 't', 'base', F.concat('base', longest).alias('all'))
+    # surroundings come from blocks of the text: a place in the whole text is found by counting from its start
+    t = t.select('doc_id', 'base', 'all', F.when(F.size('all') > 0, F.regexp_extract_all(
+        't', F.lit(f'(?s).{{1,{1 << BLOCK_BITS}}}'), F.lit(0))).alias('blocks'))
+
+    def around(start, length):
+        b = F.shiftright(start, BLOCK_BITS)
+        two = F.concat(F.coalesce(F.get('blocks', b), F.lit('')), F.coalesce(F.get('blocks', b + 1), F.lit('')))
+        return F.substring(two, start - F.shiftleft(b, BLOCK_BITS) + 1, length)
+
+    cand = F.transform('all', lambda s: F.struct(
         s['kind'].alias('kind'), s['start'].alias('start'), s['end'].alias('end'), s['m'].alias('m'),
         s['valid'].alias('valid'),
-        F.substring('t', F.greatest(s['start'] - WINDOW, F.lit(0)) + 1,
-                    F.least(s['start'], F.lit(WINDOW))).alias('left'),
-        F.substring('t', s['end'] + 1, F.lit(1)).alias('right')))
+        around(F.greatest(s['start'] - WINDOW, F.lit(0)), F.least(s['start'], F.lit(WINDOW))).alias('left'),
+        around(s['end'], F.lit(1)).alias('right')))
     out = t.select('doc_id', F.transform('base', lambda s: F.struct(
         s['kind'].alias('kind'), s['start'].alias('start'), s['end'].alias('end'))).alias('base'), cand.alias('cand'))
     return scratch_table(out, 'pii-spans')

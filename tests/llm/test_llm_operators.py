@@ -414,6 +414,22 @@ def test_op6_weak_parts_of_any_length(spark):
     assert got == dict(enumerate(want))
 
 
+def test_op6_weak_parts_beside_strong_ones():
+    """Weak parts that overlap no strong span, as every two compared; dense
+    texts of a megabyte too."""
+    rng = np.random.default_rng(4)
+    parts = ['user: ', 'maria', 'password = ', 'hunter22', 'Zk3vPq81LmXw02TtBn7Rs4', ' ', 'https://a.b.org/', 'AKIA' + 'Z9' * 10,
+             '0af1' * 8, 'x.y:8443', '\n', 'token:', '"']
+    for _ in range(500):
+        text = ''.join(rng.choice(parts, rng.integers(2, 30)))
+        strong, every = secret_scan.strong_spans(text), secret_scan.weak_parts(text, [])
+        assert secret_scan.weak_parts(text, strong) == [
+            x for x in every if not any(a < x[2] and x[1] < b for _, a, b in strong)]
+    unit = f'user: maria password = "hunter22" Zk3vPq81LmXw02TtBn7Rs4 {"0af1" * 8}\n'
+    text = unit * (1_000_000 // len(unit))
+    assert len(secret_scan.weak_parts(text, secret_scan.strong_spans(text))) == 2 * (1_000_000 // len(unit))
+
+
 def test_op7_takes_the_top_k(spark):
     d = '/root/testdata/sf0.01'
     docs, labels = (spark.read.parquet(f'{d}/{t}.parquet') for t in ('documents', 'labels'))
@@ -534,6 +550,49 @@ def test_op9_score_decides_on_cued_numbers(spark):
     assert got == {k + v: [('other', len(k), len(k + v))] for k, v in private.items()} | {t: [] for t in other}
 
 
+def test_op9_overlaps(spark):
+    """Overlapping and holding spans as every two compared."""
+    rng = np.random.default_rng(6)
+
+    def spans(n, kinds):
+        a = rng.integers(0, 60, n).tolist()
+        return sorted({(str(rng.choice(kinds)), x, x + int(rng.integers(1, 15)), 'm', False) for x in a})
+
+    rows = []
+    for i in range(400):
+        free = spans(rng.integers(0, 8), ['loose'])
+        free = [s for s in free if not any(s != t and s[1] < t[2] and t[1] < s[2] for t in free)]
+        failed = {s[1:3]: s for s in spans(rng.integers(0, 8), ['card', 'ip', 'phone'])}
+        rows.append((i, free, list(failed.values())))
+    span = 'array<struct<kind:string,start:int,end:int,m:string,valid:boolean>>'
+    df = spark.createDataFrame(rows, f'id int, free {span}, failed {span}')
+    got = df.select('id', pii.marked(F.col('failed'), F.col('free')).alias('met'),
+                    pii.outermost(F.col('free'), F.col('failed')).alias('out')).collect()
+    for r in got:
+        _, free, failed = rows[r.id]
+        assert sorted((*x.s, x.met) for x in r.met) == sorted(
+            (*s, any(s[1] < t[2] and t[1] < s[2] for t in free)) for s in failed)
+        every = [(s, 0) for s in free] + [(s, 1) for s in failed]
+        kept = [s for s, late in every if not any(
+            t[1] <= s[1] and s[2] <= t[2] and (t[1:3] != s[1:3] or before < late) for t, before in every)]
+        assert sorted((x.kind, x.start, x.end, x.m, x.valid) for x in r.out) == sorted(kept)
+
+
+def test_op9_dense_texts(spark):
+    """Tens of thousands of findings and failed checks in one text."""
+    n = 20000
+    texts = ['ab@cd.org 🙂 ' * n, '1234 5678 9012 3456 x ' * n, 'é +49 151 234 5678 x\n' * n]
+    df = spark.createDataFrame(list(enumerate(texts)), 'doc_id long, text string')
+    found = {r.doc_id: r for r in pii.found_spans(df).collect()}
+    assert [(s.start, s.end) for s in found[0].base] == [(12 * i, 12 * i + 9) for i in range(n)]
+    assert found[1].base == [] and len(found[1].cand) == n
+    assert [(s.start, s.end) for s in found[2].base] == [(21 * i + 2, 21 * i + 18) for i in range(n)]
+    for r in found.values():
+        for s in r.cand[::997] + r.cand[-3:]:
+            t = texts[r.doc_id]
+            assert (s.m, s.left, s.right) == (t[s.start:s.end], t[max(0, s.start - 32):s.start], t[s.end:s.end + 1])
+
+
 def test_op9_reliabilities():
     """A labeler that agrees with the others is found reliable, a coin is not."""
     rng = np.random.default_rng(2)
