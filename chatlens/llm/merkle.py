@@ -119,10 +119,13 @@ def likeness(one: str, two: str) -> float:
     total, common = int(m) + int(n), 0
     left, right = [a], [b]
     for border in (';', ',', '.'):
-        mine, theirs = (Counter(y for x in side for y in x.split(border)) for side in (left, right))
-        for node, times in (mine & theirs).items():
-            common += times * _words(node)
-        left, right = list((mine - theirs).elements()), list((theirs - mine).elements())
+        left, right = ([y for x in side for y in x.split(border)] for side in (left, right))
+        both = set(left).intersection(right)
+        if both:
+            mine, theirs = (Counter(x for x in side if x in both) for side in (left, right))
+            common += sum(min(mine[node], theirs[node]) * _words(node) for node in both)
+            left = [x for x in left if x not in both] + list((mine - theirs).elements())
+            right = [x for x in right if x not in both] + list((theirs - mine).elements())
     # the same leaves in another order are not the same text
     return min(2 * common, total - 1) / total if total else 0.0
 
