@@ -38,7 +38,8 @@ def keyword_counts(df: DataFrame, text_col: str = 'Frage', order_cols=('Datetime
 
 
 def top_keywords(df: DataFrame, n: int = 20, text_col: str = 'Frage',
-                 order_cols=('Datetime', 'id'), dicts: D.Dictionaries = D.DEFAULT) -> DataFrame:
+                 order_cols=('Datetime', 'id'), dicts: D.Dictionaries = D.DEFAULT,
+                 counts: DataFrame | None = None) -> DataFrame:
     """(Keyword, Anzahl, first, at): the n most frequent keywords, ties by
     first appearance in (order_cols, position) order, the tie-break of the
     original's counter (F3). The dashboard asks for 25.
@@ -48,9 +49,10 @@ def top_keywords(df: DataFrame, n: int = 20, text_col: str = 'Frage',
     `at`, the least (other order columns, position) in the rows of that
     `first`, NULL for the rest. The rows looked up are those of at most n
     values of the first order column, which are broadcast; without ties the
-    second pass over the texts falls away at run time.
+    second pass over the texts falls away at run time. `counts` are
+    `keyword_counts` that the caller has already.
     """
-    counts = keyword_counts(df, text_col, order_cols, dicts)
+    counts = counts if counts is not None else keyword_counts(df, text_col, order_cols, dicts)
     last = (counts.orderBy(F.col('Anzahl').desc(), F.col('first').asc_nulls_first()).limit(n)
             .orderBy(F.col('Anzahl').asc(), F.col('first').desc_nulls_last()).limit(1)
             .select(F.struct(F.col('Anzahl').alias('n'), F.col('first').alias('f'))).scalar())

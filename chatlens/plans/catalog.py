@@ -8,6 +8,7 @@ The chat queries run on the deterministic fixture over the whole
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 from collections.abc import Callable
@@ -19,6 +20,7 @@ from .. import dictionaries as D
 from ..functions import char_len, daypart, german_weekday, parse_created
 from ..functions.topics import topic_array_matched
 from ..operators import classification as C
+from ..operators import daily as DY
 from ..operators import keywords as K
 from ..operators import lengths as L
 from ..operators import temporal as T
@@ -33,9 +35,11 @@ from ..operators.search import search_questions as _search_questions
 from ..session import checkpoint_root
 from ..sources.chat_csv import (qa_from_export, qa_from_segmented_export, read_chat_csv, rejects,
                                 write_export_csv)
+from ..sources.days import load_days, read_days
 from ..sources.export import read_classification_json, write_classification_json
-from ..sources.fixture import chat_fixture, dirty_export_rows, export_rows, fixture_messages
+from ..sources.fixture import SPAN_SECONDS, STEP, chat_fixture, dirty_export_rows, export_rows, fixture_messages
 from ..sources.tables import conversations, documents, events, table_path
+from ..streaming.conversations import qa_pairs_run
 from ..streaming.ingest import (current_rows, event_time, ingest_exports, ingest_overlapping_exports, naive_time,
                                 read_message_stream, run_to_table, stream_location, window_run)
 
@@ -56,6 +60,12 @@ DOCUMENT_TOPICS = (('Fragen', ('nicht', 'what', 'que ')), ('Dinge', ('thing', 'c
                    ('Zeichen', ('&&&', '%%%')), ('Ersch', ('ersch', 'belich')))
 # Days that a late message may lag behind the newest in the stream of late counts.
 LATE_DAYS = 7
+# Arrivals of the message stream, each holding the conversations of a third of
+# the fixture's time, and how long it waits for what belongs to them.
+ARRIVALS, ARRIVAL_LATENESS = 3, 15
+# The loads of the table by day: some conversations of the first days, all of
+# them, then the rest of the days.
+DAY_LOADS = ("Datum < DATE '2025-08-10' AND id % 2 = 0", "Datum < DATE '2025-08-10'", "Datum >= DATE '2025-08-09'")
 
 QA_OUT = ('id', 'Datum', 'Datetime', 'Wochentag', 'Stunde', 'Frage', 'Antwort',
           'Fragenlänge_Zeichen', 'Fragenlänge_Wörter', 'Tageszeit', 'Längenkategorie', 'Kategorie')
@@ -239,6 +249,38 @@ def q_search_by_date(spark, d):
     return _search_questions(questions(spark, d), '', SEARCH_FROM, SEARCH_TO, messages=fixture_messages(spark, d))
 
 
+def _by_day(spark, d):
+    """The QA table by day and its daily counts after three loads, of which
+    the later ones repeat rows of the earlier."""
+    base, rows = os.path.join(checkpoint_root(spark), 'days', uuid.uuid4().hex), qa(spark, d)
+    table, counts = os.path.join(base, 'qa'), os.path.join(base, 'counts')
+    for part in DAY_LOADS:
+        days = load_days(rows.filter(part), table)
+        parts = DY.refresh_days(read_days(spark, table, rows.schema), counts, days)
+    return read_days(spark, table, rows.schema), parts
+
+
+def q_search_day_table(spark, d):
+    """D1, D3 on the table partitioned by day."""
+    return _search_questions(_by_day(spark, d)[0], '', SEARCH_FROM, SEARCH_TO)
+
+
+def q_daily_keywords(spark, d):
+    """E8 from daily counts."""
+    table, parts = _by_day(spark, d)
+    return _ranked(DY.keywords(parts, table, TOP_KEYWORDS))
+
+
+def q_daily_topic_trend(spark, d):
+    """E9 from daily counts."""
+    return DY.topic_daily_trend(_by_day(spark, d)[1])
+
+
+def q_daily_length_stats(spark, d):
+    """E3, E4 from daily counts."""
+    return DY.length_stats(_by_day(spark, d)[1])
+
+
 def q_latest_messages(spark, d):
     return _latest(questions(spark, d), LATEST, messages=fixture_messages(spark, d))
 
@@ -398,6 +440,22 @@ def q_stream_qa_dedup(spark, d):
         F.col('id').cast('bigint').alias('id'), 'Datetime', 'Frage', 'Antwort')
 
 
+def q_stream_qa_pairs(spark, d):
+    """B5-B7 on a stream of messages: a run of the same stream for each third
+    of the time; every fifth conversation's answers come one run later."""
+    base = stream_location(spark, f'qa_pairs-{uuid.uuid4().hex}')
+    arrived = os.path.join(base, 'in')
+    third = F.floor((F.col('conv_id') * STEP) % SPAN_SECONDS / (SPAN_SECONDS // ARRIVALS))
+    late = (F.col('conv_id') % 5 == 0) & (F.col('role') == 'assistant')
+    given = conversations(spark, d).select('conv_id', 'turn', 'role', 'text').withColumn(
+        'run', third + F.when(late, 1).otherwise(0))
+    for i in range(ARRIVALS + 1):
+        given.filter(F.col('run') == i).drop('run').write.mode('append').parquet(arrived)
+        pairs = qa_pairs_run(chat_fixture(read_message_stream(spark, arrived)), base, f'{ARRIVAL_LATENESS} days',
+                             dt.timedelta(days=ARRIVAL_LATENESS))
+    return pairs
+
+
 def q_stream_classification_counts(spark, d):
     """J1 + J3: rule classification of a message stream, counts per label."""
     c = C.classify_rule_based(_message_stream(spark, d), keep=('conv_id',))
@@ -436,6 +494,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'search_count': q_search_count,
     'search_questions': q_search_questions,
     'search_by_date': q_search_by_date,
+    'search_day_table': q_search_day_table,
+    'daily_keywords': q_daily_keywords,
+    'daily_topic_trend': q_daily_topic_trend,
+    'daily_length_stats': q_daily_length_stats,
     'latest_messages': q_latest_messages,
     'classify_messages': q_classify_messages,
     'classify_latest': q_classify_latest,
@@ -458,6 +520,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'event_hour_counts': q_event_hour_counts,
     'stream_qa_from_csv': q_stream_qa_from_csv,
     'stream_qa_dedup': q_stream_qa_dedup,
+    'stream_qa_pairs': q_stream_qa_pairs,
     'stream_daily_counts': q_stream_daily_counts,
     'stream_late_counts': q_stream_late_counts,
     'stream_classification_counts': q_stream_classification_counts,

@@ -193,6 +193,7 @@ def _sql() -> dict[str, str]:
     sql['qa_from_csv'] = sql['qa_pairs']
     sql['stream_qa_from_csv'] = sql['qa_pairs']
     sql['stream_qa_dedup'] = sql['qa_pairs']
+    sql['stream_qa_pairs'] = sql['qa_pairs']
     sql['qa_from_dirty_csv'] = dirty_qa_sql('behind')
     sql['qa_from_dirty_csv_robust'] = dirty_qa_sql('own')
     sql['export_rejects'] = f"""WITH {FX},
@@ -265,6 +266,10 @@ WHERE regexp_matches("Frage", {s(Q.SEARCH_COUNT_TERM)}, 'i')"""
     sql['search_questions'] = BASE + page.format(where=f'regexp_matches("Frage", {s(Q.SEARCH_PAGE_TERM)}, \'i\')')
     sql['search_by_date'] = BASE + page.format(
         where=f'"Datum" BETWEEN DATE {s(Q.SEARCH_FROM)} AND DATE {s(Q.SEARCH_TO)}')
+    sql['search_day_table'] = sql['search_by_date']
+    sql['daily_keywords'] = sql['top_keywords']
+    sql['daily_topic_trend'] = sql['topic_daily_trend']
+    sql['daily_length_stats'] = sql['length_stats']
     base_latest = BASE.rstrip() + ',\n' + LATEST + '\n'
     sql['latest_messages'] = base_latest + 'SELECT nr, id, text, role, datetime FROM latest'
     sql['classify_messages'] = BASE_CLS + 'SELECT conv_id, turn, datetime, frage, rolle, kategorie, sentiment FROM cls'
