@@ -3,7 +3,8 @@
 Sizes (words) are summed per source, a target is derived for each source, and
 a document is emitted `floor(rate)` times plus once more with probability
 `rate - floor(rate)`, where rate = target / source size. The draw is a hash of
-the document id and a seed, so reruns and recomputed partitions agree.
+the document's id, its text and a seed, so reruns and recomputed partitions
+agree, and a source whose ids are all null or equal still meets its target.
 
 Targets: the sources in code point order (null last) weigh `weights` in turn
 and share `budget` times all words; a target stops at `cap` times its
@@ -13,8 +14,8 @@ stop at their caps and the others get `level * weight`.
 
 Edge cases: a null text has size 0; a null source is a source of its own; a
 source without words has target 0 and its documents are not emitted beyond
-their rate of 0; equal ids draw alike, so identical rows stay identical; an
-empty table gives no rows; further columns pass through `mixed_documents`.
+their rate of 0; rows equal in id and text draw alike, so identical rows stay
+identical; an empty table gives no rows; further columns pass through `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, scratch_table
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -62,9 +63,10 @@ def source_rates(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap:
     return s.select('source', 'source_size', 'target', rate.alias('rate'))
 
 
-def draw(doc_id, seed: str = SEED):
-    """Uniform in [0, 1) from 52 bits of a hash of the id."""
-    digest = F.md5(F.concat(F.lit(seed + ':'), F.coalesce(doc_id.cast('string'), F.lit('null'))))
+def draw(doc_id, text_hash, seed: str = SEED):
+    """Uniform in [0, 1) from 52 bits of a hash of id and text."""
+    digest = F.md5(F.concat(F.lit(seed + ':'), F.coalesce(doc_id.cast('string'), F.lit('null')), F.lit(':'),
+                            text_hash.cast('string')))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast('double') / float(1 << 52)
 
 
@@ -72,22 +74,29 @@ def copies(rate, u):
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast('int')).cast('int')
 
 
+def _stored_rates(sizes: DataFrame, weights, budget: float, cap: int) -> DataFrame:
+    """`source_rates`, stored: a row per source, whose size the joins know
+    before they move any document."""
+    return scratch_table(source_rates(sizes, weights, budget, cap).withColumnRenamed('source', 'of'), 'mix-rates')
+
+
 def mixed_sizes(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP,
                 seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies) per document."""
-    sizes = docs.select('doc_id', 'source', word_count(F.col('text')).alias('size'))
-    rates = source_rates(sizes, weights, budget, cap).withColumnRenamed('source', 'of')
+    sizes = docs.select('doc_id', 'source', word_count(F.col('text')).alias('size'), F.xxhash64('text').alias('hash'))
+    rates = _stored_rates(sizes, weights, budget, cap)
     return (sizes.join(rates, F.col('source').eqNullSafe(F.col('of')))
             .select('doc_id', 'source', 'size', 'source_size', 'target', 'rate',
-                    copies(F.col('rate'), draw(F.col('doc_id'), seed)).alias('copies')))
+                    copies(F.col('rate'), draw(F.col('doc_id'), F.col('hash'), seed)).alias('copies')))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP,
                     seed: str = SEED) -> DataFrame:
     """The mix itself: each document's row as often as it is taken."""
     sizes = docs.select('source', word_count(F.col('text')).alias('size'))
-    rates = source_rates(sizes, weights, budget, cap).select(F.col('source').alias('of'), 'rate')
-    rows = docs.select(F.struct('*').alias('row'), F.col('source').alias('from'), F.col('doc_id').alias('key'))
-    n = copies(F.col('rate'), draw(F.col('key'), seed))
+    rates = _stored_rates(sizes, weights, budget, cap).select('of', 'rate')
+    rows = docs.select(F.struct('*').alias('row'), F.col('source').alias('from'), F.col('doc_id').alias('key'),
+                       F.xxhash64('text').alias('hash'))
+    n = copies(F.col('rate'), draw(F.col('key'), F.col('hash'), seed))
     taken = rows.join(rates, F.col('from').eqNullSafe(F.col('of'))).select('row', n.alias('n')).filter('n > 0')
     return taken.select('row', F.explode(F.sequence(F.lit(1), F.col('n'))).alias('copy')).select('row.*')

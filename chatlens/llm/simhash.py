@@ -1,14 +1,20 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints are 64 bits over word shingles. Anchors are the words of a
-covering code: the perfect binary Golay code [23, 12, 7] on bits 0-22 and
-again on bits 23-45 (direct sum: 2**24 anchors, covering radius 3 + 3). Every
-fingerprint has one home anchor within the radius; it is replicated to all
-anchors within radius plus threshold (`t1 + t2 <= threshold` beyond the two
-radii, about 60 of them). If two fingerprints differ in at most `threshold`
-bits, the home of one is among the other's anchors, so comparing homes with
-replicas per anchor, on all 64 bits, finds every link, and each pair at one
-anchor only.
+covering code, the direct sum of perfect codes: the binary Golay code
+[23, 12, 7] on bits 0-22 and again on bits 23-45 (2**24 anchors, covering
+radius 3 + 3), and from `WIDE_FROM` fingerprints on also the Hamming code
+[15, 11, 3] on bits 46-60 (2**35 anchors, radius 3 + 3 + 1). Every fingerprint
+has one home anchor within the radii; it is replicated to all anchors whose
+distances exceed the radii by `threshold` in sum. If two fingerprints differ in
+at most `threshold` bits, the home of one is among the other's anchors, so
+comparing homes with replicas per anchor, on all 64 bits, finds every link, and
+each pair at one anchor only.
+
+For two bits the narrow code makes 61 replicas of n fingerprints on average and
+61 n / 2**24 comparisons each (4 for a million, 3900 for 2**30), the wide one
+153 replicas and 153 n / 2**35 comparisons each (5 for 2**30). Both find
+the same links.
 
 Equal fingerprints are one node, so exact copies never form pairs. Links are
 joined to components by passing on the smallest label and jumping along
@@ -24,7 +30,7 @@ gives no rows; other columns are not read (and pass through
 from __future__ import annotations
 
 import re
-from itertools import combinations, islice, repeat
+from itertools import combinations, islice, product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +45,13 @@ SHINGLE = 3
 THRESHOLD = 2
 SEED = 42
 _WORD = re.compile(rb'[^\x20\x09-\x0d]+')
-#: Generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
-GOLAY = 0b101011100011
-RADIUS, BITS = 3, 23
+#: Perfect cyclic codes: length, generator polynomial, its degree, covering radius.
+GOLAY = (23, 0b101011100011, 11, 3)
+HAMMING = (15, 0b10011, 4, 1)
+NARROW, WIDE = (GOLAY, GOLAY), (GOLAY, GOLAY, HAMMING)
+#: Distinct fingerprints from which on the comparisons at the narrow code's
+#: anchors cost more than the wide code's further replicas.
+WIDE_FROM = 1 << 28
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -77,69 +87,77 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def _syndromes(x: np.ndarray) -> np.ndarray:
-    """Remainders of 23-bit words by the generator."""
+def _syndromes(x: np.ndarray, code) -> np.ndarray:
+    """Remainders of a code's words by its generator."""
+    bits, generator, degree, _ = code
     x = x.copy()
-    for bit in range(BITS - 1, 10, -1):
-        x ^= np.where((x >> bit) & 1, GOLAY << (bit - 11), 0)
+    for bit in range(bits - 1, degree - 1, -1):
+        x ^= np.where((x >> bit) & 1, generator << (bit - degree), 0)
     return x
 
 
-def _error_tables(extra: int):
+def _error_tables(code, extra: int):
     """Per excess e = 0..extra over the radius: the error patterns whose
-    removal leads to a code word at distance <= 3 (e = 0) or 3 + e, ordered by
-    syndrome, and the first pattern of each syndrome."""
+    removal leads to a code word within the radius (e = 0) or e beyond it,
+    ordered by syndrome, and the first pattern of each syndrome."""
+    bits, _, degree, radius = code
     tables = []
     for e in range(extra + 1):
-        weights = range(RADIUS + 1) if e == 0 else [RADIUS + e]
-        errors = np.array([sum(1 << b for b in c) for w in weights for c in combinations(range(BITS), w)], np.int64)
-        s = _syndromes(errors)
+        weights = range(radius + 1) if e == 0 else [radius + e]
+        errors = np.array([sum(1 << b for b in c) for w in weights for c in combinations(range(bits), w)], np.int64)
+        s = _syndromes(errors, code)
         order = np.argsort(s, kind='stable')
-        tables.append((errors[order], np.searchsorted(s[order], np.arange(2049))))
+        tables.append((errors[order], np.searchsorted(s[order], np.arange((1 << degree) + 1))))
     return tables
 
 
-def _anchors(fp: np.ndarray, extra: int, tables):
-    """(row, anchor) for every anchor within radius plus `extra`."""
-    u = fp.view(np.uint64)
-    mask = (1 << BITS) - 1
-    halves = [(u & np.uint64(mask)).astype(np.int64), ((u >> np.uint64(BITS)) & np.uint64(mask)).astype(np.int64)]
-    synd = [_syndromes(h) for h in halves]
+def _anchors(fp: np.ndarray, extra: int, codes, tables):
+    """(row, anchor) for every anchor within the radii plus `extra`."""
+    u, parts, shift = fp.view(np.uint64), [], 0
+    for code, errors in zip(codes, tables):
+        part = ((u >> np.uint64(shift)) & np.uint64((1 << code[0]) - 1)).astype(np.int64)
+        parts.append((part, _syndromes(part, code), errors, shift))
+        shift += code[0]
     rows, anchors = [], []
-    for e1 in range(extra + 1):
-        for e2 in range(extra + 1 - e1):
-            (err1, at1), (err2, at2) = tables[e1], tables[e2]
-            n1, n2 = at1[synd[0] + 1] - at1[synd[0]], at2[synd[1] + 1] - at2[synd[1]]
-            n = n1 * n2
-            row = np.repeat(np.arange(len(fp)), n)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            a = halves[0][row] ^ err1[at1[synd[0][row]] + k // n2[row]]
-            b = halves[1][row] ^ err2[at2[synd[1][row]] + k % n2[row]]
-            rows.append(row)
-            anchors.append(a | (b << BITS))
+    for excess in product(range(extra + 1), repeat=len(codes)):
+        if sum(excess) > extra:
+            continue
+        row, anchor = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+        for e, (part, synd, errors, at) in zip(excess, parts):
+            patterns, first = errors[e]
+            # each way so far goes on with every pattern of its part's syndrome
+            s = synd[row]
+            n = first[s + 1] - first[s]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, anchor, start = np.repeat(row, n), np.repeat(anchor, n), np.repeat(first[s], n)
+            anchor = anchor | ((part[row] ^ patterns[start + k]) << at)
+        rows.append(row)
+        anchors.append(anchor)
     return np.concatenate(rows), np.concatenate(anchors)
 
 
-def replicas(nodes: DataFrame, extra: int) -> DataFrame:
+def replicas(nodes: DataFrame, extra: int, codes=NARROW) -> DataFrame:
     """(anchor, fp): homes for extra = 0, all anchors in reach otherwise."""
     schema = T.StructType([T.StructField('anchor', T.LongType()), T.StructField('fp', T.LongType())])
 
     def run(batches):
-        tables = _error_tables(extra)
+        tables = [_error_tables(code, extra) for code in codes]
         for b in batches:
             fp = b.column(0).to_numpy()
             for i in range(0, len(fp), 4096):
                 part = fp[i:i + 4096]
-                row, anchor = _anchors(part, extra, tables)
+                row, anchor = _anchors(part, extra, codes, tables)
                 yield pa.record_batch([pa.array(anchor), pa.array(part[row])], names=schema.fieldNames())
 
     return nodes.select('fp').mapInArrow(run, schema)
 
 
-def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(u, v), u < v: all pairs of distinct fingerprints within `threshold` bits."""
-    home = replicas(nodes, 0).withColumnRenamed('fp', 'u')
-    near = replicas(nodes, threshold).withColumnRenamed('fp', 'v')
+def links(nodes: DataFrame, threshold: int = THRESHOLD, codes=None) -> DataFrame:
+    """(u, v), u < v: all pairs of distinct fingerprints within `threshold`
+    bits. Without `codes` the number of fingerprints chooses them."""
+    codes = codes or (WIDE if nodes.count() >= WIDE_FROM else NARROW)
+    home = replicas(nodes, 0, codes).withColumnRenamed('fp', 'u')
+    near = replicas(nodes, threshold, codes).withColumnRenamed('fp', 'v')
     return (home.join(near, 'anchor')
             .filter((F.col('u') < F.col('v'))
                     & (F.bit_count(F.col('u').bitwiseXOR(F.col('v'))) <= threshold)).select('u', 'v'))
