@@ -32,6 +32,7 @@ from ..operators.overview import overview_metrics as _overview
 from ..operators.scoring import FixtureBatchScorer, fixture_scorer, score_messages, score_with_store
 from ..operators.search import search_count as _search_count
 from ..operators.search import search_questions as _search_questions
+from ..operators.search_index import add_to_index, read_index, search_indexed
 from ..session import checkpoint_root
 from ..sources.chat_csv import (qa_from_export, qa_from_segmented_export, read_chat_csv, rejects,
                                 write_export_csv)
@@ -260,6 +261,14 @@ def _by_day(spark, d):
     return read_days(spark, table, rows.schema), parts
 
 
+def q_search_index(spark, d):
+    """D2, D3 by the trigram index over the table partitioned by day."""
+    table, _ = _by_day(spark, d)
+    path = os.path.join(checkpoint_root(spark), 'days', f'index-{uuid.uuid4().hex}')
+    add_to_index(table, path)
+    return _search_questions(search_indexed(table, read_index(spark, path), SEARCH_PAGE_TERM))
+
+
 def q_search_day_table(spark, d):
     """D1, D3 on the table partitioned by day."""
     return _search_questions(_by_day(spark, d)[0], '', SEARCH_FROM, SEARCH_TO)
@@ -495,6 +504,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     'search_questions': q_search_questions,
     'search_by_date': q_search_by_date,
     'search_day_table': q_search_day_table,
+    'search_index': q_search_index,
     'daily_keywords': q_daily_keywords,
     'daily_topic_trend': q_daily_topic_trend,
     'daily_length_stats': q_daily_length_stats,

@@ -267,6 +267,7 @@ WHERE regexp_matches("Frage", {s(Q.SEARCH_COUNT_TERM)}, 'i')"""
     sql['search_by_date'] = BASE + page.format(
         where=f'"Datum" BETWEEN DATE {s(Q.SEARCH_FROM)} AND DATE {s(Q.SEARCH_TO)}')
     sql['search_day_table'] = sql['search_by_date']
+    sql['search_index'] = sql['search_questions']
     sql['daily_keywords'] = sql['top_keywords']
     sql['daily_topic_trend'] = sql['topic_daily_trend']
     sql['daily_length_stats'] = sql['length_stats']
