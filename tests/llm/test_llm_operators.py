@@ -241,6 +241,55 @@ def test_op2_op4_ids_are_the_file_s_own(name):
     assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
 
 
+class CountingTokenizer:
+    """A tokenizer that counts the ids it is asked for."""
+
+    def __init__(self, tok):
+        self.tok, self.n = tok, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tok, name)
+
+    def encode_batch_fast(self, texts, **kw):
+        got = self.tok.encode_batch_fast(texts, **kw)
+        self.n += sum(len(e.ids) for e in got)
+        return got
+
+
+def test_op4_words_are_encoded_once_without_separators():
+    """The library gives each new word's ids and no others, and a full table
+    keeps the words that were just looked up."""
+    path = public_tokenizers.path('word_bpe_49k.json')
+    rng = np.random.default_rng(3)
+    words = sorted({''.join(rng.choice(list('abenrtß'), int(n))) for n in rng.integers(1, 12, 5000)})
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    want = [tok.encode(x, add_special_tokens=False).ids for x in words]
+    enc.tok = CountingTokenizer(enc.tok)
+    got = enc.encode([' '.join(words), *words])
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == [sum(want, []), *want]
+    assert enc.tok.n == sum(map(len, want))
+    enc = tokens.Encoder(path, keep=3)
+    enc.tok = CountingTokenizer(enc.tok)
+    for text, n in (('a b c', 3), ('a b d', 4), ('d b a', 4), ('c', 5), ('c d a', 7)):
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == ids and enc.tok.n == n
+
+
+@pytest.mark.parametrize('name', ['byte_bpe_50k.json', 'word_bpe_49k.json'])
+def test_op2_op4_joined_words_that_are_several(name):
+    """Words that the library cuts or rewrites among plain ones, with a table
+    that holds all pieces and with one that is always full."""
+    path = public_tokenizers.path(name)
+    rng = np.random.default_rng(5)
+    atoms = ['a', 'Be', 'İ', 'ß', 'é', 'e\u0301', 'ª', 'ǅ', '中', '한', '\u1112\u1161', 'ﬁ', 'Σ', 'हि', 'the', "'s", '</w>',
+             '1', '.', ' ', ' ', ' ', '\n', '\u00a0', '😀', '<|endoftext|>']
+    texts = [''.join(rng.choice(atoms, int(n))) for n in rng.integers(0, 12, 3000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for enc in (tokens.Encoder(path), tokens.Encoder(path, keep=50)):
+        got = [x for i in range(0, len(texts), 500) for x in enc.encode(texts[i:i + 500])]
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == want
+
+
 def test_op4_reads_single_documents(spark):
     path = scratch_path(spark, 'orc-test')
     docs = spark.read.parquet(SF0001 + '/documents.parquet')
