@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,19 @@ def text_groups(docs, limit: int = 1 << 20):
         yield start, len(docs)
 
 
+def text_slices(column: pa.Array, limit: int = 1 << 20):
+    """(first row, texts) of slices of an Arrow string column with at most
+    about `limit` bytes each (one longer text makes a slice of its own): the
+    rest of the column stays in Arrow while a slice is worked on."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(column):
+        done = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + limit, side='right')))
+        yield lo, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 def prefix_sums(rows: DataFrame, key: str, value: str, out: str, fan: int = 4096) -> DataFrame:
     """(key, out): for each distinct non-negative integer key the sum of
     `value` over all smaller keys. Two levels, so no task sees more than

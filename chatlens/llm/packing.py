@@ -28,16 +28,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of_ids, prefix_sums, scratch_table, text_groups
+from .common import crc32_of_ids, prefix_sums, scratch_table, text_slices
 from .tokens import CACHE_PIECES, encoder, forget
 
 WINDOW = 1024
 PACKET = 256
 #: Rounds whose packets are put in order in one task (256 windows of tokens).
 BLOCK_ROUNDS = 256
+#: Bytes of text a worker encodes at a time.
+GROUP_BYTES = 1 << 19
 GOLDEN = 0.6180339887498949
 
 
+def cut_batches(batches, part: int, enc, end_id: int, packet: int):
+    """Batches of packets from a task's batches (doc_id, source, text). Of a
+    batch's texts only a slice at a time is taken out of Arrow and encoded, so
+    a worker's memory follows `GROUP_BYTES` and not the batch."""
+    w, queue = enc.width, {}
+    end = int(end_id).to_bytes(w, 'little')
+    for b in batches:
+        doc, source = b.column(0), b.column(1).to_pylist()
+        for lo, texts in text_slices(b.column(2), GROUP_BYTES):
+            at, cols = [], [[], [], [], [], [], []]
+            for i, ids in enumerate(enc.encode(texts), lo):
+                ids += end
+                n, until = len(ids) // w, queue.get(source[i], 0)
+                for s in range(0, n, packet):
+                    k = min(packet, n - s)
+                    until += k
+                    at.append(i)
+                    for c, v in zip(cols, (source[i], n, s, k, until, ids[s * w:(s + k) * w])):
+                        c.append(v)
+                queue[source[i]] = until
+            m = len(at)
+            yield pa.record_batch([
+                pa.array([part] * m, pa.int32()), pa.array(cols[0], pa.string()), doc.take(pa.array(at, pa.int64())),
+                *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array([w] * m, pa.int32()),
+                pa.array(cols[5], pa.binary())],
+                names=['part', 'source', 'doc_id', 'doc_tokens', 'start', 'length', 'until', 'width', 'ids'])
+
+
 def packets(docs: DataFrame, tokenizer: str, end_id: int, packet: int = PACKET,
             cache: int = CACHE_PIECES) -> DataFrame:
     """(part, source, doc_id, doc_tokens, start, length, until, width, ids): the
@@ -55,28 +85,7 @@ def packets(docs: DataFrame, tokenizer: str, end_id: int, packet: int = PACKET,
         T.StructField('ids', T.BinaryType())])
 
     def cut(batches):
-        part, enc, queue = TaskContext.get().partitionId(), encoder(tokenizer, cache), {}
-        w = enc.width
-        end = int(end_id).to_bytes(w, 'little')
-        for b in batches:
-            doc, source, texts = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for lo, hi in text_groups(texts, 1 << 21):
-                at, cols = [], [[], [], [], [], [], []]
-                for i, ids in zip(range(lo, hi), enc.encode(texts[lo:hi])):
-                    ids += end
-                    n, until = len(ids) // w, queue.get(source[i], 0)
-                    for s in range(0, n, packet):
-                        k = min(packet, n - s)
-                        until += k
-                        at.append(i)
-                        for c, v in zip(cols, (source[i], n, s, k, until, ids[s * w:(s + k) * w])):
-                            c.append(v)
-                    queue[source[i]] = until
-                m = len(at)
-                yield pa.record_batch([
-                    pa.array([part] * m, pa.int32()), pa.array(cols[0], pa.string()), doc.take(pa.array(at, pa.int64())),
-                    *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array([w] * m, pa.int32()),
-                    pa.array(cols[5], pa.binary())], names=schema.fieldNames())
+        return cut_batches(batches, TaskContext.get().partitionId(), encoder(tokenizer, cache), end_id, packet)
 
     return scratch_table(src.mapInArrow(cut, schema), 'packets')
 

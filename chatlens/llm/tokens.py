@@ -11,7 +11,9 @@ file (`<|endoftext|>`, one id by the library's default) are encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 from itertools import repeat
 
 import numpy as np
@@ -158,6 +160,7 @@ class Encoder:
 def encoder(path: str, keep: int = CACHE_PIECES) -> Encoder:
     """The worker's encoder for a file, loaded once per process."""
     if path not in _ENCODERS:
+        release()
         _ENCODERS[path] = Encoder(path, keep)
     return _ENCODERS[path]
 
@@ -165,4 +168,15 @@ def encoder(path: str, keep: int = CACHE_PIECES) -> Encoder:
 def forget() -> None:
     """Free the worker's encoders; later stages run in the same processes."""
     _ENCODERS.clear()
+    release()
+
+
+def release() -> None:
+    """Give memory that is free but still the process's back to the system:
+    what earlier stages used in the same worker counts as the executor's."""
     pa.default_memory_pool().release_unused()
+    if sys.platform == 'linux':
+        # glibc keeps freed texts' pages below any block that is in use
+        trim = getattr(ctypes.CDLL(None), 'malloc_trim', None)
+        if trim:
+            trim(0)
