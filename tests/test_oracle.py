@@ -10,7 +10,7 @@ from tools.oracle_check import digest
 from conftest import SF0001
 
 # Spark type -> DuckDB type of the same column.
-SAME_TYPE = {'bigint': 'BIGINT', 'int': 'INTEGER', 'double': 'DOUBLE', 'string': 'VARCHAR',
+SAME_TYPE = {'bigint': 'BIGINT', 'boolean': 'BOOLEAN', 'int': 'INTEGER', 'double': 'DOUBLE', 'string': 'VARCHAR',
              'timestamp_ntz': 'TIMESTAMP', 'date': 'DATE', 'array<string>': 'VARCHAR[]'}
 
 
