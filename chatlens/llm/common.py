@@ -42,6 +42,16 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that sorts and merges and is never broadcast.
+
+    Spark takes rows out of `mapInArrow` or `explode` for as many as went in,
+    and structs and texts for as large as their compressed files: a table many
+    times the broadcast threshold would be collected by the driver.
+    """
+    return df.hint('merge')
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` evaluated once per row (a lambda variable
     keeps the optimizer from copying the expression into every use)."""

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_table
+from .common import merged, scratch_table
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -158,7 +158,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, codes=None) -> DataFrame
     codes = codes or (WIDE if nodes.count() >= WIDE_FROM else NARROW)
     home = replicas(nodes, 0, codes).withColumnRenamed('fp', 'u')
     near = replicas(nodes, threshold, codes).withColumnRenamed('fp', 'v')
-    return (home.join(near, 'anchor')
+    return (home.join(merged(near), 'anchor')
             .filter((F.col('u') < F.col('v'))
                     & (F.bit_count(F.col('u').bitwiseXOR(F.col('v'))) <= threshold)).select('u', 'v'))
 

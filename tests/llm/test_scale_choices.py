@@ -42,6 +42,17 @@ def test_replicas_per_code():
             assert abs(len(row) / len(fps) - want) < 0.02 * want
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replicas_are_not_broadcast(spark):
+    """61 rows for each that goes in, which Spark takes for one."""
+    nodes = spark.range(1000).select(F.xxhash64('id').alias('fp'))
+    plan = plan_of(simhash.links(nodes))
+    assert 'SortMergeJoin' in plan and 'Broadcast' not in plan
+
+
 @pytest.mark.parametrize('doc_id', [None, 7])
 def test_mix_of_rows_with_one_id(spark, doc_id):
     """Sources whose rows all have a null or the same id come near their targets."""
