@@ -110,6 +110,35 @@ def test_linked_sets_share_a_key():
                 assert set(jc.keys(x, percent).tolist()) & set(jc.keys(y, percent).tolist())
 
 
+def test_unrelated_sets_share_no_key():
+    """Sets without a common token, large enough that many have a range
+    without tokens: neither such a range nor another makes them a family."""
+    rng = np.random.default_rng(5)
+    every = np.concatenate([np.unique(jc.keys(np.unique(rng.integers(0, 1 << 64, 1000 + k, dtype=np.uint64))))
+                            for k in range(300)])
+    assert len(np.unique(every)) == len(every)
+
+
+@pytest.mark.parametrize('n', [12, 30, 97, 400, 1000, 5000])
+@pytest.mark.parametrize('fullest', [True, False])
+def test_emptiest_ranges_are_alike(n, fullest):
+    """As many tokens as the threshold lets in, one in each of the fullest (or
+    the emptiest) ranges of the larger set's class: a key is still shared."""
+    rng = np.random.default_rng(n)
+    starts = jc._class_starts()
+    for _ in range(20):
+        x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        more = n * 100 // 90 - n
+        top = 2 * (int(starts[np.searchsorted(starts, n + more, side='right')]) - 1)
+        most = max(jc.differing(top, 90), jc.differing(top - 1, 90))
+        borders = np.concatenate((np.zeros(1, np.uint64), jc._borders(most + 1 + -(-most // jc.SPARE))))
+        held = np.diff(np.concatenate((np.searchsorted(x, borders), [n])))
+        order = np.argsort(-held if fullest else held, kind='stable')
+        y = np.unique(np.concatenate((x, borders[order[:more]] + np.uint64(1))))
+        assert 100 * n >= 90 * len(y)
+        assert set(jc.keys(x).tolist()) & set(jc.keys(y).tolist())
+
+
 def test_traversal_keeps_every_link(families):
     """No linked pair of sets is pruned, whatever tree they lie in."""
     sets = [jc.tokens(t) for _, t in families]
