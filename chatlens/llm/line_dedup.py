@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, scratch_table, text_groups
+from .common import let, merged, scratch_table, text_groups
 
 MIN_WORDS = 5
 HOT_LINES, HOT_AT_LEAST = 20_000, 100
@@ -142,12 +142,12 @@ def _candidates(docs: DataFrame, first: DataFrame) -> DataFrame:
     another one, with their words fetched from their earliest place."""
     keys = first.select('line', F.explode(F.array_distinct('halves')).alias('key'))
     shared = keys.groupBy('key').agg(F.min('line').alias('a'), F.max('line').alias('b')).filter('a <> b').select('key')
-    wanted = keys.join(shared, 'key', 'left_semi').select('line').distinct()
-    place = first.join(wanted, 'line', 'left_semi').select('line', 'rank', 'rank.*')
+    wanted = keys.join(merged(shared), 'key', 'left_semi').select('line').distinct()
+    place = first.join(merged(wanted), 'line', 'left_semi').select('line', 'rank', 'rank.*')
     # one row per document that has some: its lines are at most its own
     per_doc = place.groupBy('doc_id', 'text_hash').agg(F.collect_list(F.struct('line_no', 'line')).alias('found'))
     texts = docs.select('doc_id', F.xxhash64('text').alias('text_hash'), 'text')
-    both = texts.alias('t').join(per_doc.alias('p'), F.col('t.doc_id').eqNullSafe(F.col('p.doc_id'))
+    both = texts.alias('t').join(merged(per_doc).alias('p'), F.col('t.doc_id').eqNullSafe(F.col('p.doc_id'))
                                  & (F.col('t.text_hash') == F.col('p.text_hash')))
     # the wanted lines are picked before they become rows of their own
     picked = let(F.split('t.text', '\n', -1), lambda x: F.transform('p.found', lambda f: F.struct(
@@ -198,14 +198,14 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     every = scratch_table(_variants(found), 'line-variants')
     # most keys belong to one line only; the rest of the work is on the others
     shared = every.groupBy('key').agg(F.min('line').alias('a'), F.max('line').alias('b')).filter('a <> b')
-    variants = scratch_table(every.join(shared.select('key'), 'key', 'left_semi')
-                             .join(found.select('line', 'rank'), 'line'), 'line-meetings')
+    variants = scratch_table(every.join(merged(shared.select('key')), 'key', 'left_semi')
+                             .join(merged(found.select('line', 'rank')), 'line'), 'line-meetings')
     own = F.struct('rank', 'line')
     replaced = variants.filter('place >= 0').groupBy('key', 'place').agg(F.min(own).alias('e'))
     met = variants.groupBy('key').agg(F.min(F.when(F.col('place') < 0, own)).alias('whole'),
                                       F.min(F.when(F.col('place') >= 0, own)).alias('longer'))
-    a = variants.filter('place >= 0').join(replaced, ['key', 'place']).select('line', 'rank', 'e')
-    b = variants.join(met, 'key').select('line', 'rank', F.when(F.col('place') < 0, F.col('longer'))
+    a = variants.filter('place >= 0').join(merged(replaced), ['key', 'place']).select('line', 'rank', 'e')
+    b = variants.join(merged(met), 'key').select('line', 'rank', F.when(F.col('place') < 0, F.col('longer'))
                                          .otherwise(F.col('whole')).alias('e'))
     pairs = a.union(b).filter(F.col('e.rank') < F.col('rank')).select('line', F.col('e.line').alias('other')).distinct()
     here = found.select('line', 'words')
@@ -216,7 +216,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
         import pandas as pd
         return pd.Series([within_one_word(p, q) for p, q in zip(x, y)], dtype=bool)
 
-    return (pairs.join(here, 'line').join(there, 'other')
+    return (pairs.join(merged(here), 'line').join(merged(there), 'other')
             .filter(close('words', 'other_words')).select('line').distinct())
 
 
@@ -230,7 +230,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                                                     F.count(F.lit(1)).alias('n')), 'line-first')
     near = near_lines(docs, first).select(F.col('line').alias('close'))
     # only lines with something to say travel back to the places
-    verdict = scratch_table(first.select('line', 'rank', 'n').join(near, F.col('line') == F.col('close'), 'left').select(
+    verdict = scratch_table(first.select('line', 'rank', 'n').join(merged(near), F.col('line') == F.col('close'), 'left').select(
         F.col('line').alias('of'), F.col('rank').alias('first'), F.col('close').isNotNull().alias('near'), 'n')
         .filter('near OR n > 1'), 'line-verdicts')
     many = max(HOT_AT_LEAST, every.count() // HOT_LINES)
@@ -239,7 +239,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # places of hot lines have their verdict: any other key spreads them
     at = at.withColumn('key', F.when(F.col('hot').isNull(), F.col('line')).otherwise(F.xxhash64('doc_id', 'text_hash', 'line_no')))
     cold = verdict.filter(F.col('n') <= many).select('of', F.struct('first', 'near').alias('w'))
-    at = at.join(cold, (F.col('key') == F.col('of')) & F.col('hot').isNull(), 'left')
+    at = at.join(merged(cold), (F.col('key') == F.col('of')) & F.col('hot').isNull(), 'left')
     at = at.select('doc_id', 'text_hash', 'line_no', F.coalesce('v', 'w').alias('v')).select(
         'doc_id', 'text_hash', 'line_no', 'v.first', 'v.near')
     exact = F.col('first').isNotNull() & (F.col('first') < rank)
@@ -258,7 +258,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         F.col('doc_id').alias('_d'), F.col('text_hash').alias('_h'),
         F.array_union('exact', 'near').alias('_gone')).filter(F.size('_gone') > 0)
     rows = docs.select(F.struct('*').alias('_row'), F.col('doc_id').alias('_id'), F.xxhash64('text').alias('_t'))
-    at = rows.join(gone, F.col('_id').eqNullSafe(F.col('_d')) & (F.col('_t') == F.col('_h')), 'left')
+    at = rows.join(merged(gone), F.col('_id').eqNullSafe(F.col('_d')) & (F.col('_t') == F.col('_h')), 'left')
     kept = let(F.split('_row.text', '\n', -1), lambda x: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col('_gone')), lambda i: F.get(x, i)), '\n'))
     text = F.when(F.col('_gone').isNull(), F.col('_row.text')).otherwise(kept)

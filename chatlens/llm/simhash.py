@@ -169,11 +169,11 @@ def components(edges: DataFrame) -> DataFrame:
     label = scratch_table(both.groupBy(F.col('u').alias('fp')).agg(F.min('v').alias('m'))
                           .select('fp', F.least('fp', 'm').alias('label')), 'simhash-labels')
     while True:
-        seen = both.join(label, F.col('v') == F.col('fp')).groupBy('u').agg(F.min('label').alias('m'))
-        low = label.join(seen, F.col('fp') == F.col('u')).select('fp', F.least('label', 'm').alias('to'),
+        seen = both.join(merged(label), F.col('v') == F.col('fp')).groupBy('u').agg(F.min('label').alias('m'))
+        low = label.join(merged(seen), F.col('fp') == F.col('u')).select('fp', F.least('label', 'm').alias('to'),
                                                                  F.col('label').alias('was'))
         jump = label.select(F.col('fp').alias('at'), F.col('label').alias('next'))
-        new = scratch_table(low.join(jump, F.col('to') == F.col('at')).select(
+        new = scratch_table(low.join(merged(jump), F.col('to') == F.col('at')).select(
             'fp', F.least('to', 'next').alias('label'), 'was'), 'simhash-labels')
         if new.filter('label <> was').isEmpty():
             return new.select('fp', 'label')
@@ -186,11 +186,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     marks = scratch_table(fingerprints(docs, shingle), 'simhash-fp')
     nodes = scratch_table(marks.groupBy('fp').agg(F.min('doc_id').alias('first')), 'simhash-nodes')
     label = components(links(nodes, threshold))
-    labelled = nodes.join(label.withColumnRenamed('fp', 'of'), F.col('fp') == F.col('of'), 'left').select(
+    labelled = nodes.join(merged(label.withColumnRenamed('fp', 'of')), F.col('fp') == F.col('of'), 'left').select(
         'fp', 'first', F.coalesce('label', 'fp').alias('label'))
     smallest = labelled.groupBy('label').agg(F.min('first').alias('component_id'))
-    root = labelled.join(smallest, 'label').select('fp', 'label', 'component_id')
-    return marks.join(root, 'fp').select('doc_id', 'text_hash', 'fp', 'label', 'component_id')
+    root = labelled.join(merged(smallest), 'label').select('fp', 'label', 'component_id')
+    return marks.join(merged(root), 'fp').select('doc_id', 'text_hash', 'fp', 'label', 'component_id')
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -201,5 +201,5 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, threshold: int =
     keep = keep.groupBy('label', 'component_id').agg(F.min('text_hash').alias('_h')).select(
         F.col('component_id').alias('_c'), '_h')
     rows = docs.select(F.struct('*').alias('_row'), F.col('doc_id').alias('_id'), F.xxhash64('text').alias('_t'))
-    kept = rows.join(keep, F.col('_id').eqNullSafe(F.col('_c')) & (F.col('_t') == F.col('_h')), 'left_semi')
+    kept = rows.join(merged(keep), F.col('_id').eqNullSafe(F.col('_c')) & (F.col('_t') == F.col('_h')), 'left_semi')
     return kept.dropDuplicates(['_id', '_t']).select('_row.*')

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatlens.llm import mixing, pii, simhash
+from chatlens.llm import line_dedup, mixing, pii, simhash
 
 
 @pytest.mark.parametrize('threshold', [1, 2, 3])
@@ -53,6 +53,20 @@ def test_replicas_are_not_broadcast(spark):
     assert 'SortMergeJoin' in plan and 'Broadcast' not in plan
 
 
+def test_dedup_stages_broadcast_no_lines_or_documents(spark):
+    """Tables that grow with the documents are sorted and merged, however
+    small Spark takes them for; only the few hot lines are broadcast."""
+    rows = [(i, f'one two three four five {i % 7}\nown line of document number {i}') for i in range(40)]
+    docs = spark.createDataFrame(rows, 'doc_id long, text string').withColumn('n_chars', F.char_length('text'))
+    first = line_dedup.lines(docs).filter('line IS NOT NULL').groupBy('line').agg(
+        F.min(F.struct('doc_id', 'text_hash', 'line_no')).alias('rank'), F.first('halves').alias('halves'))
+    for df in (line_dedup._candidates(docs, first), line_dedup.near_lines(docs, first),
+               simhash.near_duplicates(docs), simhash.one_of_each_group(docs)):
+        plan = plan_of(df)
+        assert 'SortMergeJoin' in plan and 'Broadcast' not in plan
+    assert plan_of(line_dedup.deduplicated(docs)).count('BroadcastHashJoin') == 1
+
+
 @pytest.mark.parametrize('doc_id', [None, 7])
 def test_mix_of_rows_with_one_id(spark, doc_id):
     """Sources whose rows all have a null or the same id come near their targets."""
